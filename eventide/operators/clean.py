@@ -17,6 +17,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], latest_by: Sequence[str]
 
     The maximum of a struct combines before the shuffle, so any number of copies of one key reaches
     its reducer as at most one row per map task. A row-number window would send them all.
+    The aggregate sorts by ``keys``: name the one with most distinct values first.
     """
     order = list(latest_by) + [c for c in df.columns if c not in keys and c not in latest_by]
     if not order:
@@ -46,7 +47,7 @@ def clean_bars(
         *latest_by,
     )
     usable = typed.filter(F.col("close").isNotNull() & (F.col("volume") > 0))
-    single = latest_per_key(usable, ["ticker", "trade_date"], latest_by).drop(*latest_by)
+    single = latest_per_key(usable, ["trade_date", "ticker"], latest_by).drop(*latest_by)
     return single.withColumns({
         "cap_bucket": cap_bucket("ticker", config.large_cap, config.mid_cap),
         "local_date": exchange_date(F.col("trade_date"), config.exchange_tz, dates_are_local),
@@ -61,7 +62,7 @@ def clean_announcements(
         "ticker", F.col("event_date").try_cast("date").alias("event_date"), "event_id", *latest_by
     )
     usable = typed.filter(F.col("event_date").isNotNull() & F.col("ticker").isNotNull())
-    single = latest_per_key(usable, ["ticker", "event_date"], latest_by).drop(*latest_by)
+    single = latest_per_key(usable, ["event_date", "ticker"], latest_by).drop(*latest_by)
     return single.withColumns({
         "cap_bucket": cap_bucket("ticker", config.large_cap, config.mid_cap),
         "fiscal_quarter": quarter_label(F.col("event_date")),

@@ -87,19 +87,19 @@ def trading_windows(
     close forward instead. The running return is null where the daily return is.
     """
     event = Window.partitionBy("ticker", "event_ts")
-    in_order = event.orderBy("relative_day")
+    in_order = event.orderBy("trade_date", "close", "volume")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     close = F.last("close", ignorenulls=True).over(so_far) if pad_closes else F.col("close")
-    mean_volume = F.avg("volume").over(event)
     day = F.to_date("event_ts")
     return (
         aligned.filter(F.col("relative_day").between(-config.days_before, config.days_after))
-        .withColumn("_close", close)
-        .withColumn("daily_return",
-                    pandas_change(F.col("_close"), F.lag("_close").over(in_order)))
+        .withColumns({"_close": close, "_mean_volume": F.avg("volume").over(event)})
+        .withColumn("_previous", F.lag("_close").over(in_order))
+        .withColumn("daily_return", pandas_change(F.col("_close"), F.col("_previous")))
         .withColumn("cum_return",
                     F.when(F.col("daily_return").isNotNull(), F.sum("daily_return").over(so_far)))
-        .withColumn("volume_ratio", F.when(mean_volume > 0, F.col("volume") / mean_volume))
+        .withColumn("volume_ratio",
+                    F.when(F.col("_mean_volume") > 0, F.col("volume") / F.col("_mean_volume")))
         .select(
             "ticker",
             event_key(F.col("ticker"), day).alias("event_id"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.config import ANALYSIS_END, DAYS_AFTER, DAYS_BEFORE, StudyConfig
+from eventide.schemas import PRICE
 
 _BAR_COLUMNS = ("trade_date", "open", "high", "low", "close", "volume")
 
@@ -49,14 +50,21 @@ def returns(priced_days: DataFrame) -> DataFrame:
     event = Window.partitionBy("ticker", "event_id")
     by_day = event.orderBy("day")
     so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    previous = F.lag("close").over(by_day)
-    mean_volume = F.avg("volume").over(event)
+    zero = F.lit(0).cast(PRICE)
     return (
         priced_days
-        .withColumn("daily_return",
-                    (F.col("close") - previous) / F.nullif(previous, F.lit(0).cast("decimal(12,4)")))
+        .withColumns({
+            "_previous": F.lag("close").over(by_day),
+            "_mean_volume": F.avg("volume").over(event),
+        })
+        .withColumns({
+            "daily_return":
+                (F.col("close") - F.col("_previous")) / F.nullif(F.col("_previous"), zero),
+            "volume_ratio":
+                F.when(F.col("_mean_volume") > 0, F.col("volume") / F.col("_mean_volume")),
+        })
         .withColumn("cum_return", F.sum("daily_return").over(so_far))
-        .withColumn("volume_ratio", F.when(mean_volume > 0, F.col("volume") / mean_volume))
+        .select(*priced_days.columns, "daily_return", "cum_return", "volume_ratio")
     )
 
 

@@ -26,20 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ticker_of(spark: SparkSession, sf_dir: str, name: str, key: str, nation: str) -> DataFrame:
+def _with_ticker(rows: DataFrame, spark: SparkSession, sf_dir: str, name: str, key: str,
+                 nation: str, own_key: str) -> DataFrame:
+    """Add the nation's name of each row's supplier or customer.
+
+    Joined one table at a time: each join's small side then has a size taken from its file, while
+    the estimate of a join of two tables is their product.
+    """
+    owners = table(spark, sf_dir, name).select(F.col(key).alias(own_key), nation)
     nations = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias(nation), F.col("n_name").alias("ticker"))
-    return table(spark, sf_dir, name).select(key, nation).join(nations, nation)
+    return rows.join(owners, own_key).join(nations, nation)
 
 
 def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with ticker and trade date."""
-    tickers = _ticker_of(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     lines = table(spark, sf_dir, "lineitem")
-    return (
-        lines.join(tickers, lines.l_suppkey == tickers.s_suppkey)
-        .withColumn("trade_date", F.to_date("l_shipdate"))
-    )
+    return _with_ticker(
+        lines, spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "l_suppkey"
+    ).withColumn("trade_date", F.to_date("l_shipdate"))
 
 
 def _bar(price: Column, volume: Column) -> list[Column]:
@@ -55,7 +60,7 @@ def _bar(price: Column, volume: Column) -> list[Column]:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver-like daily bars: one per nation and ship date."""
-    return priced_lines(spark, sf_dir).groupBy("ticker", "trade_date").agg(
+    return priced_lines(spark, sf_dir).groupBy("trade_date", "ticker").agg(
         *_bar(F.col("l_extendedprice").cast(PRICE), F.col("l_quantity")))
 
 
@@ -67,7 +72,7 @@ def vendor_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         priced_lines(spark, sf_dir)
-        .groupBy("ticker", "trade_date", "l_returnflag")
+        .groupBy("trade_date", "ticker", "l_returnflag")
         .agg(*_bar(F.col("l_extendedprice"), volume))
         .select("ticker", F.date_format("trade_date", "yyyy-MM-dd").alias("trade_date"),
                 "open", "high", "low", "close", "volume")
@@ -75,10 +80,9 @@ def vendor_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first_orders(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
-    tickers = _ticker_of(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     orders = table(spark, sf_dir, "orders")
     return (
-        orders.join(tickers, orders.o_custkey == tickers.c_custkey)
+        _with_ticker(orders, spark, sf_dir, "customer", "c_custkey", "c_nationkey", "o_custkey")
         .groupBy("ticker", F.date_trunc("quarter", "o_orderdate").alias("_quarter"), *by)
         .agg(F.to_date(F.min("o_orderdate")).alias("event_date"))
         .drop("_quarter")

@@ -98,6 +98,16 @@ silver_announcements AS (
 )"""
 
 
+# Returns are decimals of 17 places, here whole numbers of 1e-17, from prices in units of 1e-4.
+_PRICE_UNITS = "CAST(CAST(close AS DECIMAL(12,4)) * 10000 AS HUGEINT)"
+
+
+def _exact6(return17: str) -> str:
+    """Half-up to six places of a sum of 17-place returns."""
+    return (f"CAST(sign({return17}) * ((abs({return17}) + {5 * 10**10}::HUGEINT) "
+            f"// {10**11}::HUGEINT) AS DOUBLE) / 1e6")
+
+
 def _study(events: str, bars: str, where: str = "TRUE") -> str:
     """CTEs days, priced, metrics, summary over the named tables."""
     return f"""
@@ -112,14 +122,19 @@ priced AS (
     FROM days d LEFT JOIN {bars} b ON b.ticker = d.ticker AND b.trade_date = d.day
 ),
 linked AS (
-    SELECT *, CAST(lag(close) OVER w AS DOUBLE) AS prev_close,
+    SELECT *, {_PRICE_UNITS} AS units, lag({_PRICE_UNITS}) OVER w AS prev_units,
         avg(volume) OVER (PARTITION BY ticker, event_id) AS mean_volume
     FROM priced WINDOW w AS (PARTITION BY ticker, event_id ORDER BY day)
 ),
+exact AS (
+    SELECT *, sign(units - prev_units) * ((2 * abs(units - prev_units) * {10**17}::HUGEINT
+        + prev_units) // (2 * nullif(prev_units, 0))) AS return17
+    FROM linked
+),
 daily AS (
-    SELECT *, (CAST(close AS DOUBLE) - prev_close) / nullif(prev_close, 0) AS daily_return,
+    SELECT *, CAST(return17 AS DOUBLE) / 1e17 AS daily_return,
         CASE WHEN mean_volume > 0 THEN volume / mean_volume END AS volume_ratio
-    FROM linked
+    FROM exact
 ),
 metrics AS (
     SELECT *, sum(daily_return) OVER (PARTITION BY ticker, event_id ORDER BY day
@@ -128,24 +143,22 @@ metrics AS (
 ),
 pre AS (
     SELECT ticker, event_id, event_date, fiscal_quarter, cap_bucket,
-        sum(daily_return) AS pre_return, avg(volume_ratio) AS avg_pre_volume_ratio
+        {_exact6('sum(return17)')} AS pre_return, avg(volume_ratio) AS avg_pre_volume_ratio
     FROM metrics WHERE relative_day BETWEEN -5 AND -1 GROUP BY ALL
 ),
 day0 AS (
-    SELECT ticker, event_id, daily_return AS day0_return, close AS event_close
+    SELECT ticker, event_id, {_exact6('return17')} AS day0_return, close AS event_close
     FROM metrics WHERE relative_day = 0
 ),
 post AS (
-    SELECT ticker, event_id, sum(daily_return) AS post_return,
+    SELECT ticker, event_id, {_exact6('sum(return17)')} AS post_return,
         avg(volume_ratio) AS avg_post_volume_ratio
     FROM metrics WHERE relative_day BETWEEN 1 AND 5 GROUP BY ALL
 ),
 summary AS (
     SELECT ticker, event_id, event_date, fiscal_quarter, cap_bucket,
-        {_round('pre_return', 6)} AS pre_return,
-        {_round('avg_pre_volume_ratio', 4)} AS avg_pre_volume_ratio,
-        {_round('day0_return', 6)} AS day0_return, event_close,
-        {_round('post_return', 6)} AS post_return,
+        pre_return, {_round('avg_pre_volume_ratio', 4)} AS avg_pre_volume_ratio,
+        day0_return, event_close, post_return,
         {_round('avg_post_volume_ratio', 4)} AS avg_post_volume_ratio
     FROM pre LEFT JOIN day0 USING (ticker, event_id) LEFT JOIN post USING (ticker, event_id)
 )"""

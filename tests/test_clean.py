@@ -1,0 +1,134 @@
+from decimal import Decimal
+
+import pytest
+from frames import d, dicts, raw_bars
+
+from eventide.config import LARGE_CAP, MID_CAP
+from eventide.functions import cap_bucket, exchange_date, quarter_label, register_cap_bucket
+from eventide.operators.clean import clean_announcements, clean_bars, latest_per_key
+from eventide.operators.quality import null_report
+from eventide.schemas import RAW_ANNOUNCEMENTS
+from eventide.sources.landed import from_rows, in_range, only_tickers
+from pyspark.sql import functions as F
+
+
+def test_unusable_rows_are_dropped_with_ansi_on(spark):
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    raw = raw_bars(
+        spark,
+        ("AAPL", "2020-06-15", 1.0, 2.0, 0.5, 1.5, 10),
+        ("AAPL", "2020-06-16", 1.0, 2.0, 0.5, None, 10),           # null close
+        ("AAPL", "2020-06-17", 1.0, 2.0, 0.5, float("nan"), 10),   # NaN is no decimal
+        ("AAPL", "2020-06-18", 1.0, 2.0, 0.5, 1e12, 10),           # too wide for its type
+        ("AAPL", "2020-06-19", 1.0, 2.0, 0.5, 1.5, 0),
+        ("AAPL", "2020-06-22", 1.0, 2.0, 0.5, 1.5, None),
+        ("AAPL", "2020-06-23", 1.0, 2.0, 0.5, 1.5, -5),
+        ("AAPL", "2020-13-45", 1.0, 2.0, 0.5, 1.5, 7),             # no such date: kept, null date
+        ("AAPL", "2020-06-24", 1e12, 2.0, 0.5, 1.5, 8),            # only open too wide: kept
+    )
+    rows = dicts(clean_bars(raw), "volume")
+    assert [(r["trade_date"], r["volume"], r["open"]) for r in rows] == [
+        (None, 7, Decimal("1.0000")),
+        (d("2020-06-24"), 8, None),
+        (d("2020-06-15"), 10, Decimal("1.0000")),
+    ]
+
+
+def test_one_row_per_key_whatever_the_partitions(spark):
+    raw = raw_bars(
+        spark,
+        ("A", "2020-01-02", 1.0, 1.0, 1.0, 5.0, 10),
+        ("A", "2020-01-02", 2.0, 1.0, 1.0, 4.0, 10),
+        ("A", "2020-01-02", 2.0, 1.0, 1.0, 6.0, 3),
+        ("B", "2020-01-02", 1.0, 1.0, 1.0, 1.0, 1),
+    )
+    for parts in (1, 4, 50):
+        rows = dicts(clean_bars(raw.repartition(parts)), "ticker")
+        assert [(r["ticker"], r["close"], r["volume"]) for r in rows] == [
+            ("A", Decimal("6.0000"), 3), ("B", Decimal("1.0000"), 1)]
+
+
+def test_latest_by_decides_before_other_columns(spark):
+    raw = raw_bars(
+        spark,
+        ("A", "2020-01-02", 9.0, 9.0, 9.0, 9.0, 9),
+        ("A", "2020-01-02", 1.0, 1.0, 1.0, 1.0, 1),
+    ).withColumn("arrived", 10 - F.col("volume"))
+    (row,) = clean_bars(raw, latest_by=["arrived"]).collect()
+    assert row["close"] == Decimal("1.0000") and "arrived" not in row.asDict()
+
+
+def test_latest_per_key_keeps_a_null_key_and_whole_rows(spark):
+    rows = [(None, 1, "x"), (None, 2, "a"), ("k", None, "z"), ("k", 1, None)]
+    df = spark.createDataFrame(rows, "key string, a int, b string")
+    got = {tuple(r) for r in latest_per_key(df, ["key"]).collect()}
+    assert got == {(None, 2, "a"), ("k", 1, None)}
+
+
+def test_announcements(spark):
+    raw = from_rows(spark, [
+        ("AAPL", "2020-03-31", "AAPL_20200331"),
+        ("AAPL", "2020-03-31", "AAPL_20200331"),
+        ("PFE", "2020-10-01", "PFE_20201001"),
+        (None, "2020-10-01", "x"),
+        ("PFE", "soon", "x"),
+        ("0700", "2020-06-30", "0700_20200630"),
+    ], RAW_ANNOUNCEMENTS)
+    rows = dicts(clean_announcements(raw), "ticker")
+    assert [(r["ticker"], r["event_date"], r["cap_bucket"], r["fiscal_quarter"]) for r in rows] == [
+        ("0700", d("2020-06-30"), "SMALL", "Q2"),
+        ("AAPL", d("2020-03-31"), "LARGE", "Q1"),
+        ("PFE", d("2020-10-01"), "MID", "Q4"),
+    ]
+
+
+CASES = [
+    (None, "OTHER", "SMALL"), ("", "OTHER", "SMALL"), (" \t \x1f", "OTHER", "SMALL"),
+    ("aapl", "LARGE", "LARGE"), ("  Aapl\n", "LARGE", "SMALL"), ("GE", "MID", "MID"),
+    (" ge", "MID", "SMALL"), ("ZZZ", "SMALL", "SMALL"),
+]
+
+
+@pytest.mark.parametrize("ticker,bucket,on_demand", CASES)
+def test_cap_bucket(spark, ticker, bucket, on_demand):
+    register_cap_bucket(spark, "bucket_of")
+    df = spark.createDataFrame([(ticker,)], "ticker string")
+    row = df.select(
+        cap_bucket("ticker").alias("a"),
+        cap_bucket("ticker", blank_as_other=False, strip=False).alias("b"),
+        F.expr("bucket_of(ticker)").alias("c"),
+    ).first()
+    assert (row.a, row.b, row.c) == (bucket, on_demand, bucket)
+
+
+def test_default_sets_do_not_overlap():
+    assert len(set(LARGE_CAP) | set(MID_CAP)) == 22
+
+
+def test_exchange_date_is_the_day_before_unless_dates_are_local(spark):
+    df = spark.createDataFrame([(d("2020-06-15"),), (d("2020-11-01"),)], "x date")
+    rows = df.select(exchange_date(F.col("x"), "America/New_York").alias("a"),
+                     exchange_date(F.col("x"), "America/New_York", True).alias("b")).collect()
+    assert [tuple(r) for r in rows] == [
+        (d("2020-06-14"), d("2020-06-15")), (d("2020-10-31"), d("2020-11-01"))]
+
+
+def test_quarters(spark):
+    df = spark.range(1, 13).select(F.make_date(F.lit(2021), "id", F.lit(9)).alias("x"))
+    assert [r[0] for r in df.select(quarter_label(F.col("x"))).collect()] == (
+        ["Q1"] * 3 + ["Q2"] * 3 + ["Q3"] * 3 + ["Q4"] * 3)
+
+
+def test_range_and_subset(spark):
+    df = spark.createDataFrame(
+        [("A", "2020-01-01"), ("A", "2020-01-03"), ("B", "2020-01-02")], "ticker string, day string")
+    assert in_range(df, "day", d("2020-01-01"), d("2020-01-03")).count() == 3
+    assert in_range(df, "day", d("2020-01-01"), d("2020-01-03"), include_end=False).count() == 2
+    assert only_tickers(df, ["A"]).count() == 2
+    assert only_tickers(df, spark.createDataFrame([("B",), ("B",)], "ticker string")).count() == 1
+
+
+def test_null_report(spark):
+    df = spark.createDataFrame([(1, None), (None, None), (3, "x")], "a int, b string")
+    assert [tuple(r) for r in null_report(df, "t").orderBy("column_name").collect()] == [
+        ("t", "a", 1, 3), ("t", "b", 2, 3)]
