@@ -24,13 +24,18 @@ def _read(spark: SparkSession, path: str | list[str], fmt: str, schema: T.Struct
     reader = spark.read.format(fmt)
     if fmt in _TEXT_FORMATS:
         schema = T.StructType([*schema, T.StructField(CORRUPT, T.StringType())])
-        # Without columnPruning=false a bad value in a column the query does not read would let the
-        # row through, so the same file would give different rows to different queries.
         reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
         if fmt == "csv":
-            reader = reader.options(header="true", columnPruning="false")
+            reader = reader.option("header", "true")
     frame = reader.options(**options).schema(schema).load(path)
-    return frame if fmt in _TEXT_FORMATS else frame.withColumn(CORRUPT, F.lit(None).cast("string"))
+    if fmt not in _TEXT_FORMATS:
+        return frame.withColumn(CORRUPT, F.lit(None).cast("string"))
+    # Only columns a query needs are parsed, so a bad value elsewhere would let its row through and
+    # one file would give different rows to different queries. Tying the record to a hash of all
+    # columns makes every query parse all of them.
+    parsed = F.xxhash64(*[f.name for f in schema if f.name != CORRUPT]).cast("string")
+    return frame.withColumn(
+        CORRUPT, F.substring_index(F.concat(F.col(CORRUPT), F.lit("\x00"), parsed), "\x00", 1))
 
 
 def read_bars(spark: SparkSession, path: str | list[str], fmt: str = "parquet",

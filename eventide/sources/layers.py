@@ -14,7 +14,8 @@ def read_layer(spark: SparkSession, path: str, schema: T.StructType,
                missing_ok: bool = False) -> DataFrame:
     """Read a layer with its declared schema, so a ticker such as ``0700`` stays text."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        # Partition columns come last in files; the declared order is restored.
+        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
     except AnalysisException as error:
         if missing_ok and error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
