@@ -18,10 +18,24 @@ from eventide.functions import wall_clock
 # Trade time of each price of a daily bar.
 BAR_TRADES = (("open", 9, 30), ("high", 11, 0), ("low", 14, 0), ("close", 16, 0))
 
+# One minute: local dates change on whole minutes, also where clocks are turned back at midnight.
+WIDEST_SLICE = 60
+# Trades one task orders without effort.
+CROWDED_SLICE = 5_000_000
+_UNTIMED_SLICES = 1024
+_COPY_CHUNK = 1_000_000
+
+_SLICE = ["_ticker", "_date", "_slot"]
 _DERIVED = ("local_ts", "local_date", "prev_trade_ts", "gap_minutes", "is_session_start",
             "session_index", "session_id")
 
 
+def bar_sessions(bars: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
+                 tz: str = EXCHANGE_TZ) -> DataFrame:
+    """Sessions of the trades of daily bars."""
+    return sessionize(bar_trades(bars), gap_minutes, tz, ["trade_type", "price"], crowded=None)
+
+
 def bar_trades(bars: DataFrame) -> DataFrame:
     """Four timed trades per daily bar, from one scan; a price that is null gives no trade."""
     trades = F.array(*[
@@ -49,18 +63,21 @@ def session_id(ticker: Column, index: Column) -> Column:
     return F.concat(ticker, F.lit("#"), F.lpad(text, F.greatest(F.lit(6), F.length(text)), F.lit("0")))
 
 
-def slice_seconds_for(gap_minutes: float, widest: int = 60) -> int:
+def slice_seconds_for(gap_minutes: float, widest: int = WIDEST_SLICE) -> int:
     """Widest slice, in seconds, inside which no gap can exceed the limit."""
     return min(widest, math.floor(gap_minutes * 60) + 1)
 
 
-def _sliced(trades: DataFrame, gap_minutes: float, tz: str, widest: int) -> DataFrame:
+def _sliced(trades: DataFrame, gap_minutes: float, tz: str, tie_break: Sequence[str],
+            widest: int) -> DataFrame:
     """Add local time and the slice a trade falls in.
 
-    The key columns are never null, so that windows and the join agree on one hash partitioning.
+    The key columns are never null, so that windows and joins agree on one hash partitioning.
+    Trades without a time come before all others, spread over many slices by their other columns.
     """
     width = slice_seconds_for(gap_minutes, widest)
     slot = F.floor(F.unix_timestamp("trade_ts") / width)
+    spread = F.pmod(F.xxhash64(*tie_break), F.lit(_UNTIMED_SLICES)) if tie_break else F.lit(0)
     return (
         trades
         .withColumn("local_ts", F.from_utc_timestamp("trade_ts", tz))
@@ -68,21 +85,21 @@ def _sliced(trades: DataFrame, gap_minutes: float, tz: str, widest: int) -> Data
         .withColumns({
             "_ticker": F.coalesce(F.concat(F.lit("="), "ticker"), F.lit("")),
             "_date": F.coalesce("local_date", F.lit("1970-01-01").cast("date")),
-            "_slot": F.coalesce(slot, F.lit(-(2**63)).cast("long")),
+            "_slot": F.coalesce(slot, F.lit(-(2**62)).cast("long") + spread),
         })
     )
 
 
-_SLICE = ["_ticker", "_date", "_slot"]
-
-
-def _slice_carry(sliced: DataFrame, gap_minutes: float) -> DataFrame:
-    """Per slice: last trade before it, whether it opens a session, sessions before it."""
-    bounds = sliced.groupBy(*_SLICE).agg(
+def _slice_bounds(sliced: DataFrame) -> DataFrame:
+    return sliced.groupBy(*_SLICE).agg(
         F.min("trade_ts").alias("_first"),
         F.max("trade_ts").alias("_last"),
         F.count("*").alias("_trades"),
     )
+
+
+def _slice_carry(bounds: DataFrame, gap_minutes: float) -> DataFrame:
+    """Per slice: last trade before it, how many sessions it starts, sessions before it."""
     in_order = Window.partitionBy("_ticker").orderBy("_slot", "_date")
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     linked = bounds.withColumns({
@@ -97,43 +114,98 @@ def _slice_carry(sliced: DataFrame, gap_minutes: float) -> DataFrame:
     # A trade without a time starts a session of its own.
     starts = F.when(F.col("_first").isNull(), F.col("_trades")).otherwise(opens.cast("long"))
     return linked.withColumn("_starts", starts).select(
-        *_SLICE, "_prev_last", "_starts",
+        *_SLICE, "_trades", "_prev_last", "_starts",
         F.coalesce(F.sum("_starts").over(earlier), F.lit(0)).alias("_sessions_before"),
     )
 
 
+def _in_order(sliced: DataFrame, tie_break: Sequence[str]) -> DataFrame:
+    """Add rank and previous trade time within the slice."""
+    in_slice = Window.partitionBy(*_SLICE).orderBy("trade_ts", *tie_break)
+    return sliced.withColumns({
+        "_rank": F.row_number().over(in_slice),
+        "_prev": F.lag("trade_ts").over(in_slice),
+    })
+
+
+def _in_order_by_instant(sliced: DataFrame, tie_break: Sequence[str]) -> DataFrame:
+    """`_in_order` for slices too crowded for one task: no group of trades is ever gathered.
+
+    Copies of a trade are combined into one row and a count, and of each instant only its first
+    trade is needed; both combine before their shuffle. All other trades of an instant follow a
+    trade of the same instant, so the join back, which AQE splits where an instant is hot, decides
+    everything. Copies are spelled out again in chunks spread over all tasks.
+    """
+    others = [c for c in sliced.columns if c not in (*_SLICE, "trade_ts", *tie_break)]
+    order = F.struct(*tie_break, *others)
+    distinct = sliced.groupBy(*sliced.columns).agg(F.count("*").alias("_copies"))
+    instants = (
+        distinct.groupBy(*_SLICE, "trade_ts").agg(F.min(order).alias("_lead"))
+        .withColumn("_before",
+                    F.lag("trade_ts").over(Window.partitionBy(*_SLICE).orderBy("trade_ts")))
+    )
+    tasks = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = F.col("_copies") - 1
+    to = F.least(F.col("_from") + (_COPY_CHUNK - 1), last)
+    copies = (
+        distinct.join(instants, [*_SLICE, "trade_ts"])
+        .withColumn("_leads", order.eqNullSafe(F.col("_lead")))
+        .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), last,
+                                                  F.lit(_COPY_CHUNK).cast("long"))))
+        .repartition(tasks)
+        .withColumn("_copy", F.explode(F.sequence("_from", to)))
+    )
+    leads = F.col("_leads") & (F.col("_copy") == 0)
+    return copies.select(
+        *sliced.columns,
+        F.when(leads & F.col("_before").isNull(), 1).otherwise(2).alias("_rank"),
+        F.when(leads, F.col("_before")).otherwise(F.col("trade_ts")).alias("_prev"),
+    )
+
+
 def sessionize(
     trades: DataFrame,
     gap_minutes: float = SESSION_GAP_MINUTES,
     tz: str = EXCHANGE_TZ,
     tie_break: Sequence[str] | None = None,
-    widest_slice: int = 60,
+    widest_slice: int = WIDEST_SLICE,
+    crowded: int | None = CROWDED_SLICE,
 ) -> DataFrame:
     """Add local time, previous trade, gap and session to each trade of (ticker, trade_ts, ...).
 
-    Trades of one instant are ordered by ``tie_break`` (all other columns by default).
+    Trades of one instant are ordered by ``tie_break`` (all other columns by default); trades
+    without a time come first, each a session of its own, in a fixed order.
 
     A running sum per ticker would put a busy ticker into one task. Instead time is cut into slices
     no longer than the gap limit: inside one no session can start except at its first trade, so
     three aggregates per slice, combined before their shuffle, hold all that later slices need.
     Only that table, whose size per ticker is bounded by the time range, is ordered per ticker; the
-    trades themselves are ordered per (ticker, slice).
+    trades themselves are ordered per (ticker, slice). Slices of more than ``crowded`` trades are
+    worked out per instant instead; there are at most trades / ``crowded`` of them, which bounds
+    the broadcasts that tell them apart. ``crowded=None`` leaves that part out, for trades that
+    cannot crowd: those of daily bars are four a day.
     """
     if tie_break is None:
         tie_break = [c for c in trades.columns if c not in ("ticker", "trade_ts")]
-    sliced = _sliced(trades, gap_minutes, tz, widest_slice)
-    carry = _slice_carry(_sliced(trades.select("ticker", "trade_ts"), gap_minutes, tz, widest_slice),
-                         gap_minutes)
-    in_slice = Window.partitionBy(*_SLICE).orderBy("trade_ts", *tie_break)
+    sliced = _sliced(trades, gap_minutes, tz, tie_break, widest_slice)
+    narrow = trades.select("ticker", "trade_ts", *tie_break)
+    bounds = _slice_bounds(_sliced(narrow, gap_minutes, tz, tie_break, widest_slice))
+    carry = _slice_carry(bounds, gap_minutes)
+
+    if crowded is None:
+        placed = _in_order(sliced, tie_break).join(carry.drop("_trades"), _SLICE)
+    else:
+        too_many = (F.col("_trades") > crowded) & F.col("_first").isNotNull()
+        crowds = F.broadcast(bounds.filter(too_many).select(*_SLICE))
+        crowd_carry = F.broadcast(carry.filter(F.col("_trades") > crowded))
+        calm = _in_order(sliced.join(crowds, _SLICE, "left_anti"), tie_break)
+        dense = _in_order_by_instant(sliced.join(crowds, _SLICE, "left_semi"), tie_break)
+        placed = calm.join(carry, _SLICE).unionByName(dense.join(crowd_carry, _SLICE))
+
     first = F.col("_rank") == 1
     untimed = F.col("trade_ts").isNull()
     return (
-        sliced
-        .withColumns({
-            "_rank": F.row_number().over(in_slice),
-            "_prev": F.lag("trade_ts").over(in_slice),
-        })
-        .join(carry, _SLICE)
+        placed
         .withColumn("prev_trade_ts", F.when(first, F.col("_prev_last")).otherwise(F.col("_prev")))
         .withColumns({
             "gap_minutes": _seconds_between("trade_ts", "prev_trade_ts") / F.lit(60.0),

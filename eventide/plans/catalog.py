@@ -14,7 +14,7 @@ from eventide.functions import register_cap_bucket
 from eventide.operators.clean import clean_announcements, clean_bars, latest_per_key
 from eventide.operators.metrics import cohort_metrics, event_summary
 from eventide.operators.quality import null_report
-from eventide.operators.sessions import bar_trades, session_counts, sessionize
+from eventide.operators.sessions import bar_sessions, bar_trades, session_counts, sessionize
 from eventide.operators.trading import (
     aligned_days,
     nearest_trading_day,
@@ -239,8 +239,8 @@ def intraday_rows(spark, sf):
 
 
 @_query
-def bar_sessions(spark, sf):
-    return sessionize(bar_trades(_silver_bars(spark, sf)))
+def bar_trade_sessions(spark, sf):
+    return bar_sessions(_silver_bars(spark, sf))
 
 
 @_query

@@ -15,7 +15,7 @@ from eventide.config import StudyConfig
 from eventide.operators.clean import clean_announcements, clean_bars
 from eventide.operators.metrics import cohort_metrics, event_summary
 from eventide.operators.quality import null_report
-from eventide.operators.sessions import bar_trades, session_counts, sessionize
+from eventide.operators.sessions import bar_sessions, session_counts
 from eventide.operators.windows import event_day_metrics
 from eventide.schemas import (
     ANNOUNCEMENTS,
@@ -96,8 +96,8 @@ class Pipeline:
 
     def build_sessions(self) -> dict[str, int]:
         path = f"{self.gold}/trade_sessions"
-        sessions = sessionize(bar_trades(self.silver_bars()), self.config.session_gap_minutes,
-                              self.config.exchange_tz)
+        sessions = bar_sessions(self.silver_bars(), self.config.session_gap_minutes,
+                                self.config.exchange_tz)
         rows = self._write(conform(sessions, TRADE_SESSIONS), path, ["trade_ts"])
         counted = session_counts(read_layer(self.spark, path, TRADE_SESSIONS)).first()
         return {"trade_sessions": rows, "distinct_sessions": counted["session_count"]}

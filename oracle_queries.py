@@ -425,7 +425,7 @@ def oracle_sql() -> dict[str, str]:
             WITH {_BAR_TRADES} SELECT ticker, {_day('trade_date')} AS trade_date,
                 {_stamp('trade_ts')} AS trade_ts, {_num('price')} AS price, trade_type, cap_bucket
             FROM bar_trades""",
-        "bar_sessions": f"""
+        "bar_trade_sessions": f"""
             WITH {_BAR_TRADES}, {_sessions('bar_trades', 'trade_type')}
             SELECT ticker, {_day('trade_date')} AS trade_date, {_stamp('trade_ts')} AS trade_ts,
                 {_num('price')} AS price, trade_type, cap_bucket, {_SESSION_COLUMNS}
