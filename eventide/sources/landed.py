@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from eventide.functions import event_key, nan_to_null
 from eventide.schemas import RAW_ANNOUNCEMENTS, RAW_BARS
@@ -19,9 +20,12 @@ CORRUPT = "_corrupt_record"
 _TEXT_FORMATS = ("csv", "json")
 
 
-def _read(spark: SparkSession, path: str | list[str], fmt: str, schema: T.StructType,
+Reader = DataFrameReader | DataStreamReader
+
+
+def _read(reader: Reader, path: str | list[str], fmt: str, schema: T.StructType,
           options: dict[str, str]) -> DataFrame:
-    reader = spark.read.format(fmt)
+    reader = reader.format(fmt)
     if fmt in _TEXT_FORMATS:
         schema = T.StructType([*schema, T.StructField(CORRUPT, T.StringType())])
         reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
@@ -38,28 +42,41 @@ def _read(spark: SparkSession, path: str | list[str], fmt: str, schema: T.Struct
         CORRUPT, F.substring_index(F.concat(F.col(CORRUPT), F.lit("\x00"), parsed), "\x00", 1))
 
 
-def read_bars(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
-              **options: str) -> DataFrame:
-    """Raw daily bars. NaN prices become null; rows that do not parse are left out (`rejected`)."""
-    frame = _read(spark, path, fmt, RAW_BARS, options).filter(F.col(CORRUPT).isNull())
+def usable_bars(reader: Reader, path: str | list[str], fmt: str = "parquet",
+                **options: str) -> DataFrame:
+    """Raw daily bars from a batch or stream reader.
+
+    NaN prices become null; rows that do not parse are left out (see `rejected`).
+    """
+    frame = _read(reader, path, fmt, RAW_BARS, options).filter(F.col(CORRUPT).isNull())
     return frame.select(*[
         nan_to_null(F.col(f.name)).alias(f.name) if f.dataType == T.DoubleType() else F.col(f.name)
         for f in RAW_BARS
     ])
 
 
-def read_announcements(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
-                       **options: str) -> DataFrame:
+def usable_announcements(reader: Reader, path: str | list[str], fmt: str = "parquet",
+                         **options: str) -> DataFrame:
     """Raw announcement dates; a missing ``event_id`` is built from ticker and date."""
-    frame = _read(spark, path, fmt, RAW_ANNOUNCEMENTS, options).filter(F.col(CORRUPT).isNull())
+    frame = _read(reader, path, fmt, RAW_ANNOUNCEMENTS, options).filter(F.col(CORRUPT).isNull())
     built = event_key(F.col("ticker"), F.col("event_date").try_cast("date"))
     return frame.select("ticker", "event_date", F.coalesce("event_id", built).alias("event_id"))
 
 
+def read_bars(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
+              **options: str) -> DataFrame:
+    return usable_bars(spark.read, path, fmt, **options)
+
+
+def read_announcements(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
+                       **options: str) -> DataFrame:
+    return usable_announcements(spark.read, path, fmt, **options)
+
+
 def rejected(spark: SparkSession, path: str | list[str], fmt: str, schema: T.StructType,
              **options: str) -> DataFrame:
     """The rows the readers above leave out, with their raw text."""
-    return _read(spark, path, fmt, schema, options).filter(F.col(CORRUPT).isNotNull())
+    return _read(spark.read, path, fmt, schema, options).filter(F.col(CORRUPT).isNotNull())
 
 
 def from_rows(spark: SparkSession, rows: Iterable, schema: T.StructType) -> DataFrame:

@@ -1,0 +1,51 @@
+from uuid import uuid4
+
+import pytest
+from frames import raw_bars
+
+from eventide.operators.clean import clean_bars
+from eventide.schemas import RAW_BARS
+from eventide.sources.layers import read_layer
+from eventide.streaming.landing import checkpoint_folder, land, stream_announcements, stream_bars
+
+
+def test_each_landed_file_is_taken_once(spark, tmp_path):
+    inbox, table, marks = (str(tmp_path / x) for x in ("inbox", "bronze", "marks"))
+    first = [("0700", "2020-01-02", 1.0, 2.0, 0.5, float("nan"), 10),
+             ("A", "2020-01-02", 1.0, 2.0, 0.5, 1.5, 11)]
+    second = [("A", "2020-01-02", 1.0, 2.0, 0.5, 1.6, 11), ("A", "2020-01-03", 1.0, 2.0, 0.5, 1.5, 12)]
+    name = f"bars-{uuid4()}"   # the session's shared checkpoint folder outlives the test
+    for rows, total in ((first, 2), (second, 4), ([], 4)):
+        if rows:
+            raw_bars(spark, *rows).write.mode("append").parquet(inbox)
+        land(stream_bars(spark, inbox), table, name, marks).awaitTermination(120)
+        assert read_layer(spark, table, RAW_BARS).count() == total
+    landed = read_layer(spark, table, RAW_BARS)
+    assert landed.filter("ticker = '0700' AND close IS NULL").count() == 1
+    assert clean_bars(landed).count() == 2
+
+
+def test_unparsed_lines_are_left_out_of_a_stream(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "a.json").write_text('{"ticker":"A","event_date":"2020-01-02"}\n{"ticker":\n')
+    table = str(tmp_path / "bronze")
+    land(stream_announcements(spark, str(inbox), "json"), table, f"announcements-{uuid4()}",
+         str(tmp_path / "marks")).awaitTermination(120)
+    (row,) = spark.read.parquet(table).collect()
+    assert (row["event_id"], row["ticker"]) == ("A_20200102", "A")
+
+
+class _Session:
+    """A session with the given settings only."""
+
+    def __init__(self, **settings):
+        self.conf = settings
+
+
+def test_checkpoint_folder_comes_from_the_cluster():
+    with pytest.raises(ValueError):
+        checkpoint_folder(_Session(), "x")
+    assert checkpoint_folder(_Session(), "x", "/own") == "/own/x"
+    cluster = _Session(**{"spark.checkpoint.dir": "/shared"})
+    assert checkpoint_folder(cluster, "x", "/own") == "/shared/x"
