@@ -220,8 +220,9 @@ def sessionize(
 
 
 def session_counts(sessions: DataFrame) -> DataFrame:
-    """Trades and distinct sessions of the whole table."""
+    """Trades and distinct sessions of the whole table; trades without a ticker share one."""
+    unnamed = F.coalesce(F.max(F.col("session_id").isNull().cast("int")), F.lit(0))
     return sessions.agg(
         F.count("*").alias("trade_count"),
-        F.count_distinct("session_id").alias("session_count"),
+        (F.count_distinct("session_id") + unnamed).alias("session_count"),
     )

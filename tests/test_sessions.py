@@ -177,6 +177,13 @@ def test_session_invariants(spark, sf_dir):
     df.unpersist()
 
 
+def test_session_counts(spark):
+    df = spark.createDataFrame([("A#1",), ("A#1",), (None,), (None,)], "session_id string")
+    assert tuple(session_counts(df).first()) == (4, 2)
+    assert tuple(session_counts(df.limit(2).filter("session_id IS NOT NULL")).first()) == (2, 1)
+    assert tuple(session_counts(df.filter("1 = 0")).first()) == (0, 0)
+
+
 def test_long_session_numbers_are_whole(spark):
     df = spark.createDataFrame([(7,), (999_999,), (1_000_000,), (12_345_678,)], "i long")
     got = [r[0] for r in df.select(session_id(F.lit("A"), F.col("i"))).collect()]

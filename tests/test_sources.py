@@ -97,6 +97,13 @@ def test_empty_input_is_not_written(spark, tmp_path):
     assert not path.exists()
 
 
+def test_empty_tables_can_be_written_and_counted(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert write_layer(raw_bars(spark), path, "ticker", ["trade_date"]) == 0
+    assert read_layer(spark, path, RAW_BARS).isEmpty()
+    assert write_layer(raw_bars(spark, *ROWS).filter("1 = 0"), path, sort_by=["ticker"]) == 0
+
+
 def test_missing_layer(spark, tmp_path):
     path = str(tmp_path / "none")
     assert read_layer(spark, path, EVENT_SUMMARY, missing_ok=True).isEmpty()

@@ -71,6 +71,12 @@ def test_range_of_events_and_prices(spark):
     assert [r["trade_date"] for r in dicts(price_points(b, STUDY.start, AS_OF))] == [d("2024-12-31")]
 
 
+def test_zoned_event_times_keep_their_wall_time(spark):
+    df = spark.createDataFrame([("A", "2024-06-12T16:00:00-04:00")], "ticker string, event_ts string")
+    (row,) = timed_events(df, STUDY.start, AS_OF).collect()
+    assert row["event_ts"] == ts("2024-06-12 16:00:00")
+
+
 def test_repeated_events_give_repeated_rows(spark):
     b = bars(spark, *[("A", f"2024-06-1{i}", 10 + i, 5) for i in range(5)])
     summary, windows = on_demand_study(
