@@ -15,6 +15,11 @@ from eventide.functions import cap_bucket, event_key, pandas_change, quarter_lab
 from eventide.operators.metrics import sides
 
 
+# Copies of one event that one task spells out.
+_BATCH = 10_000
+_EVENT = ["ticker", "event_ts", "batch"]
+
+
 def price_points(bars: DataFrame, start: date, as_of: datetime) -> DataFrame:
     """Close and volume per trading day, from ``start`` to ``as_of``; otherwise untouched."""
     return bars.select(
@@ -29,6 +34,7 @@ def timed_events(events: DataFrame, start: date, as_of: datetime) -> DataFrame:
     """Distinct (ticker, event_ts) up to ``as_of``, with how often each occurred.
 
     A time zone is dropped, the wall time kept, so ``event_ts`` compares with midnights.
+    Very many copies are split into batches that are studied, and later spelled out, separately.
     """
     stamp = F.col("event_ts").cast("timestamp_ntz").cast("timestamp")
     return (
@@ -37,7 +43,10 @@ def timed_events(events: DataFrame, start: date, as_of: datetime) -> DataFrame:
             F.lit(start).cast("timestamp"),
             F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz").cast("timestamp")))
         .groupBy("ticker", "event_ts")
-        .agg(F.count("*").alias("copies"))
+        .agg(F.count("*").alias("_total"))
+        .withColumn("batch", F.explode(F.expr(f"sequence(0L, (_total - 1) div {_BATCH})")))
+        .select("ticker", "event_ts", "batch",
+                F.least(F.lit(_BATCH), F.col("_total") - F.col("batch") * _BATCH).alias("copies"))
     )
 
 
@@ -57,7 +66,7 @@ def aligned_days(
     last = F.date_add(F.to_date("event_ts"), span)
     candidates = events.withColumn("trade_date", F.explode(F.sequence(first, last)))
 
-    event = Window.partitionBy("ticker", "event_ts")
+    event = Window.partitionBy(*_EVENT)
     in_order = event.orderBy("trade_date", "close", "volume")
     distance = F.abs(whole_days(F.col("trade_date").cast("timestamp"), F.col("event_ts")))
     return (
@@ -86,7 +95,7 @@ def trading_windows(
     A null close gives null returns on its day and the next; ``pad_closes=True`` carries the last
     close forward instead. The running return is null where the daily return is.
     """
-    event = Window.partitionBy("ticker", "event_ts")
+    event = Window.partitionBy(*_EVENT)
     in_order = event.orderBy("trade_date", "close", "volume")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     close = F.last("close", ignorenulls=True).over(so_far) if pad_closes else F.col("close")
@@ -101,9 +110,8 @@ def trading_windows(
         .withColumn("volume_ratio",
                     F.when(F.col("_mean_volume") > 0, F.col("volume") / F.col("_mean_volume")))
         .select(
-            "ticker",
+            *_EVENT,
             event_key(F.col("ticker"), day).alias("event_id"),
-            "event_ts",
             day.alias("event_date"),
             quarter_label(day).alias("fiscal_quarter"),
             cap_bucket("ticker", config.large_cap, config.mid_cap,
@@ -123,7 +131,7 @@ def trading_summary(windows: DataFrame, config: StudyConfig = StudyConfig()) ->
         return F.when(F.count_if(side) > 0, F.coalesce(F.sum(F.when(side, daily)), F.lit(0.0)))
 
     return windows.groupBy(
-        "ticker", "event_ts", "event_id", "event_date", "fiscal_quarter", "cap_bucket", "copies"
+        *_EVENT, "event_id", "event_date", "fiscal_quarter", "cap_bucket", "copies"
     ).agg(
         side_sum(before).alias("pre_return"),
         F.max(F.when(on_day, daily)).alias("day0_return"),
@@ -136,7 +144,8 @@ def trading_summary(windows: DataFrame, config: StudyConfig = StudyConfig()) ->
 
 def repeat_copies(df: DataFrame) -> DataFrame:
     """Give an event that occurred several times its rows that often, as the input had it."""
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("_copy", "copies")
+    repeated = df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return repeated.drop("_copy", "copies", "batch")
 
 
 def on_demand_study(

@@ -55,7 +55,12 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def _query(build: Query) -> Query:
-    _REGISTRY[build.__name__] = lambda spark, sf_dir: plain(build(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # The tables' timestamps have no zone; all queries read them as UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return plain(build(spark, sf_dir))
+
+    _REGISTRY[build.__name__] = run
     return build
 
 
@@ -257,7 +262,7 @@ def session_totals(spark, sf):
 
 @_query
 def nearest_trading_days(spark, sf):
-    return nearest_trading_day(_aligned(spark, sf)).drop("relative_day")
+    return nearest_trading_day(_aligned(spark, sf)).drop("relative_day", "batch")
 
 
 @_query

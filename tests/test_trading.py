@@ -8,6 +8,7 @@ import pytest
 from frames import bars, d, dicts, ts
 
 from eventide.config import StudyConfig
+from eventide.operators import trading
 from eventide.operators.trading import (
     aligned_days,
     nearest_trading_day,
@@ -77,12 +78,23 @@ def test_zoned_event_times_keep_their_wall_time(spark):
     assert row["event_ts"] == ts("2024-06-12 16:00:00")
 
 
+@pytest.mark.parametrize("batch", [1, 2, 5, 10_000])
+def test_copies_in_batches(spark, monkeypatch, batch):
+    monkeypatch.setattr(trading, "_BATCH", batch)
+    b = bars(spark, *[("A", f"2024-06-1{i}", 10 + i, 5) for i in range(5)])
+    stamps = [("A", "2024-06-12")] * 5 + [("A", "2024-06-13")]
+    summary, windows = on_demand_study(timed(spark, *stamps), b, AS_OF)
+    counts = {r["event_id"]: r["count"] for r in windows.groupBy("event_id").count().collect()}
+    assert counts == {"A_20240612": 25, "A_20240613": 5}
+    assert summary.count() == 6 and summary.distinct().count() == 2
+
+
 def test_repeated_events_give_repeated_rows(spark):
     b = bars(spark, *[("A", f"2024-06-1{i}", 10 + i, 5) for i in range(5)])
     summary, windows = on_demand_study(
         timed(spark, ("A", "2024-06-12"), ("A", "2024-06-12")), b, AS_OF)
     assert summary.count() == 2 and windows.count() == 10
-    assert "copies" not in summary.columns
+    assert not {"copies", "batch"} & set(summary.columns + windows.columns)
 
 
 def test_sums_are_zero_without_returns_and_null_without_rows(spark):
