@@ -150,11 +150,12 @@ def window_event_count(window_rows: DataFrame) -> DataFrame:
     return window_rows.agg(F.count_distinct("event_id").alias("event_count"))
 
 
-def _study_of_missing(gold: DataFrame, events: DataFrame, bars: DataFrame, as_of: datetime,
-                      config: StudyConfig) -> tuple[DataFrame, DataFrame]:
+def _study_of_missing(stored: DataFrame, events: DataFrame, bars: DataFrame, as_of: datetime,
+                      config: StudyConfig, ticker: str | None) -> tuple[DataFrame, DataFrame]:
     # Only tickers without gold rows are studied: the anti join comes before the work.
-    known = gold.select("ticker").distinct()
-    return on_demand_study(events.join(known, "ticker", "left_anti"), bars, as_of, config)
+    known = stored.select("ticker").distinct()
+    missing = of_ticker(events, ticker).join(known, "ticker", "left_anti")
+    return on_demand_study(missing, of_ticker(bars, ticker), as_of, config)
 
 
 def events_or_on_demand(
@@ -163,7 +164,7 @@ def events_or_on_demand(
 ) -> DataFrame:
     """Event summaries from gold, and from a trading-day study for tickers gold lacks."""
     stored = of_ticker(gold_summary, ticker)
-    summary, _ = _study_of_missing(stored, of_ticker(events, ticker), bars, as_of, config)
+    summary, _ = _study_of_missing(stored, events, bars, as_of, config, ticker)
     return served(stored, EVENT_ROW).unionByName(served(summary, EVENT_ROW))
 
 
@@ -173,5 +174,5 @@ def window_or_on_demand(
 ) -> DataFrame:
     """Day-level rows from gold, and from a trading-day study for tickers gold lacks."""
     stored = of_ticker(gold_days, ticker)
-    _, windows = _study_of_missing(stored, of_ticker(events, ticker), bars, as_of, config)
+    _, windows = _study_of_missing(stored, events, bars, as_of, config, ticker)
     return served(stored, WINDOW_ROW).unionByName(served(windows, WINDOW_ROW))

@@ -74,6 +74,16 @@ def test_ticker_filter_reaches_the_partitions(spark, stored_days, stored_bars):
     assert filters and all("= A" in f for f in filters)
 
 
+def test_on_demand_lookup_of_one_ticker_prunes_every_stored_table(spark, stored_days, stored_bars):
+    from datetime import datetime
+    stamps = spark.createDataFrame([("A", datetime(2024, 6, 10))], "ticker string, event_ts timestamp")
+    df = serve.window_or_on_demand(
+        read_layer(spark, stored_days, EVENT_DAY_METRICS), stamps,
+        read_layer(spark, stored_bars, BARS), datetime(2024, 12, 31), ticker="a")
+    filters = re.findall(r"PartitionFilters: \[[^\n]*", plan(df))
+    assert len(filters) == scans(df) == 3 and all("= A" in f for f in filters)
+
+
 def test_window_rows_read_only_served_columns(spark, stored_days):
     text = plan(serve.ticker_window(read_layer(spark, stored_days, EVENT_DAY_METRICS), "a"))
     schema = re.search(r"ReadSchema: struct<([^\n]*)>", text).group(1)
