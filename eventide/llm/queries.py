@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import chat, exact, urls
+from eventide.llm import chat, exact, lines, mixing, packing, urls
+from eventide.llm.store import find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
 
 def _query(build: Query) -> Query:
-    _REGISTRY[build.__name__] = build
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        find_package(spark)
+        return build(spark, sf)
+
+    _REGISTRY[build.__name__] = run
     return build
 
 
@@ -54,6 +60,25 @@ def op3_url_filters(spark, sf):
         "page_id", "host", "path", "rule", "verdict")
 
 
+@_query
+def op4_best_fit_packing(spark, sf):
+    return packing.pack_documents(
+        _table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @_query
 def op6_exact_dedup(spark, sf):
     return exact.exact_groups(_table(spark, sf, "documents"))
+
+
+@_query
+def op9_line_dedup(spark, sf):
+    cleaned = lines.drop_repeated_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
+@_query
+def op10_source_mixing(spark, sf):
+    """Every source gets an equal share of the mix."""
+    return mixing.mix_sources(_table(spark, sf, "documents"))

@@ -108,3 +108,45 @@ WITH digests AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked
 """
+
+_SQL["op9_line_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), placed AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM split
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM placed
+), frequent AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT doc_id, line, place, last IS NOT NULL AND doc_id < last AS dropped
+  FROM keyed LEFT JOIN frequent USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+_SQL["op10_source_mixing"] = r"""
+WITH sizes AS (
+  SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS chars FROM documents GROUP BY source
+), rates AS (
+  SELECT source, CASE WHEN chars > 0
+    THEN (1.0::DOUBLE / (SELECT count(*) FROM sizes WHERE chars > 0)) * (SELECT sum(chars) FROM sizes) / chars
+    ELSE 1.0::DOUBLE END AS rate
+  FROM sizes
+), cdf AS (
+  SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1.0::DOUBLE)))
+    OVER (PARTITION BY source ORDER BY k) AS upto
+  FROM (SELECT *, unnest(range(0, CAST(floor(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS k FROM rates)
+), drawn AS (
+  SELECT *, CAST('0x' || md5('17:' || doc_id)[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents
+), counted AS (
+  SELECT d.doc_id, count(*) AS n FROM drawn d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND upto <= u
+  GROUP BY d.doc_id
+)
+SELECT d.*, c.copy, md5('18:' || d.doc_id || ':' || c.copy) AS shuffle_key
+FROM documents d JOIN (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM counted) c USING (doc_id)
+"""
