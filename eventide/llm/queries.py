@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import chat, exact, lines, mixing, packing, urls
+from eventide.llm import chat, exact, lines, mixing, packing, spans, urls
 from eventide.llm.store import find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,13 @@ def op4_best_fit_packing(spark, sf):
         _table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query
+def op5_substring_dedup(spark, sf):
+    cleaned = spans.drop_repeated_spans(_table(spark, sf, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return cleaned.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 @_query
 def op6_exact_dedup(spark, sf):
     return exact.exact_groups(_table(spark, sf, "documents"))

@@ -150,3 +150,21 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """As Spark's longs."""
     return x.view(np.int64)
+
+
+def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
+    """Least of each ``size`` neighbours."""
+    least, width = values, 1
+    while 2 * width <= size:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    rest = size - width
+    return np.minimum(least[:len(least) - rest], least[rest:]) if rest else least
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal neighbours begin, and where the last ends."""
+    if not len(keys[0]):
+        return np.zeros(1, np.int64)
+    fresh = np.ones(len(keys[0]) + 1, bool)
+    fresh[1:-1] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(fresh)
