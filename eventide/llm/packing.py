@@ -25,7 +25,7 @@ from eventide.llm.words import chunks
 # Pieces packed together. Within a group waste comes to about one sequence, whatever its size.
 GROUP = 8192
 # Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 800_000
 
 
 class Capacity(NamedTuple):
@@ -40,30 +40,51 @@ WEIGHTS = (1.0, 0.01, 0.01)
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class _Ids(dict):
-    """Token ids of words, as little-endian bytes.
+class _Ids:
+    """Token ids of texts, as little-endian bytes, by way of a memory of words.
 
     No token crosses a blank, so a text's ids are those of its parts between spaces, one after the
-    other; parts may hold other white space, which the tokenizer drops.
+    other; parts may hold other white space, which the tokenizer drops. New parts are encoded
+    together, with a special token between them, which no token crosses either.
     """
 
     def __init__(self, tokenizer: bytes) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(tokenizer)
+        self.known: dict[str, bytes] = {}
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.special = tuple(special)
+        self.mark, self.mark_id = max(special.items(), key=lambda x: x[1], default=(None, None))
+
+    def _encode(self, parts: list[str]) -> dict[str, bytes]:
+        plain = [p for p in parts if self.mark and not any(s in p for s in self.special)]
+        found = {}
+        for at in range(0, len(plain), 1000):
+            some = plain[at:at + 1000]
+            ids = np.array(self.tokenizer.encode(
+                self.mark.join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id).tolist()
+            whole = ids.tobytes()
+            found.update(
+                (part, whole[4 * a + 4:4 * b])
+                for part, a, b in zip(some, [-1, *cuts], [*cuts, len(ids)], strict=True))
+        for part in set(parts).difference(found):
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+            found[part] = np.array(ids, "<u4").tobytes()
+        return found
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self))
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(set().union(*split))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False),
-                               strict=True):
-            self[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        known = self.known
+        found = self._encode(list(set().union(*split).difference(known)))
+        known.update(found)
+        ids = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        if len(known) > REMEMBERED:
+            for part in found:
+                del known[part]
+        return ids
 
 
 _WORKER: dict[int, _Ids] = {}
