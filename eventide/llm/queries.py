@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import chat, exact, lines, mixing, packing, spans, urls
+from eventide.llm import chat, exact, lines, mixing, packing, quality, spans, urls
 from eventide.llm.store import find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,13 @@ def op6_exact_dedup(spark, sf):
     return exact.exact_groups(_table(spark, sf, "documents"))
 
 
+@_query
+def op7_quality_rules(spark, sf):
+    return quality.judge_quality(_table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
 @_query
 def op9_line_dedup(spark, sf):
     cleaned = lines.drop_repeated_lines(_table(spark, sf, "documents").select("doc_id", "text"))
