@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import chat, exact, lines, mixing, packing, quality, spans, urls
+from eventide.llm import chat, exact, lines, mixing, neardup, packing, quality, spans, urls
 from eventide.llm.store import find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,11 @@ def op7_quality_rules(spark, sf):
         "base_failed", "kept")
 
 
+@_query
+def op8_near_duplicates(spark, sf):
+    return neardup.near_classes(_table(spark, sf, "documents"))
+
+
 @_query
 def op9_line_dedup(spark, sf):
     cleaned = lines.drop_repeated_lines(_table(spark, sf, "documents").select("doc_id", "text"))
