@@ -255,3 +255,18 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     return docs.select("doc_id").join(classes, F.col("doc_id") == F.col("_node"), "left").select(
         "doc_id", F.coalesce("label", "doc_id").alias("class_id"),
         F.col("label").isNull().alias("kept"))
+
+
+def first_of_each_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows of ``docs`` without near-duplicates of an earlier document, see `near_classes`.
+
+    Of rows that share a doc_id one stays.
+    """
+    later = near_classes(docs, similarity).filter(~F.col("kept")).select("doc_id").distinct()
+    repeated = settle(docs.groupBy("doc_id").count().filter(
+        (F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id"))
+    kept = docs.join(later.unionByName(repeated), "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    one = docs.join(repeated, "doc_id", "left_semi").join(later, "doc_id", "left_anti")
+    return kept.unionByName(one.dropDuplicates(["doc_id"])).select(*docs.columns)

@@ -12,6 +12,7 @@ or gathered, and the result does not depend on how rows were spread.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations_with_replacement
 
@@ -180,7 +181,8 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     return estimates.join(chosen, key).drop("start")
 
 
-def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, min_words: int = MIN_WORDS) -> DataFrame:
+def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, min_words: int = MIN_WORDS,
+                  also: Sequence[Column] = ()) -> DataFrame:
     """Counts and verdict per row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept.
 
@@ -189,11 +191,11 @@ def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, min_words: int = MIN_
     sources with fewer than ``MIN_GROUP`` such rows are measured together, and where that is still
     too few nobody is rejected. A null text counts as empty; a null language or source is a group
     like any other. Repeated rows each count and get one verdict. An empty table gives an empty
-    result. Only doc_id, text, lang and source are read.
+    result. Only doc_id, text, lang and source are read. ``also`` are columns of ``docs`` to carry.
     """
     counted = text_statistics(docs.select(
         "doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"),
-        F.coalesce("source", F.lit("")).alias("source"))).drop("text")
+        F.coalesce("source", F.lit("")).alias("source"), *also)).drop("text")
     failed = (F.col("n_words") < min_words) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED_PERCENT) * F.col("n_words"))
     rows = settle(counted.withColumn("base_failed", failed).select("*", *_statistics()))
@@ -213,8 +215,17 @@ def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, min_words: int = MIN_
     estimates = settle(robust_estimates(members.select(*_GROUP, *_vector())))
     judged = _with_distance(members, estimates, _GROUP)
     too_few = (F.col("lang") == "*") & (F.col("source") == "*") & (pooled < MIN_GROUP)
-    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-              "base_failed"]
+    carried = [c for c in counted.columns if c not in ("lang", "source") and not c.startswith("_")]
+    counts = [*carried, "base_failed"]
     return judged.select(*counts, (too_few | (F.col("distance") <= cutoff)).alias("kept"), "distance"
                          ).unionByName(rows.filter("base_failed").select(
                              *counts, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")))
+
+
+def sound_documents(docs: DataFrame, cutoff: float = CUTOFF, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows of ``docs`` that `judge_quality` keeps, unchanged."""
+    rejected = judge_quality(docs, cutoff, min_words, [F.xxhash64("text", "lang", "source").alias("body")]
+                             ).filter(~F.col("kept")).select("doc_id", "body").distinct()
+    same = docs["doc_id"].eqNullSafe(rejected["doc_id"]) & (
+        F.xxhash64(docs["text"], docs["lang"], docs["source"]) == rejected["body"])
+    return docs.join(rejected, same, "left_anti")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import chat, exact, lines, mixing, neardup, packing, quality, spans, urls
+from eventide.llm import chat, exact, lines, mixing, neardup, packing, quality, scoring, spans, urls
 from eventide.llm.store import find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op1_chat_formatting(spark, sf):
     return chat.chat_digests(chat.format_chats(turns.unionByName(probe)))
 
 
+@_query
+def op2_lm_scoring(spark, sf):
+    return scoring.score_documents(_table(spark, sf, "documents"))
+
+
 # The rules of the contract.
 URL_RULES = (
     urls.Rule("allow", "com", "/"),
