@@ -28,6 +28,10 @@ def _key(line: bytes) -> bytes:
     return line.strip(BLANKS).translate(_LOWER)
 
 
+def _chars(key: bytes) -> int:
+    return len(key.decode())
+
+
 def _long_lines(batch: pa.RecordBatch, min_chars: int) -> tuple[Spans, np.ndarray]:
     """Lines of a batch, and which of them have keys of ``min_chars`` code points."""
     found = lines(batch.column("text"))
@@ -97,35 +101,32 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     empty table gives an empty result. Other columns are kept as they are, but for two of the names
     added, which are replaced.
     """
-    drops = repeated_lines(docs, min_chars, min_docs, segments).select(
-        F.col("doc_id").alias("_drop_id"), F.col("drop").alias("_drop"))
+    drops = repeated_lines(docs, min_chars, min_docs, segments)
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    key = F.coalesce(docs["doc_id"], F.lit(_UNNAMED))
-    joined = docs.join(drops, key == drops["_drop_id"], "left").select(*others, "_drop")
-    kept = docs.select(*others).schema
-    schema = kept.add("n_lines", "long").add("n_dropped", "long")
+    # One struct, so that no name of the input meets one of the join.
+    own = docs.select(F.coalesce("doc_id", F.lit(_UNNAMED)).alias("doc_id"), F.struct(*others).alias("row"))
+    schema = docs.select(*others).schema.add("n_lines", "long").add("n_dropped", "long")
     place = others.index("text")
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = batch.column("row").flatten()
             texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch.column("text").to_pylist(), batch.column("_drop").to_pylist(),
-                                  strict=True):
+            for text, drop in zip(columns[place].to_pylist(), batch.column("drop").to_pylist(), strict=True):
                 n = 1 if text is None else text.count("\n") + 1
                 lost = 0
-                if drop:
+                if drop and text is not None:
                     drop = set(drop)
                     parts = text.encode().split(b"\n")
-                    stay = [x for x in parts if len(key := _key(x)) < min_chars
+                    stay = [x for x in parts if _chars(key := _key(x)) < min_chars
                             or hashlib.sha256(key).digest() not in drop]
                     lost, text = n - len(stay), b"\n".join(stay).decode()
                 texts.append(text)
                 n_lines.append(n)
                 n_dropped.append(lost)
-            columns = [batch.column(c) for c in others]
-            columns[place] = pa.array(texts, batch.column("text").type)
+            columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
                 names=[*others, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(cleaned, schema)
+    return own.join(drops, "doc_id", "left").select("row", "drop").mapInArrow(cleaned, schema)

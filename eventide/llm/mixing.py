@@ -71,14 +71,16 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     """
     others = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rates = settle(source_rates(docs, weights))
-    cdf = rates.select(F.col("source").alias("_source"), poisson_cdf(F.col("rate")).alias("_cdf"))
+    cdf = rates.select("source", poisson_cdf(F.col("rate")).alias("cdf"))
     if rates.count() <= FEW_SOURCES:
         cdf = F.broadcast(cdf)
-    at = uniform(F.lit(seed), F.col("doc_id"))
-    counted = docs.select(*others).join(cdf, F.col("source").eqNullSafe(F.col("_source"))).withColumn(
-        "_count", let(at, lambda u: F.size(F.filter("_cdf", lambda x: x <= u))))
-    copies = counted.filter(F.col("_count") > 0).select(
-        *others, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_count").cast("long"))).alias("copy"))
+    # One struct, so that no name of the input meets one of the join.
+    own = docs.select("source", uniform(F.lit(seed), F.col("doc_id")).alias("at"), F.struct(*others).alias("row"))
+    count = let(F.col("at"), lambda at: F.size(F.filter("cdf", lambda x: x <= at))).cast("long")
+    counted = own.join(cdf, own["source"].eqNullSafe(cdf["source"])).select("row", count.alias("count"))
+    one = F.lit(1).cast("long")
+    copies = counted.filter(F.col("count") > 0).select(
+        "row.*", F.explode(F.sequence(one, "count")).alias("copy"))
     name = F.concat_ws(":", F.lit(seed + 1), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
                        "copy")
     return copies.withColumn("shuffle_key", F.md5(name)).orderBy("shuffle_key", "copy")

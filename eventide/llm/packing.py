@@ -8,9 +8,11 @@ what is free, both weighted.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -20,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.store import settle
-from eventide.llm.words import chunks
+from eventide.llm.words import chunks, text_bytes, words
 
 # Pieces packed together. Within a group waste comes to about one sequence, whatever its size.
 GROUP = 8192
 # Words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 2_000_000
+# New words encoded together.
+TOGETHER = 1000
 
 
 class Capacity(NamedTuple):
@@ -43,9 +47,11 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class _Ids:
     """Token ids of texts, as little-endian bytes, by way of a memory of words.
 
-    No token crosses a blank, so a text's ids are those of its parts between spaces, one after the
-    other; parts may hold other white space, which the tokenizer drops. New parts are encoded
-    together, with a special token between them, which no token crosses either.
+    No token crosses a blank, and the tokenizer drops white space, so a text's ids are those of its
+    words, one after the other. Words are looked up by their 64-bit hashes, for all texts of a chunk
+    at once. New ones are encoded many at a time. Words of letters alone come out as one piece each, whose last token alone ends a
+    word, where the vocabulary marks word ends; other parts are set apart by a special token, which
+    no token crosses either.
     """
 
     def __init__(self, tokenizer: bytes) -> None:
@@ -53,38 +59,107 @@ class _Ids:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(tokenizer)
-        self.known: dict[str, bytes] = {}
+        # Number of each word's hash; where its ids are in the pool.
+        self.index: dict[int, int] = {}
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
+        self.count = self.used = 0
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.special = tuple(special)
         self.mark, self.mark_id = max(special.items(), key=lambda x: x[1], default=(None, None))
+        ending = json.loads(tokenizer)["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if ending and t.endswith(ending)]] = True
 
-    def _encode(self, parts: list[str]) -> dict[str, bytes]:
-        plain = [p for p in parts if self.mark and not any(s in p for s in self.special)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _words(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters."""
         found = {}
-        for at in range(0, len(plain), 1000):
-            some = plain[at:at + 1000]
-            ids = np.array(self.tokenizer.encode(
-                self.mark.join(some), add_special_tokens=False).ids, "<u4")
+        for at in range(0, len(parts), TOGETHER):
+            some = parts[at:at + TOGETHER]
+            ids = self._ids(" ".join(some))
+            cuts = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
+            if len(cuts) != len(some):
+                found.update(self._parts(some))
+                continue
+            whole = ids.tobytes()
+            found.update(zip(some, map(whole.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        return found
+
+    def _parts(self, parts: list[str]) -> dict[str, bytes]:
+        found = {}
+        plain = [p for p in parts if self.mark and not any(s in p for s in self.special)]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at:at + TOGETHER]
+            ids = self._ids(self.mark.join(some))
             cuts = np.flatnonzero(ids == self.mark_id).tolist()
             whole = ids.tobytes()
             found.update(
                 (part, whole[4 * a + 4:4 * b])
                 for part, a, b in zip(some, [-1, *cuts], [*cuts, len(ids)], strict=True))
         for part in set(parts).difference(found):
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-            found[part] = np.array(ids, "<u4").tobytes()
+            found[part] = self._ids(part).tobytes()
         return found
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        found = self._encode(list(set().union(*split).difference(known)))
-        known.update(found)
-        ids = [b"".join(map(known.__getitem__, parts)) for parts in split]
-        if len(known) > REMEMBERED:
-            for part in found:
-                del known[part]
-        return ids
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        letters, others = [], []
+        for part in parts:
+            # Some capitals are more than letters in lower case.
+            (letters if part.isalpha() and (part.isascii() or part.lower().isalpha()) else others).append(part)
+        return self._words(letters) | self._parts(others)
+
+    def of(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, ``end_id`` after each, and where each text's ids begin."""
+        found = words(column)
+        own, first, at = np.unique(found.hash, return_index=True, return_inverse=True)
+        names = own.tolist()
+        number = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(number < 0)
+        before = len(self.index), self.used
+        if len(new):
+            data = text_bytes(column)[0].tobytes()
+            spans = zip(found.start[first[new]].tolist(), found.end[first[new]].tolist(), strict=True)
+            parts = [data[a:b].decode() for a, b in spans]
+            number[new] = self._remember([names[i] for i in new.tolist()], parts)
+        length, start = self.length[number][at], self.start[number][at]
+        per_text = np.bincount(found.text, length, len(column)).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(per_text + 1)])
+        ids = np.full(bounds[-1], end_id, "<u4")
+        # Each word's ids, moved on by the ends of the texts before its own.
+        to = np.cumsum(length) - length + found.text
+        step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        ids[np.repeat(to, length) + step] = self.pool[np.repeat(start, length) + step]
+        if len(self.index) > REMEMBERED:
+            for i in new.tolist():
+                del self.index[names[i]]
+            self.used = before[1]
+            self.count = before[0]
+        return ids, bounds
+
+    def _remember(self, names: list[int], parts: list[str]) -> np.ndarray:
+        """Take in new words; their numbers."""
+        encoded = self._new(parts)
+        ids = [encoded[part] for part in parts]
+        size = np.array([len(x) // 4 for x in ids])
+        more = np.frombuffer(b"".join(ids), "<u4")
+        number = np.arange(self.count, self.count + len(parts))
+        self.count += len(parts)
+        self.pool = _room(self.pool, self.used + len(more))
+        self.start, self.length = (_room(x, self.count) for x in (self.start, self.length))
+        self.pool[self.used:self.used + len(more)] = more
+        self.start[number], self.length[number] = self.used + np.cumsum(size) - size, size
+        self.used += len(more)
+        self.index.update(zip(names, number.tolist(), strict=True))
+        return number
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, with space for at least ``size`` entries."""
+    if size <= len(array):
+        return array
+    return np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
 
 
 _WORKER: dict[int, _Ids] = {}
@@ -101,8 +176,6 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, tokens: int = 2048, end_id:
     with open(tokenizer_file, "rb") as file:
         content = file.read()
     vocabulary, name = docs.sparkSession.sparkContext.broadcast(content), zlib.crc32(content)
-    end = np.array([end_id], "<u4").tobytes()
-    width = 4 * tokens
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _WORKER:
@@ -110,15 +183,15 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, tokens: int = 2048, end_id:
         ids = _WORKER[name]
         for batch in batches:
             for part in chunks(batch):
-                doc_ids = part.column("doc_id").to_pylist()
-                texts = [t or "" for t in part.column("text").to_pylist()]
+                found, bounds = ids.of(part.column("text"), end_id)
+                whole = found.tobytes()
                 rows = [
-                    (doc_id, at // width, at // 4, len(piece) // 4, zlib.crc32(piece),
+                    (doc_id, at // tokens, at, len(piece) // 4, zlib.crc32(piece),
                      *([piece] if with_ids else []))
-                    for doc_id, found in zip(doc_ids, ids.of(texts), strict=True)
-                    for whole in [found + end]
-                    for at in range(0, len(whole), width)
-                    for piece in [whole[at:at + width]]
+                    for doc_id, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(),
+                                            bounds[1:].tolist(), strict=True)
+                    for at in range(0, b - a, tokens)
+                    for piece in [whole[4 * (a + at):4 * min(a + at + tokens, b)]]
                 ]
                 columns = list(zip(*rows, strict=True))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]

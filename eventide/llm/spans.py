@@ -150,22 +150,20 @@ def drop_repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     make each other lose words, and rows without a doc_id are neither changed nor counted. An empty
     table gives an empty result. Other columns are kept, but for two of the names added.
     """
-    others = [c for c in docs.columns if c not in ("n_words", "n_removed", "_body", "_spans")]
-    bodies = docs.select(*others, F.xxhash64("text").alias("_body"))
-    found = repeated_windows(
-        docs.select("doc_id", F.xxhash64("text").alias("body"), "text"), window, gram, segments
-    ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_of"), F.col("spans").alias("_spans"))
-    joined = bodies.join(
-        found, (bodies["doc_id"] == found["_id"]) & (bodies["_body"] == found["_of"]), "left"
-    ).select(*others, "_spans")
+    others = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    # One struct, so that no name of the input meets one of the join.
+    own = docs.select("doc_id", F.xxhash64("text").alias("body"), F.struct(*others).alias("row"))
+    found = repeated_windows(own.select(*_DOC, "row.text"), window, gram, segments)
+    joined = own.join(found, _DOC, "left").select("row", "spans")
     schema = docs.select(*others).schema.add("n_words", "long").add("n_removed", "long")
     place = others.index("text")
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = batch.column("row").flatten()
             texts, n_words, n_removed = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(),
-                                   batch.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(columns[place].to_pylist(), batch.column("spans").to_pylist(),
+                                   strict=True):
                 parts = (text or "").encode().split()
                 n_words.append(len(parts))
                 if spans:
@@ -173,8 +171,7 @@ def drop_repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                     parts = [parts[i] for i in np.flatnonzero(stay)]
                 n_removed.append(n_words[-1] - len(parts))
                 texts.append(None if text is None else b" ".join(parts).decode())
-            columns = [batch.column(c) for c in others]
-            columns[place] = pa.array(texts, batch.column("text").type)
+            columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
                 names=[*others, "n_words", "n_removed"])
