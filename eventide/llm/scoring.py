@@ -25,7 +25,7 @@ from eventide.llm.words import chunks, mix, words
 # Remainders of crc32(doc_id) by 7: documents the model never sees, and the deleted part.
 FOLDS, HELD_OUT_FOLD, DELETED_FOLD = 7, 2, 3
 # Code points of a block, and of the text whose n-grams a part adds up.
-BLOCK_CHARS, PART_CHARS = 16_000_000, 8_000_000
+BLOCK_CHARS, PART_CHARS = 8_000_000, 4_000_000
 # Held-out counts are pooled where both estimates agree to this part of a factor of two.
 RESOLUTION = 32
 EM_ROUNDS = 200
@@ -203,11 +203,11 @@ def _pooled(blocks: DataFrame, answers: DataFrame) -> DataFrame:
                             names=names)
         tokens = _Tokens(docs)
         bigram, unigram, bucket = _estimates(
-            tokens, _looked_up(found, "main"), found.column("all_n_main")[0].as_py())
+            tokens, _looked_up(found, "main"), found.column("all")[0].as_py()["n_main"])
         own = deleted[tokens.doc]
         rows, n = np.unique(np.stack([bucket[own].astype(np.int32), _bins(bigram[own]), _bins(unigram[own])]),
                             axis=1, return_counts=True)
-        uniform = 1.0 / (found.column("all_v_main")[0].as_py() + 1)
+        uniform = 1.0 / (found.column("all")[0].as_py()["v_main"] + 1)
         return pa.table([*rows, np.full(len(n), uniform), n], names=names)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
@@ -278,8 +278,8 @@ def score_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS,
     blocks, chars = _blocks(docs, block_chars)
     answers = _answers(_requests(blocks, 1 + chars // part_chars))
     totals = answers.agg(*[F.sum(c).alias(c) for c in ("n_main", "n_every", "v_main", "v_every")])
-    known = answers.select("block", "part", "main", "every", *[
-        totals.select(c).scalar().alias(f"all_{c}") for c in ("n_main", "n_every", "v_main", "v_every")])
+    known = answers.select("block", "part", "main", "every",
+                           totals.select(F.struct("*")).scalar().alias("all"))
     learned = _mixture(_pooled(blocks, known)).agg(
         F.collect_list(F.struct("bucket", "bigram", "unigram", "uniform")).alias("weights"))
     weighted = known.withColumn("weights", learned.scalar())
@@ -287,7 +287,8 @@ def score_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS,
     def score(table: pa.Table, found: pa.Table) -> pa.Table:
         tokens = _Tokens(table)
         counts = _looked_up(found, "every")
-        n, v = (found.column(c)[0].as_py() for c in ("all_n_every", "all_v_every"))
+        totals = found.column("all")[0].as_py()
+        n, v = totals["n_every"], totals["v_every"]
         bigram, unigram, bucket = _estimates(tokens, counts, n)
         mixed = _weight_table(found.column("weights")[0].as_py())[:, bucket]
         chance = mixed[0] * bigram + mixed[1] * unigram + mixed[2] / (v + 1)
