@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from eventide.llm.bloom import SEGMENTS, Filter, seen_twice
 from eventide.llm.store import settle
-from eventide.llm.words import chunks, grams, runs, signed, sliding_min, words
+from eventide.llm.words import chunks, grams, mix, runs, signed, sliding_min, words
 
 WINDOW, GRAM = 50, 16
 
@@ -104,33 +104,68 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     shared = distinct.groupBy("minimizer").agg(
         F.count("*").alias("paths"), F.min("doc_id").alias("first_doc"), F.max("last").alias("last_doc")
     ).filter(F.col("first_doc") < F.col("last_doc")).select("minimizer", "paths")
-    compared = distinct.join(shared, "minimizer")
-
-    branching = compared.filter(F.col("paths") > 1).select(*_PATH, *_DOC, "first")
-    edges = (
-        paths.select(*_PATH, *_DOC, "first", "edges").join(branching, [*_PATH, *_DOC, "first"])
-        .select(*_PATH, "doc_id", F.posexplode("edges").alias("place", "edge"))
-    )
-    firsts = edges.groupBy("minimizer", "edge").agg(F.min("doc_id").alias("edge_doc"))
-    spots = edges.join(firsts, ["minimizer", "edge"]).groupBy(*_PATH).agg(
-        F.collect_set(F.struct("place", F.col("edge_doc").alias("doc"))).alias("spots"))
-    none = F.lit(None).cast("array<struct<place:int,doc:bigint>>")
-    verdicts = compared.filter(F.col("paths") == 1).select(
-        *_PATH, F.col("doc_id").alias("path_doc"), none.alias("spots")
-    ).unionByName(spots.withColumn("path_doc", F.lit(None).cast("long")))
+    compared = settle(distinct.join(shared, "minimizer"))
+    spots = _early_edges(paths, compared.filter(F.col("paths") > 1), segments)
 
+    # In every document after its first, all of a path is known from there; in the first itself,
+    # those edges that other paths brought even earlier.
     def span(start, count):
         return F.struct(start.alias("start"), (start + count - 1 + window).alias("end"))
 
-    whole = F.when(F.col("path_doc") < F.col("doc_id"), F.array(span(F.col("first"), F.col("size"))))
-    single = F.transform(F.filter("spots", lambda s: s["doc"] < F.col("doc_id")),
-                         lambda s: span(F.col("first") + s["place"], F.lit(1)))
-    return (
-        paths.select(*_PATH, *_DOC, "first", "size").join(verdicts, _PATH)
-        .select(*_DOC, F.coalesce(whole, single).alias("spans"))
-        .filter(F.size("spans") > 0)
-        .groupBy(*_DOC).agg(F.flatten(F.collect_set("spans")).alias("spans"))
-    )
+    placed = paths.select(*_PATH, *_DOC, "first", "size").join(
+        compared.select(*_PATH, F.col("doc_id").alias("path_doc")), _PATH)
+    whole = placed.filter(F.col("doc_id") > F.col("path_doc")).select(
+        *_DOC, span(F.col("first"), F.col("size")).alias("span"))
+    single = placed.filter(F.col("doc_id") == F.col("path_doc")).join(spots, _PATH).select(
+        *_DOC, span(F.col("first") + F.col("place"), F.lit(1)).alias("span"))
+    return whole.unionByName(single).groupBy(*_DOC).agg(F.collect_set("span").alias("spans"))
+
+
+def _early_edges(paths: DataFrame, branching: DataFrame, segments: int) -> DataFrame:
+    """(minimizer, path, place) of edges that another path has in an earlier document.
+
+    One occurrence of each branching path is fetched, by its coordinates. Edges that no other path
+    can have, by a filter over all of them, are left out.
+    """
+    fetched = settle(
+        paths.select(*_PATH, *_DOC, "first", "edges")
+        .join(branching.select(*_PATH, *_DOC, "first"), [*_PATH, *_DOC, "first"])
+        .select(*_PATH, "doc_id", "edges"))
+
+    def of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The path's number and the hash of each edge, the minimizer mixed in."""
+        edges = batch.column("edges")
+        path = np.repeat(np.arange(len(edges)), np.diff(edges.offsets.to_numpy()))
+        minimizer = batch.column("minimizer").to_numpy().view(np.uint64)
+        return path, mix(edges.flatten().to_numpy().view(np.uint64) ^ minimizer[path])
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        path, own = of(batch)
+        yield np.unique(np.stack([path.astype(np.uint64), own]), axis=1)[1]
+
+    suspected = paths.sparkSession.sparkContext.broadcast(
+        Filter(seen_twice(fetched, hashes, segments), segments))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path, own = of(batch)
+            keep = suspected.value.hits(own)
+            place = np.arange(len(path)) - np.repeat(*_first_and_size(path)) if len(path) else path
+            of_path = pa.array(path[keep])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(of_path) for c in (*_PATH, "doc_id")),
+                 batch.column("edges").flatten().filter(pa.array(keep)),
+                 pa.array(place[keep].astype(np.int32))], names=[*_PATH, "doc_id", "edge", "place"])
+
+    edges = fetched.mapInArrow(rows, "minimizer long, path long, doc_id long, edge long, place int")
+    firsts = edges.groupBy("minimizer", "edge").agg(F.min("doc_id").alias("edge_doc"))
+    return edges.join(firsts, ["minimizer", "edge"]).filter(F.col("edge_doc") < F.col("doc_id")).select(
+        *_PATH, "place")
+
+
+def _first_and_size(path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    bounds = runs(path)
+    return bounds[:-1], np.diff(bounds)
 
 
 def _uncovered(n_words: int, spans: list[dict]) -> np.ndarray:
