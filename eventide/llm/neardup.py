@@ -1,15 +1,16 @@
 """Near-duplicates by ProbMinHash: signatures of weighted shingles, banding, verification, classes.
 
-A text is the multiset of its five-word shingles. Each shingle is the source of a Poisson process of
-arrivals, as many per unit of time as it occurs, each arrival at a random component of the
+A text is its five-word shingles, each with the weight 1 + ln(count). A shingle is the source of a
+Poisson process of arrivals, its weight the rate, each arrival at a random component of the
 signature; a component keeps whoever arrives first, and a shingle is done with as soon as its next
 arrival comes later than everything kept. Two texts agree in a component with the probability
-Jaccard similarity of their shingles.
+Jaccard similarity of their weighted shingles, which is the Jaccard similarity where nothing repeats.
 
-Texts that agree in all components of a band share a bucket. Exact copies are one node. Buckets are
-not spelled out into pairs: first everyone is compared with the bucket's first member, then with the
-first member of another class, and only between the classes that a bucket still holds are the
-remaining pairs compared, those left out that the triangle inequality decides.
+Texts that agree in all components of a band share a bucket; exact copies are one node. Candidates
+are verified by the Jaccard similarity of their shingle sets. Buckets are not spelled out into
+pairs: first everyone is compared with the bucket's first member, then with the first member of
+another class, and between the classes that a bucket still holds only those are compared that may
+be similar by what they share with the bucket's first member and outside it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.bloom import SEGMENTS, Filter, seen_twice
@@ -102,7 +103,7 @@ def _signed_texts(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     continue
                 some = np.unique(text)
                 number = np.searchsorted(some, text)
-                signature = prob_min_hash(number, own, count, len(some), bands * rows)
+                signature = prob_min_hash(number, own, 1 + np.log(count), len(some), bands * rows)
                 spread = _bands(signature, bands, rows)
                 bounds = runs(found.text)
                 body = np.array([_sequence(found.hash[a:b]) for a, b in
@@ -120,18 +121,9 @@ def _signed_texts(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         sign, "doc_id long, body long, body2 long, bands array<long>")
 
 
-def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Of two multisets, each as sorted distinct elements and their counts."""
-    both, at_a, at_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(both):
-        return 0.0
-    in_a, in_b = a[1][at_a].astype(float), b[1][at_b].astype(float)
-    only_a, only_b = a[1].sum() - in_a.sum(), b[1].sum() - in_b.sum()
-    kinds, many = np.unique(np.stack([in_a, in_b]), axis=1, return_counts=True)
-    total = 0.0
-    for (x, y), n in zip(kinds.T, many, strict=True):
-        total += n / (only_a / x + only_b / y + (many * np.maximum(kinds[0] / x, kinds[1] / y)).sum())
-    return total
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sets share, each in ascending order."""
+    return len(np.intersect1d(a, b, assume_unique=True))
 
 
 def _wanted_texts(docs: DataFrame, nodes: DataFrame, segments: int) -> DataFrame:
@@ -154,45 +146,139 @@ def _wanted_texts(docs: DataFrame, nodes: DataFrame, segments: int) -> DataFrame
     return texts.mapInArrow(some, "doc_id long, text string")
 
 
-def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of each pair (a, b)."""
+def _both_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+
+
+def _shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Both shingle sets of each row; a text that follows itself is not read again."""
+    name, last = None, None
+    for b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b")),
+                                 strict=True):
+        if name != (b, len(text_b)):
+            name, last = (b, len(text_b)), shingles(words(pa.array([text_b])))[1]
+        yield shingles(words(pa.array([text_a])))[1], last
 
-    def multiset(text: str) -> tuple[np.ndarray, np.ndarray]:
-        return shingles(words(pa.array([text])))[1:]
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, last = None, None
+def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, size_a, size_b, common) of each pair (a, b)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b")),
-                                         strict=True):
-                if name != (b, len(text_b)):
-                    name, last = (b, len(text_b)), multiset(text_b)
-                found.append(probability_jaccard(multiset(text_a), last))
+            found = [(len(a), len(b), overlap(a, b)) for a, b in _shingle_sets(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(found, pa.float64())],
-                names=["a", "b", "similarity"])
+                [batch.column("a"), batch.column("b"),
+                 *(pa.array([x[i] for x in found], pa.int64()) for i in range(3))],
+                names=["a", "b", "size_a", "size_b", "common"])
 
-    return joined.mapInArrow(similar, "a long, b long, similarity double")
+    return _both_texts(pairs, texts).mapInArrow(
+        compare, "a long, b long, size_a long, size_b long, common long")
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one class, with their class."""
-    own = members.select("band", "node").join(labels, "node", "left").select(
-        "band", "node", F.coalesce("label", "node").alias("label"))
-    open_ = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return own.join(open_.filter(F.col("low") < F.col("high")).select("band", "low"), "band")
+    own = members.join(labels, "node", "left").select(
+        "band", "center", "node", F.coalesce("label", "node").alias("label"))
+    several = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return own.join(several.filter(F.col("low") < F.col("high")).select("band", "low"), "band")
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _size_bin(size: Column) -> Column:
+    """Sizes within a hundredth of each other, more or less."""
+    return F.floor(F.ln(size.cast("double")) * 100)
+
+
+def _left_over(opened: DataFrame, tested: DataFrame, texts: DataFrame, similarity: float,
+               segments: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and two classes that may be similar, by what is known of both.
+
+    Of a member A and its bucket's center c the sizes and the common shingles are known. Two members
+    that share nothing outside c share at most min(|A & c|, |B & c|), and to be similar they have to
+    share ``similarity / (1 + similarity)`` of |A| + |B|. So a pair needs enough in the center, or
+    something outside it. Members in the center's own class have been linked to it; one of every
+    other pair is not, which leaves few of a group of many similar texts.
+    """
+    ratio = (1 + similarity) / similarity
+    around = opened.select("center", "node", "label").distinct()
+    center_label = around.filter(F.col("node") == F.col("center")).select(
+        "center", F.col("label").alias("center_label"))
+    known = tested.select(F.col("a").alias("node"), F.col("b").alias("center"),
+                          F.col("size_a").alias("size"), "common").distinct()
+    placed = settle(
+        around.join(known, ["center", "node"]).join(center_label, "center")
+        .withColumn("reach", F.floor(F.col("common") * ratio - F.col("size") + 1e-6))
+        .withColumn("stray", F.col("label") != F.col("center_label")))
+
+    # Enough in the center: |A| + |B| is at most ``ratio`` times what either shares with it.
+    least = F.ceil(F.col("size") * similarity - 1e-6)
+    strays = placed.filter(F.col("stray") & (F.col("reach") >= least)).select(
+        "center", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"),
+        F.col("reach").alias("reach_a"),
+        F.explode(F.sequence(_size_bin(least), _size_bin(F.col("reach")))).alias("bin"))
+    others = placed.select(
+        "center", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"),
+        F.col("reach").alias("reach_b"), _size_bin(F.col("size")).alias("bin"))
+    inside = strays.join(others, ["center", "bin"]).filter(
+        (F.col("label_a") != F.col("label_b")) & (F.col("size_b") <= F.col("reach_a"))
+        & (F.col("size_a") <= F.col("reach_b"))).select("a", "b")
+
+    # Something outside the center: shingles that two members share and the center has not.
+    with_strays = placed.filter("stray").select("center").distinct()
+    pairs = placed.join(with_strays, "center", "left_semi").select(
+        F.col("node").alias("a"), F.col("center").alias("b"))
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signed(np.setdiff1d(a, b, assume_unique=True)) for a, b in _shingle_sets(batch)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(found, pa.list_(pa.int64()))],
+                names=["a", "b", "extra"])
+
+    extra = settle(_both_texts(pairs, texts).mapInArrow(outside, "a long, b long, extra array<long>"))
+
+    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lists = batch.column("extra")
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        center = batch.column("b").to_numpy().view(np.uint64)
+        return row, mix(lists.flatten().to_numpy().view(np.uint64) ^ mix(center)[row])
+
+    suspected = texts.sparkSession.sparkContext.broadcast(
+        Filter(seen_twice(extra, lambda batch: [flat(batch)[1]], segments), segments))
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, own = flat(batch)
+            keep = suspected.value.hits(own)
+            of = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("b").take(of), pa.array(signed(own[keep])), batch.column("a").take(of)],
+                names=["center", "shingle", "node"])
+
+    shared = extra.mapInArrow(repeated, "center long, shingle long, node long").join(
+        placed.select("center", "node", "label", "stray"), ["center", "node"])
+    lists = shared.groupBy("center", "shingle").agg(
+        F.max("stray").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = settle(shared.join(
+        lists.filter(F.col("any") & (F.col("low") < F.col("high"))).select("center", "shingle"),
+        ["center", "shingle"]))
+    one = shared.filter("stray").select("center", "shingle", F.col("node").alias("a"),
+                                        F.col("label").alias("label_a"))
+    two = shared.select("center", "shingle", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    apart = one.join(two, ["center", "shingle"]).filter(F.col("label_a") != F.col("label_b")).select("a", "b")
+    return inside.unionByName(apart).distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
                  rows: int = ROWS, segments: int = SEGMENTS) -> DataFrame:
     """(doc_id, class_id, kept), one row per row of ``docs``.
 
-    Texts whose probability Jaccard similarity over word five-grams is at least ``similarity`` are
-    linked; a class is what links connect, named by its smallest doc_id, which is kept. Texts of
+    Texts whose Jaccard similarity over word five-grams is at least ``similarity`` are linked; a class is what links connect, named by its smallest doc_id, which is kept. Texts of
     fewer than five words are one shingle. Texts without words, null ones included, are classes of
     their own. Rows that share a doc_id are one document and one class; rows without a doc_id are
     kept, with no class. An empty table gives an empty result. Only doc_id and text are read.
@@ -212,39 +298,26 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     def round_of(pairs: DataFrame) -> DataFrame:
         return settle(_compare(pairs.distinct(), texts))
 
-    links = F.col("similarity") >= similarity - 1e-9
+    links = F.col("common") >= similarity * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9
     away = F.col("node") != F.col("center")
-    tested = round_of(members.filter(away).select(F.col("node").alias("a"), F.col("center").alias("b")))
-    labels = components(tested.filter(links))
+    first = round_of(members.filter(away).select(F.col("node").alias("a"), F.col("center").alias("b")))
+    labels = components(first.filter(links))
 
     # Everyone with the first member of a class other than the bucket's first.
-    open_ = settle(_labelled(members, labels))
-    second = open_.filter(F.col("label") > F.col("low")).groupBy("band").agg(
+    opened = settle(_open_buckets(members, labels))
+    second = opened.filter(F.col("label") > F.col("low")).groupBy("band").agg(
         F.min(F.struct("node", "label")).alias("lead"))
-    pairs = open_.join(second, "band").filter(F.col("label") != F.col("lead.label")).select(
+    pairs = opened.join(second, "band").filter(F.col("label") != F.col("lead.label")).select(
         F.col("node").alias("a"), F.col("lead.node").alias("b"))
-    known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = round_of(pairs.join(known, ["a", "b"], "left_anti"))
-    tested = tested.unionByName(more)
+    more = round_of(pairs.join(_both_ways(first), ["a", "b"], "left_anti"))
+    tested = first.unionByName(more)
     labels = components(tested.filter(links))
 
-    # What is left between classes, but for pairs that are too far apart by the triangle inequality.
-    centers = members.select("band", "center").distinct()
-    measured = tested.groupBy("a", "b").agg(F.max("similarity").alias("near"))
-    placed = settle(
-        _labelled(members, labels).join(centers, "band")
-        .join(measured.select(F.col("a").alias("node"), F.col("b").alias("center"), "near"),
-              ["node", "center"], "left")
-        .select("band", "node", "label", F.when(F.col("node") == F.col("center"), F.lit(1.0))
-                .otherwise(F.col("near")).alias("near")))
-    one, two = (placed.select("band", *[F.col(c).alias(f"{c}_{i}") for c in ("node", "label", "near")])
-                for i in "ab")
-    possible = F.coalesce(F.abs(F.col("near_a") - F.col("near_b")) <= 1 - similarity + 1e-9, F.lit(True))
-    rest = one.join(two, "band").filter(
-        (F.col("label_a") < F.col("label_b")) & possible
-    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    last = round_of(rest.join(known, ["a", "b"], "left_anti"))
+    # What is left between classes.
+    opened = settle(_open_buckets(members, labels))
+    rest = _left_over(opened, first, texts, similarity, segments)
+    last = round_of(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                    .join(_both_ways(tested), ["a", "b"], "left_anti"))
     found = tested.unionByName(last).filter(links).select("a", "b")
 
     # Rows of one doc_id, and all copies of a text, belong together.

@@ -93,7 +93,7 @@ def _vector(p: str = "z") -> list[Column]:
 
 def _statistics() -> list[Column]:
     """The transformed statistics, in units."""
-    words, chars = F.col("n_words"), F.nullif("word_chars", F.lit(0))
+    words, chars = (F.nullif(c, F.lit(0)) for c in ("n_words", "word_chars"))
     raw = (
         F.col("word_chars") / words,
         F.col("n_symbols") / chars,
