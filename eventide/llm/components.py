@@ -34,10 +34,12 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     """
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                    .filter(F.col("u") > F.col("v")).distinct())
-    mark = None
+    state = [F.count("*").alias("edges"), F.bit_xor(F.xxhash64("u", "v")).alias("mark")]
+    mark = edges.agg(*state).first()
     for _ in range(most):
-        edges = settle(_star(_star(edges, upward=True), upward=False))
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        # A step never adds edges.
+        edges = settle(_star(_star(edges, upward=True), upward=False), mark.edges)
+        now = edges.agg(*state).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         mark = now

@@ -59,7 +59,7 @@ def exact_groups(docs: DataFrame, heavy: int = HEAVY, counters: int = COUNTERS)
     """
     digests = settle(_digests(docs))
     winners = settle(_group(
-        digests.join(F.broadcast(heavy_digests(digests, heavy, counters)), "text_sha256")))
+        digests.join(F.broadcast(heavy_digests(digests, heavy, counters)), "text_sha256")), heavy)
 
     frequent = digests.join(F.broadcast(winners), "text_sha256")
     others = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")

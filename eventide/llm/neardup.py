@@ -8,9 +8,9 @@ Jaccard similarity of their weighted shingles, which is the Jaccard similarity w
 
 Texts that agree in all components of a band share a bucket; exact copies are one node. Candidates
 are verified by the Jaccard similarity of their shingle sets. Buckets are not spelled out into
-pairs: first everyone is compared with the bucket's first member, then with the first member of
-another class, and between the classes that a bucket still holds only those are compared that may
-be similar by what they share with the bucket's first member and outside it.
+pairs: first everyone is compared with the bucket's first member, its center, then with the first
+member of another class; and if a bucket still holds several classes, its members are compared in
+blocks by how they differ from the center.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.bloom import SEGMENTS, Filter, seen_twice
@@ -32,6 +33,9 @@ SIMILARITY = 0.8
 # At similarity 0.8 all bands miss with probability (1 - 0.8**5)**28, 1 in 70,000.
 BANDS, ROWS = 28, 5
 
+# Members of a bucket, and shingles in which they differ from its center, that a block holds.
+BLOCK_ROWS, BLOCK_SHINGLES = 128, 1_000_000
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,17 +153,25 @@ def _wanted_texts(docs: DataFrame, nodes: DataFrame, segments: int) -> DataFrame
 def _both_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, "text_a", "text_b")
 
 
 def _shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Both shingle sets of each row; a text that follows itself is not read again."""
-    name, last = None, None
-    for b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b")),
-                                 strict=True):
-        if name != (b, len(text_b)):
-            name, last = (b, len(text_b)), shingles(words(pa.array([text_b])))[1]
-        yield shingles(words(pa.array([text_a])))[1], last
+    """Both shingle sets of each row, worked out for many rows at once."""
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        text, own, _ = shingles(words(column))
+        bounds = np.searchsorted(text, np.arange(len(column) + 1))
+        return [own[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    for part in chunks(batch, "text_a"):
+        # Rows of one center come together; its text is read once.
+        name = part.column("b").to_numpy()
+        long = pc.binary_length(part.column("text_b")).to_numpy()
+        first = runs(name, long)
+        own = sets(part.column("text_a"))
+        other = sets(part.column("text_b").take(pa.array(first[:-1])))
+        yield from zip(own, (x for x, n in zip(other, np.diff(first), strict=True) for _ in range(n)), strict=True)
 
 
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -189,89 +201,67 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _size_bin(size: Column) -> Column:
-    """Sizes within a hundredth of each other, more or less."""
-    return F.floor(F.ln(size.cast("double")) * 100)
+def _links_left(opened: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of a bucket that are in two classes, the bucket's center apart.
 
-
-def _left_over(opened: DataFrame, tested: DataFrame, texts: DataFrame, similarity: float,
-               segments: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and two classes that may be similar, by what is known of both.
-
-    Of a member A and its bucket's center c the sizes and the common shingles are known. Two members
-    that share nothing outside c share at most min(|A & c|, |B & c|), and to be similar they have to
-    share ``similarity / (1 + similarity)`` of |A| + |B|. So a pair needs enough in the center, or
-    something outside it. Members in the center's own class have been linked to it; one of every
-    other pair is not, which leaves few of a group of many similar texts.
+    A and B differ in as many shingles as their differences from the center do, so the differences
+    are all that is needed: |A ^ B| = |A ^ c| + |B ^ c| - 2 |(A ^ c) & (B ^ c)|. The members around
+    one center are dealt into blocks of bounded size, and each two blocks are compared at once, by
+    counting shared differences; only links become rows.
     """
-    ratio = (1 + similarity) / similarity
     around = opened.select("center", "node", "label").distinct()
-    center_label = around.filter(F.col("node") == F.col("center")).select(
-        "center", F.col("label").alias("center_label"))
-    known = tested.select(F.col("a").alias("node"), F.col("b").alias("center"),
-                          F.col("size_a").alias("size"), "common").distinct()
-    placed = settle(
-        around.join(known, ["center", "node"]).join(center_label, "center")
-        .withColumn("reach", F.floor(F.col("common") * ratio - F.col("size") + 1e-6))
-        .withColumn("stray", F.col("label") != F.col("center_label")))
-
-    # Enough in the center: |A| + |B| is at most ``ratio`` times what either shares with it.
-    least = F.ceil(F.col("size") * similarity - 1e-6)
-    strays = placed.filter(F.col("stray") & (F.col("reach") >= least)).select(
-        "center", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"),
-        F.col("reach").alias("reach_a"),
-        F.explode(F.sequence(_size_bin(least), _size_bin(F.col("reach")))).alias("bin"))
-    others = placed.select(
-        "center", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"),
-        F.col("reach").alias("reach_b"), _size_bin(F.col("size")).alias("bin"))
-    inside = strays.join(others, ["center", "bin"]).filter(
-        (F.col("label_a") != F.col("label_b")) & (F.col("size_b") <= F.col("reach_a"))
-        & (F.col("size_a") <= F.col("reach_b"))).select("a", "b")
-
-    # Something outside the center: shingles that two members share and the center has not.
-    with_strays = placed.filter("stray").select("center").distinct()
-    pairs = placed.join(with_strays, "center", "left_semi").select(
-        F.col("node").alias("a"), F.col("center").alias("b"))
-
-    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [signed(np.setdiff1d(a, b, assume_unique=True)) for a, b in _shingle_sets(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(found, pa.list_(pa.int64()))],
-                names=["a", "b", "extra"])
-
-    extra = settle(_both_texts(pairs, texts).mapInArrow(outside, "a long, b long, extra array<long>"))
-
-    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        lists = batch.column("extra")
-        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        center = batch.column("b").to_numpy().view(np.uint64)
-        return row, mix(lists.flatten().to_numpy().view(np.uint64) ^ mix(center)[row])
+    others = around.filter(F.col("node") != F.col("center"))
+    several = others.groupBy("center").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(
+        F.col("low") < F.col("high")).select("center")
+    pairs = others.join(several, "center").select(F.col("node").alias("a"), F.col("center").alias("b"), "label")
 
-    suspected = texts.sparkSession.sparkContext.broadcast(
-        Filter(seen_twice(extra, lambda batch: [flat(batch)[1]], segments), segments))
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, own = flat(batch)
-            keep = suspected.value.hits(own)
-            of = pa.array(row[keep])
+            size, found = [], []
+            for a, b in _shingle_sets(batch):
+                size.append(len(a))
+                found.append(signed(np.setxor1d(a, b, assume_unique=True)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("b").take(of), pa.array(signed(own[keep])), batch.column("a").take(of)],
-                names=["center", "shingle", "node"])
-
-    shared = extra.mapInArrow(repeated, "center long, shingle long, node long").join(
-        placed.select("center", "node", "label", "stray"), ["center", "node"])
-    lists = shared.groupBy("center", "shingle").agg(
-        F.max("stray").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"))
-    shared = settle(shared.join(
-        lists.filter(F.col("any") & (F.col("low") < F.col("high"))).select("center", "shingle"),
-        ["center", "shingle"]))
-    one = shared.filter("stray").select("center", "shingle", F.col("node").alias("a"),
-                                        F.col("label").alias("label_a"))
-    two = shared.select("center", "shingle", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    apart = one.join(two, ["center", "shingle"]).filter(F.col("label_a") != F.col("label_b")).select("a", "b")
-    return inside.unionByName(apart).distinct()
+                [batch.column("b"), batch.column("a"), batch.column("label"), pa.array(size, pa.int64()),
+                 pa.array(found, pa.list_(pa.int64()))],
+                names=["center", "node", "label", "size", "differences"])
+
+    apart = settle(_both_texts(pairs, texts).mapInArrow(
+        differences, "center long, node long, label long, size long, differences array<long>"))
+    blocks = apart.groupBy("center").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("differences")) / BLOCK_SHINGLES)).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = apart.join(blocks, "center").withColumn("block", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
+        size = table.column("size").to_numpy()
+        lists = table.column("differences").combine_chunks()
+        many = np.diff(lists.offsets.to_numpy())
+        _, at, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(node)), many)[count[at] > 1]
+        column = np.unique(at[count[at] > 1], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((len(node), len(node)), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+            a, b = np.searchsorted(column, [first, first + 1024])
+            part = np.zeros((len(node), 1024), np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            shared += part @ part.T
+        differ = many[:, None] + many[None, :] - 2 * shared
+        total = size[:, None] + size[None, :]
+        common = (total - differ) / 2
+        linked = (common >= similarity * (total - common) - 1e-3) & (label[:, None] != label[None, :])
+        linked &= node[:, None] < node[None, :]
+        if (block != block[0]).any():
+            linked &= block[:, None] != block[None, :]
+        x, y = np.nonzero(linked)
+        return pa.table([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+    return met.groupBy("center", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
@@ -314,11 +304,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     labels = components(tested.filter(links))
 
     # What is left between classes.
-    opened = settle(_open_buckets(members, labels))
-    rest = _left_over(opened, first, texts, similarity, segments)
-    last = round_of(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                    .join(_both_ways(tested), ["a", "b"], "left_anti"))
-    found = tested.unionByName(last).filter(links).select("a", "b")
+    last = _links_left(_open_buckets(members, labels), texts, similarity)
+    found = tested.filter(links).select("a", "b").unionByName(last)
 
     # Rows of one doc_id, and all copies of a text, belong together.
     own = signed_texts.join(nodes, [*bodies]).select("doc_id", "node").distinct()

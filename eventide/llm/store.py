@@ -20,12 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
+# Rows of a file, where their number is known before.
+FILE_ROWS, LEAST_FILES = 1_000_000, 8
+
+
+def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     What follows starts from files: it runs the steps above only once, and a lost executor costs
-    only what it was working on.
+    only what it was working on. ``rows``, the most there can be, keeps small tables in few files.
     """
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/eventide/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
