@@ -23,7 +23,7 @@ def _star(edges: DataFrame, upward: bool) -> DataFrame:
         moved = joined.filter(F.col("v") != F.col("to")).select(
             F.col("v").alias("u"), F.col("to").alias("v")
         ).unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.filter(F.col("u") > F.col("v")).distinct()
+    return moved.filter(F.col("u") > F.col("v"))
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -38,7 +38,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     mark = edges.agg(*state).first()
     for _ in range(most):
         # A step never adds edges.
-        edges = settle(_star(_star(edges, upward=True), upward=False), mark.edges)
+        edges = settle(_star(_star(edges, upward=True), upward=False).distinct(), mark.edges)
         now = edges.agg(*state).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

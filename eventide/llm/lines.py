@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.bloom import SEGMENTS, Filter, seen_twice
+from eventide.llm.store import settle
 from eventide.llm.words import BLANKS, Spans, chunks, lines, text_bytes
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -80,11 +81,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
                      pa.array(digests, pa.binary())], names=["doc_id", "digest"])
 
     found = texts.mapInArrow(suspects, "doc_id long, digest binary")
-    frequent = (
+    # Written, so that the join below starts from files and a hot digest of it can be split.
+    frequent = settle(
         found.distinct().groupBy("digest")
         .agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
-        .filter(F.col("docs") >= min_docs).select("digest", "last")
-    )
+        .filter(F.col("docs") >= min_docs).select("digest", "last"))
     return (
         found.join(frequent, "digest").filter(F.col("doc_id") < F.col("last"))
         .groupBy("doc_id").agg(F.collect_set("digest").alias("drop"))

@@ -8,9 +8,8 @@ Jaccard similarity of their weighted shingles, which is the Jaccard similarity w
 
 Texts that agree in all components of a band share a bucket; exact copies are one node. Candidates
 are verified by the Jaccard similarity of their shingle sets. Buckets are not spelled out into
-pairs: first everyone is compared with the bucket's first member, its center, then with the first
-member of another class; and if a bucket still holds several classes, its members are compared in
-blocks by how they differ from the center.
+pairs: first everyone is compared with the bucket's first member, its center; and if a bucket still
+holds several classes, its members are compared in blocks by how they differ from the center.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.bloom import SEGMENTS, Filter, seen_twice
 from eventide.llm.components import components
 from eventide.llm.store import settle
 from eventide.llm.words import Spans, chunks, grams, mix, runs, signed, words
@@ -130,26 +128,6 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def _wanted_texts(docs: DataFrame, nodes: DataFrame, segments: int) -> DataFrame:
-    """(doc_id, text) of the nodes and of few others.
-
-    A filter of fixed size over the nodes' ids spares most texts the shuffle; joins do the rest.
-    """
-    def ids(batch: pa.RecordBatch) -> np.ndarray:
-        return batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-
-    packed = seen_twice(nodes.select(F.col("node").alias("doc_id")),
-                        lambda batch: [np.repeat(ids(batch), 2)], segments)
-    wanted = docs.sparkSession.sparkContext.broadcast(Filter(packed, segments))
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.value.hits(ids(batch))))
-
-    texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return texts.mapInArrow(some, "doc_id long, text string")
-
-
 def _both_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -197,10 +175,6 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(several.filter(F.col("low") < F.col("high")).select("band", "low"), "band")
 
 
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
 def _links_left(opened: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between members of a bucket that are in two classes, the bucket's center apart.
 
@@ -261,11 +235,11 @@ def _links_left(opened: DataFrame, texts: DataFrame, similarity: float) -> DataF
         x, y = np.nonzero(linked)
         return pa.table([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
 
-    return met.groupBy("center", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    return met.repartition("center", "i", "j").groupBy("center", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
-                 rows: int = ROWS, segments: int = SEGMENTS) -> DataFrame:
+                 rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, kept), one row per row of ``docs``.
 
     Texts whose Jaccard similarity over word five-grams is at least ``similarity`` are linked; a class is what links connect, named by its smallest doc_id, which is kept. Texts of
@@ -283,38 +257,31 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     )
     buckets = spread.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("n"))
     members = settle(spread.join(buckets.filter(F.col("n") > 1).drop("n"), "band"))
-    texts = settle(_wanted_texts(docs, members.select("node").distinct(), segments))
-
-    def round_of(pairs: DataFrame) -> DataFrame:
-        return settle(_compare(pairs.distinct(), texts))
+    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    texts = settle(docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+                   .join(wanted, "doc_id", "left_semi"))
 
     links = F.col("common") >= similarity * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9
-    away = F.col("node") != F.col("center")
-    first = round_of(members.filter(away).select(F.col("node").alias("a"), F.col("center").alias("b")))
-    labels = components(first.filter(links))
-
-    # Everyone with the first member of a class other than the bucket's first.
-    opened = settle(_open_buckets(members, labels))
-    second = opened.filter(F.col("label") > F.col("low")).groupBy("band").agg(
-        F.min(F.struct("node", "label")).alias("lead"))
-    pairs = opened.join(second, "band").filter(F.col("label") != F.col("lead.label")).select(
-        F.col("node").alias("a"), F.col("lead.node").alias("b"))
-    more = round_of(pairs.join(_both_ways(first), ["a", "b"], "left_anti"))
-    tested = first.unionByName(more)
-    labels = components(tested.filter(links))
+    pairs = members.filter(F.col("node") != F.col("center")).select(
+        F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    labels = settle(components(settle(_compare(pairs, texts)).filter(links)))
 
     # What is left between classes.
     last = _links_left(_open_buckets(members, labels), texts, similarity)
-    found = tested.filter(links).select("a", "b").unionByName(last)
-
-    # Rows of one doc_id, and all copies of a text, belong together.
-    own = signed_texts.join(nodes, [*bodies]).select("doc_id", "node").distinct()
-    both = found.unionByName(own.filter(F.col("doc_id") != F.col("node")).select(
-        F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    classes = components(both).select(F.col("node").alias("_node"), "label")
-    return docs.select("doc_id").join(classes, F.col("doc_id") == F.col("_node"), "left").select(
-        "doc_id", F.coalesce("label", "doc_id").alias("class_id"),
-        F.col("label").isNull().alias("kept"))
+
+    # Rows of one doc_id belong together, whatever their texts.
+    own = signed_texts.join(nodes, [*bodies]).select("doc_id", "node")
+    one = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    found = last.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))).unionByName(
+        one.filter(F.col("a") < F.col("b")).select("a", "b")).unionByName(
+        own.join(one, "doc_id").filter((F.col("node") > F.col("a")) & (F.col("node") < F.col("b")))
+        .select("a", F.col("node").alias("b")))
+    classes = components(found)
+    known = one.select("doc_id", F.col("a").alias("node")).join(classes, "node", "left").select(
+        F.col("doc_id").alias("of"), F.coalesce("label", "node").alias("class_id"))
+    return docs.select("doc_id").join(known, F.col("doc_id") == F.col("of"), "left").select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def first_of_each_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
