@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import date
 
 # Defaults and ticker sets that results depend on.
@@ -14,14 +14,13 @@ SESSION_GAP_MINUTES = 25
 EXCHANGE_TZ = "America/New_York"
 NEAREST_SPAN_DAYS = 14
 MIN_BARS = 3
-SERVE_LIMIT = 50
-SERVE_LIMIT_MAX = 500
 TICKER_CHIPS = 12
 LARGE_CAP = (
     "AAPL", "MSFT", "GOOGL", "AMZN", "NVDA", "META", "TSLA",
     "JPM", "BAC", "GS", "MS", "JNJ", "XOM", "CVX", "WMT",
 )
 MID_CAP = ("PFE", "ABBV", "COST", "TGT", "BA", "CAT", "GE")
+STUDY_TICKERS = LARGE_CAP + MID_CAP
 
 
 @dataclass(frozen=True)
@@ -38,4 +37,3 @@ class StudyConfig:
     min_bars: int = MIN_BARS
     large_cap: tuple[str, ...] = LARGE_CAP
     mid_cap: tuple[str, ...] = MID_CAP
-    tickers: tuple[str, ...] = field(default=LARGE_CAP + MID_CAP)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventide.config import EXCHANGE_TZ, SESSION_GAP_MINUTES
 from eventide.functions import wall_clock
@@ -20,20 +21,37 @@ BAR_TRADES = (("open", 9, 30), ("high", 11, 0), ("low", 14, 0), ("close", 16, 0)
 
 # One minute: local dates change on whole minutes, also where clocks are turned back at midnight.
 WIDEST_SLICE = 60
-# Trades one task orders without effort.
-CROWDED_SLICE = 5_000_000
-_UNTIMED_SLICES = 1024
-_COPY_CHUNK = 1_000_000
+# Over so many slots trades without a time are numbered.
+_UNTIMED_SLOTS = 1 << 16
+_DAY_SECONDS = 86_400
 
-_SLICE = ["_ticker", "_date", "_slot"]
+_DAY = ["_ticker", "_day"]
+_SLICE = [*_DAY, "_slot", "local_date"]
 _DERIVED = ("local_ts", "local_date", "prev_trade_ts", "gap_minutes", "is_session_start",
             "session_index", "session_id")
 
 
 def bar_sessions(bars: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
                  tz: str = EXCHANGE_TZ) -> DataFrame:
-    """Sessions of the trades of daily bars."""
-    return sessionize(bar_trades(bars), gap_minutes, tz, ["trade_type", "price"], crowded=None)
+    """Sessions of the trades of daily bars, one bar per ticker and day.
+
+    A bar has four trades, so a day is small enough to be ordered in one task; only one row per day
+    is ordered per ticker.
+    """
+    trades = bar_trades(bars)
+    keyed = _keyed(trades.filter(F.col("trade_ts").isNotNull()), tz, _DAY_SECONDS)
+    day = Window.partitionBy(*_DAY).orderBy("trade_ts", "trade_type", "price")
+    linked = keyed.withColumns({
+        "_prev": F.lag("trade_ts").over(day), "_prev_local": F.lag("local_date").over(day)})
+    opened = linked.withColumn("_starts", F.when(F.col("_prev").isNull(), 0).otherwise(
+        _opens("trade_ts", "local_date", "_prev", "_prev_local", gap_minutes)))
+    counted = opened.withColumn("_so_far", F.sum("_starts").over(
+        day.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    days = _days(counted.select(
+        *_DAY, F.col("trade_ts").alias("_first"), F.col("trade_ts").alias("_last"),
+        F.col("local_date").alias("_date"), "_starts"), gap_minutes, trades)
+    timed = _numbered(counted.join(days, _DAY), trades.columns)
+    return timed.unionByName(_untimed(trades, ["trade_type", "price"], tz))
 
 
 def bar_trades(bars: DataFrame) -> DataFrame:
@@ -68,99 +86,81 @@ def slice_seconds_for(gap_minutes: float, widest: int = WIDEST_SLICE) -> int:
     return min(widest, math.floor(gap_minutes * 60) + 1)
 
 
-def _sliced(trades: DataFrame, gap_minutes: float, tz: str, tie_break: Sequence[str],
-            widest: int) -> DataFrame:
-    """Add local time and the slice a trade falls in.
+def _ticker_key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), "ticker"), F.lit(""))
 
-    The key columns are never null, so that windows and joins agree on one hash partitioning.
-    Trades without a time come before all others, spread over many slices by their other columns.
-    """
-    width = slice_seconds_for(gap_minutes, widest)
+
+def _keyed(trades: DataFrame, tz: str, width: int) -> DataFrame:
+    """Add local time, and the slice and UTC day a trade falls in; keys are never null."""
     slot = F.floor(F.unix_timestamp("trade_ts") / width)
-    spread = F.pmod(F.xxhash64(*tie_break), F.lit(_UNTIMED_SLICES)) if tie_break else F.lit(0)
-    return (
-        trades
-        .withColumn("local_ts", F.from_utc_timestamp("trade_ts", tz))
-        .withColumn("local_date", F.to_date("local_ts"))
-        .withColumns({
-            "_ticker": F.coalesce(F.concat(F.lit("="), "ticker"), F.lit("")),
-            "_date": F.coalesce("local_date", F.lit("1970-01-01").cast("date")),
-            "_slot": F.coalesce(slot, F.lit(-(2**62)).cast("long") + spread),
-        })
-    )
+    return trades.withColumn("local_ts", F.from_utc_timestamp("trade_ts", tz)).withColumns({
+        "local_date": F.to_date("local_ts"),
+        "_ticker": _ticker_key(),
+        "_slot": slot,
+        "_day": F.floor(slot * width / _DAY_SECONDS),
+    })
 
 
-def _slice_bounds(sliced: DataFrame) -> DataFrame:
-    return sliced.groupBy(*_SLICE).agg(
-        F.min("trade_ts").alias("_first"),
-        F.max("trade_ts").alias("_last"),
-        F.count("*").alias("_trades"),
-    )
+def _opens(at: str, date: str, before: str, date_before: str, gap_minutes: float) -> Column:
+    """Whether a session starts, as 0 or 1, given the trade before."""
+    gap = _seconds_between(at, before) / F.lit(60.0) > F.lit(gap_minutes)
+    return (F.col(before).isNull() | gap | (F.col(date) != F.col(date_before))).cast("int")
 
 
-def _slice_carry(bounds: DataFrame, gap_minutes: float) -> DataFrame:
-    """Per slice: last trade before it, how many sessions it starts, sessions before it."""
-    in_order = Window.partitionBy("_ticker").orderBy("_slot", "_date")
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    linked = bounds.withColumns({
-        "_prev_last": F.lag("_last").over(in_order),
-        "_prev_date": F.lag("_date").over(in_order),
-    })
-    opens = (
-        F.col("_prev_last").isNull()
-        | (_seconds_between("_first", "_prev_last") / F.lit(60.0) > F.lit(gap_minutes))
-        | (F.col("_date") != F.col("_prev_date"))
-    )
-    # A trade without a time starts a session of its own.
-    starts = F.when(F.col("_first").isNull(), F.col("_trades")).otherwise(opens.cast("long"))
-    return linked.withColumn("_starts", starts).select(
-        *_SLICE, "_trades", "_prev_last", "_starts",
-        F.coalesce(F.sum("_starts").over(earlier), F.lit(0)).alias("_sessions_before"),
-    )
+def _days(slices: DataFrame, gap_minutes: float, trades: DataFrame) -> DataFrame:
+    """Per ticker and day what came before it: last trade, sessions, and whether it starts one.
 
+    The only rows that are ordered per ticker, at most one a day. Trades without a time come first.
+    """
+    untimed = trades.filter(F.col("trade_ts").isNull()).groupBy(_ticker_key().alias("_ticker")).agg(
+        F.count("*").alias("_untimed"))
+    at = F.struct("_first", "_date")
+    days = slices.groupBy(*_DAY).agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_starts").alias("_inner"),
+        F.min_by("_date", at).alias("_first_date"), F.max_by("_date", at).alias("_last_date"))
+    in_order = Window.partitionBy("_ticker").orderBy("_day")
+    linked = days.withColumns({
+        "_day_prev": F.lag("_last").over(in_order), "_day_prev_date": F.lag("_last_date").over(in_order)})
+    opened = linked.withColumn(
+        "_opens", _opens("_first", "_first_date", "_day_prev", "_day_prev_date", gap_minutes))
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("_inner") + F.col("_opens")).over(earlier), F.lit(0))
+    numbered = opened.withColumn("_before", before).join(untimed, "_ticker", "left")
+    return numbered.select(*_DAY, "_day_prev", "_opens",
+                           (F.col("_before") + F.coalesce("_untimed", F.lit(0))).alias("_before"))
 
-def _in_order(sliced: DataFrame, tie_break: Sequence[str]) -> DataFrame:
-    """Add rank and previous trade time within the slice."""
-    in_slice = Window.partitionBy(*_SLICE).orderBy("trade_ts", *tie_break)
-    return sliced.withColumns({
-        "_rank": F.row_number().over(in_slice),
-        "_prev": F.lag("trade_ts").over(in_slice),
-    })
 
+def _numbered(placed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Finish trades that know their day, the trade before, and the starts in their day so far."""
+    first = F.col("_prev").isNull()
+    return (
+        placed
+        .withColumn("prev_trade_ts", F.coalesce("_prev", "_day_prev"))
+        .withColumns({
+            "gap_minutes": _seconds_between("trade_ts", "prev_trade_ts") / F.lit(60.0),
+            "is_session_start": F.when(first, F.col("_opens")).otherwise(F.col("_starts")).cast("int"),
+            "session_index": F.col("_before") + F.col("_opens") + F.col("_so_far"),
+        })
+        .withColumn("session_id", session_id(F.col("ticker"), F.col("session_index")))
+        .select(*columns, *_DERIVED)
+    )
 
-def _in_order_by_instant(sliced: DataFrame, tie_break: Sequence[str]) -> DataFrame:
-    """`_in_order` for slices too crowded for one task: no group of trades is ever gathered.
 
-    Copies of a trade are combined into one row and a count, and of each instant only its first
-    trade is needed; both combine before their shuffle. All other trades of an instant follow a
-    trade of the same instant, so the join back, which AQE splits where an instant is hot, decides
-    everything. Copies are spelled out again in chunks spread over all tasks.
-    """
-    others = [c for c in sliced.columns if c not in (*_SLICE, "trade_ts", *tie_break)]
-    order = F.struct(*tie_break, *others)
-    distinct = sliced.groupBy(*sliced.columns).agg(F.count("*").alias("_copies"))
-    instants = (
-        distinct.groupBy(*_SLICE, "trade_ts").agg(F.min(order).alias("_lead"))
-        .withColumn("_before",
-                    F.lag("trade_ts").over(Window.partitionBy(*_SLICE).orderBy("trade_ts")))
-    )
-    tasks = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    last = F.col("_copies") - 1
-    to = F.least(F.col("_from") + (_COPY_CHUNK - 1), last)
-    copies = (
-        distinct.join(instants, [*_SLICE, "trade_ts"])
-        .withColumn("_leads", order.eqNullSafe(F.col("_lead")))
-        .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), last,
-                                                  F.lit(_COPY_CHUNK).cast("long"))))
-        .repartition(tasks)
-        .withColumn("_copy", F.explode(F.sequence("_from", to)))
-    )
-    leads = F.col("_leads") & (F.col("_copy") == 0)
-    return copies.select(
-        *sliced.columns,
-        F.when(leads & F.col("_before").isNull(), 1).otherwise(2).alias("_rank"),
-        F.when(leads, F.col("_before")).otherwise(F.col("trade_ts")).alias("_prev"),
-    )
+def _untimed(trades: DataFrame, tie_break: Sequence[str], tz: str) -> DataFrame:
+    """Trades without a time, each a session of its own, numbered in slots spread by their columns."""
+    spread = F.pmod(F.xxhash64(*tie_break), F.lit(_UNTIMED_SLOTS)) if tie_break else F.lit(0)
+    keyed = _keyed(trades.filter(F.col("trade_ts").isNull()), tz, _DAY_SECONDS).withColumn("_slot", spread)
+    slots = keyed.groupBy("_ticker", "_slot").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_ticker").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slots.select("_ticker", "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    order = [F.col(c) for c in tie_break] or [F.lit(0)]
+    rank = F.row_number().over(Window.partitionBy("_ticker", "_slot").orderBy(*order))
+    placed = keyed.withColumn("_rank", rank).join(offsets, ["_ticker", "_slot"])
+    return placed.withColumns({
+        "prev_trade_ts": F.lit(None).cast("timestamp"), "gap_minutes": F.lit(None).cast("double"),
+        "is_session_start": F.lit(1), "session_index": F.col("_offset") + F.col("_rank"),
+    }).withColumn("session_id", session_id(F.col("ticker"), F.col("session_index"))).select(
+        *trades.columns, *_DERIVED)
 
 
 def sessionize(
@@ -169,54 +169,65 @@ def sessionize(
     tz: str = EXCHANGE_TZ,
     tie_break: Sequence[str] | None = None,
     widest_slice: int = WIDEST_SLICE,
-    crowded: int | None = CROWDED_SLICE,
 ) -> DataFrame:
     """Add local time, previous trade, gap and session to each trade of (ticker, trade_ts, ...).
 
-    Trades of one instant are ordered by ``tie_break`` (all other columns by default); trades
-    without a time come first, each a session of its own, in a fixed order.
+    Trades of one instant are ordered by ``tie_break`` (by default all other columns that have an
+    order); trades without a time come first, each a session of its own, in a fixed order.
 
     A running sum per ticker would put a busy ticker into one task. Instead time is cut into slices
-    no longer than the gap limit: inside one no session can start except at its first trade, so
-    three aggregates per slice, combined before their shuffle, hold all that later slices need.
-    Only that table, whose size per ticker is bounded by the time range, is ordered per ticker; the
-    trades themselves are ordered per (ticker, slice). Slices of more than ``crowded`` trades are
-    worked out per instant instead; there are at most trades / ``crowded`` of them, which bounds
-    the broadcasts that tell them apart. ``crowded=None`` leaves that part out, for trades that
-    cannot crowd: those of daily bars are four a day.
+    no longer than the gap limit: inside one no session can start except at its first trade, and
+    every trade but the first of its instant follows one of the same instant. So instants are
+    combined before their shuffle, and carried to slices, from slices to days, and over days: only
+    one row per day is ordered per ticker. Of an instant's trades only those that lead it, equal in
+    all of ``tie_break``, meet in one task; other columns are neither grouped nor compared.
     """
     if tie_break is None:
-        tie_break = [c for c in trades.columns if c not in ("ticker", "trade_ts")]
-    sliced = _sliced(trades, gap_minutes, tz, tie_break, widest_slice)
-    narrow = trades.select("ticker", "trade_ts", *tie_break)
-    bounds = _slice_bounds(_sliced(narrow, gap_minutes, tz, tie_break, widest_slice))
-    carry = _slice_carry(bounds, gap_minutes)
-
-    if crowded is None:
-        placed = _in_order(sliced, tie_break).join(carry.drop("_trades"), _SLICE)
-    else:
-        too_many = (F.col("_trades") > crowded) & F.col("_first").isNotNull()
-        crowds = F.broadcast(bounds.filter(too_many).select(*_SLICE))
-        crowd_carry = F.broadcast(carry.filter(F.col("_trades") > crowded))
-        calm = _in_order(sliced.join(crowds, _SLICE, "left_anti"), tie_break)
-        dense = _in_order_by_instant(sliced.join(crowds, _SLICE, "left_semi"), tie_break)
-        placed = calm.join(carry, _SLICE).unionByName(dense.join(crowd_carry, _SLICE))
-
-    first = F.col("_rank") == 1
-    untimed = F.col("trade_ts").isNull()
-    return (
-        placed
-        .withColumn("prev_trade_ts", F.when(first, F.col("_prev_last")).otherwise(F.col("_prev")))
-        .withColumns({
-            "gap_minutes": _seconds_between("trade_ts", "prev_trade_ts") / F.lit(60.0),
-            "is_session_start":
-                F.when(untimed, 1).when(first, F.col("_starts").cast("int")).otherwise(0),
-            "session_index":
-                F.col("_sessions_before") + F.when(untimed, F.col("_rank")).otherwise(F.col("_starts")),
-        })
-        .withColumn("session_id", session_id(F.col("ticker"), F.col("session_index")))
-        .select(*trades.columns, *_DERIVED)
+        tie_break = [f.name for f in trades.schema if f.name not in ("ticker", "trade_ts")
+                     and not isinstance(f.dataType, T.MapType | T.VariantType)]
+    width = slice_seconds_for(gap_minutes, widest_slice)
+    keyed = _keyed(trades.filter(F.col("trade_ts").isNotNull()), tz, width)
+    lead = F.struct(*tie_break) if tie_break else F.struct(F.lit(0).alias("_none"))
+    keyed = keyed.withColumn("_tie", lead)
+    narrow = keyed.select(*_SLICE, "trade_ts", "_tie")
+
+    instants = narrow.groupBy(*_SLICE, "trade_ts").agg(F.min("_tie").alias("_tie"))
+    in_slice = Window.partitionBy(*_SLICE).orderBy("trade_ts")
+    linked = instants.withColumn("_instant_prev", F.lag("trade_ts").over(in_slice))
+
+    slices = linked.groupBy(*_SLICE).agg(F.min("trade_ts").alias("_first"), F.max("trade_ts").alias("_last"))
+    in_day = Window.partitionBy(*_DAY).orderBy("_slot", "local_date")
+    slices = slices.withColumns({
+        "_slice_prev": F.lag("_last").over(in_day), "_prev_date": F.lag("local_date").over(in_day),
+        "_date": F.col("local_date")})
+    slices = slices.withColumn("_starts", F.when(F.col("_slice_prev").isNull(), 0).otherwise(
+        _opens("_first", "local_date", "_slice_prev", "_prev_date", gap_minutes)))
+    so_far = in_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slices = slices.withColumn("_so_far", F.sum("_starts").over(so_far))
+    carried = slices.join(_days(slices, gap_minutes, trades), _DAY).select(
+        *_SLICE, "_first", "_slice_prev", "_starts", "_so_far", "_day_prev", "_opens", "_before")
+
+    # Leaders of their instants, and how many rows are equal to them.
+    leaders = linked.withColumnRenamed("_tie", "_lead_tie").select(
+        *[F.col(c).alias(f"_of{c}") for c in _SLICE], F.col("trade_ts").alias("_of_ts"), "_lead_tie",
+        "_instant_prev")
+    same = [F.col(c) == F.col(f"_of{c}") for c in _SLICE] + [
+        F.col("trade_ts") == F.col("_of_ts"), F.col("_tie").eqNullSafe(F.col("_lead_tie"))]
+    copies = Window.partitionBy(*_SLICE, "trade_ts", "_tie").orderBy("_leads")
+    ranked = (
+        keyed.join(leaders, same, "left")
+        .withColumn("_leads", F.col("_of_ts").isNotNull())
+        .withColumn("_leads", F.col("_leads") & (F.row_number().over(copies) == 1))
     )
+    # The first trade of a slice follows the slice before; others follow in their own slice.
+    first = F.col("_leads") & (F.col("trade_ts") == F.col("_first"))
+    own_prev = F.when(F.col("_leads"), F.col("_instant_prev")).otherwise(F.col("trade_ts"))
+    placed = ranked.drop("_first").join(carried, _SLICE).withColumns({
+        "_prev": F.when(first, F.col("_slice_prev")).otherwise(own_prev),
+        "_starts": F.when(first, F.col("_starts")).otherwise(0),
+    })
+    timed = _numbered(placed, trades.columns)
+    return timed.unionByName(_untimed(trades, tie_break, tz))
 
 
 def session_counts(sessions: DataFrame) -> DataFrame:

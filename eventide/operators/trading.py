@@ -12,29 +12,31 @@ from pyspark.sql import functions as F
 
 from eventide.config import StudyConfig
 from eventide.functions import cap_bucket, event_key, pandas_change, quarter_label, whole_days
+from eventide.operators.clean import latest_per_key
 from eventide.operators.metrics import sides
 
-
-# Copies of one event that one task spells out.
-_BATCH = 10_000
-_EVENT = ["ticker", "event_ts", "batch"]
+_EVENT = ["ticker", "event_ts"]
 
 
 def price_points(bars: DataFrame, start: date, as_of: datetime) -> DataFrame:
-    """Close and volume per trading day, from ``start`` to ``as_of``; otherwise untouched."""
-    return bars.select(
+    """Close and volume per trading day, from ``start`` to ``as_of``: one row per ticker and day.
+
+    Copies of a bar combine before their shuffle; of different ones that of the greatest close stays.
+    """
+    points = bars.select(
         "ticker",
         F.col("trade_date").cast("date").alias("trade_date"),
         F.col("close").cast("double").alias("close"),
         "volume",
     ).filter(F.col("trade_date").between(F.lit(start), F.lit(as_of.date())))
+    return latest_per_key(points, ["trade_date", "ticker"])
 
 
 def timed_events(events: DataFrame, start: date, as_of: datetime) -> DataFrame:
     """Distinct (ticker, event_ts) up to ``as_of``, with how often each occurred.
 
-    A time zone is dropped, the wall time kept, so ``event_ts`` compares with midnights.
-    Very many copies are split into batches that are studied, and later spelled out, separately.
+    A time zone is dropped, the wall time kept, so ``event_ts`` compares with midnights. However
+    often an event occurred, it is studied once, and spelled out at the end.
     """
     stamp = F.col("event_ts").cast("timestamp_ntz").cast("timestamp")
     return (
@@ -43,10 +45,7 @@ def timed_events(events: DataFrame, start: date, as_of: datetime) -> DataFrame:
             F.lit(start).cast("timestamp"),
             F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz").cast("timestamp")))
         .groupBy("ticker", "event_ts")
-        .agg(F.count("*").alias("_total"))
-        .withColumn("batch", F.explode(F.expr(f"sequence(0L, (_total - 1) div {_BATCH})")))
-        .select("ticker", "event_ts", "batch",
-                F.least(F.lit(_BATCH), F.col("_total") - F.col("batch") * _BATCH).alias("copies"))
+        .agg(F.count("*").alias("copies"))
     )
 
 
@@ -145,7 +144,7 @@ def trading_summary(windows: DataFrame, config: StudyConfig = StudyConfig()) ->
 def repeat_copies(df: DataFrame) -> DataFrame:
     """Give an event that occurred several times its rows that often, as the input had it."""
     repeated = df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return repeated.drop("_copy", "copies", "batch")
+    return repeated.drop("_copy", "copies")
 
 
 def on_demand_study(

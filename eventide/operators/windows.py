@@ -35,8 +35,14 @@ def event_days(
 
 
 def attach_bars(days: DataFrame, bars: DataFrame) -> DataFrame:
-    """Left join of bars on ticker and day: days without trading keep null bar columns."""
-    priced = bars.select("ticker", F.col("trade_date").alias("day"), *_BAR_COLUMNS)
+    """Left join of bars on ticker and day: days without trading keep null bar columns.
+
+    Bars are cut down to the wanted days first. Where the days are few that join is a broadcast, and
+    of all bars only those of some event reach the shuffle.
+    """
+    wanted = days.select("ticker", "day").distinct()
+    priced = bars.select("ticker", F.col("trade_date").alias("day"), *_BAR_COLUMNS).join(
+        wanted, ["ticker", "day"], "left_semi")
     columns = [*days.columns, *_BAR_COLUMNS]
     return days.join(priced, ["ticker", "day"], "left").select(*columns)
 

@@ -31,6 +31,7 @@ from eventide.sources.manifest import run_counts
 STUDY = t.TABLE_STUDY
 AS_OF = datetime(2001, 4, 3)
 ONE_TICKER = "NATION_12"
+STORED_TICKER = "NATION_3"
 ONE_EVENT = "NATION_12_19980401"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,8 +122,7 @@ def clean_events(spark, sf):
 
 @_query
 def latest_line_per_key(spark, sf):
-    lines = t.table(spark, sf, "lineitem").drop("l_tax", "l_returnflag", "l_linestatus")
-    return latest_per_key(lines, ["l_orderkey", "l_linenumber"], ["l_shipdate"])
+    return latest_per_key(t.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_shipdate"])
 
 
 @_query
@@ -262,7 +262,7 @@ def session_totals(spark, sf):
 
 @_query
 def nearest_trading_days(spark, sf):
-    return nearest_trading_day(_aligned(spark, sf)).drop("relative_day", "batch")
+    return nearest_trading_day(_aligned(spark, sf)).drop("relative_day")
 
 
 @_query
@@ -319,22 +319,22 @@ def cohort_rows_by_cap(spark, sf):
 
 @_query
 def return_curve(spark, sf):
-    return serve.return_curve(serve.ticker_window(_days(spark, sf), ONE_TICKER))
+    return serve.return_curve(serve.window_rows(_days(spark, sf), ONE_TICKER))
 
 
 @_query
 def return_curve_one_event(spark, sf):
-    return serve.return_curve(serve.ticker_window(_days(spark, sf), ONE_TICKER, ONE_EVENT))
+    return serve.return_curve(serve.window_rows(_days(spark, sf), ONE_TICKER, ONE_EVENT))
 
 
 @_query
 def volume_curve(spark, sf):
-    return serve.volume_curve(serve.ticker_window(_days(spark, sf), ONE_TICKER))
+    return serve.volume_curve(serve.window_rows(_days(spark, sf), ONE_TICKER))
 
 
 @_query
 def curve_event_count(spark, sf):
-    return serve.window_event_count(serve.ticker_window(_days(spark, sf), ONE_TICKER))
+    return serve.window_event_count(serve.window_rows(_days(spark, sf), ONE_TICKER))
 
 
 def _large_only(df: DataFrame) -> DataFrame:
@@ -356,6 +356,52 @@ def gold_or_on_demand_windows(spark, sf):
         AS_OF, STUDY)
 
 
+def _lookup_inputs(spark: SparkSession, sf: str):
+    """Gold of the large caps, and what the others are studied from."""
+    return (_large_only(_summary(spark, sf)), t.timed_announcements(spark, sf), t.bars(spark, sf),
+            AS_OF, STUDY)
+
+
+@_query
+def events_of_stored_ticker(spark, sf):
+    return serve.events_of_ticker(*_lookup_inputs(spark, sf), ticker=STORED_TICKER, limit=5)
+
+
+@_query
+def events_of_studied_ticker(spark, sf):
+    return serve.events_of_ticker(*_lookup_inputs(spark, sf), ticker=ONE_TICKER)
+
+
+def _windows_of(spark: SparkSession, sf: str, ticker: str, **how) -> DataFrame:
+    days = _large_only(_days(spark, sf))
+    return serve.windows_of_ticker(days, *_lookup_inputs(spark, sf), ticker=ticker, **how)
+
+
+@_query
+def window_of_stored_ticker(spark, sf):
+    return _windows_of(spark, sf, STORED_TICKER)
+
+
+@_query
+def window_of_studied_ticker(spark, sf):
+    return _windows_of(spark, sf, ONE_TICKER)
+
+
+@_query
+def window_of_studied_event(spark, sf):
+    return _windows_of(spark, sf, ONE_TICKER, event_id=ONE_EVENT)
+
+
+@_query
+def studied_return_curve(spark, sf):
+    return serve.return_curve(_windows_of(spark, sf, ONE_TICKER, in_order=False))
+
+
+@_query
+def studied_volume_curve(spark, sf):
+    return serve.volume_curve(_windows_of(spark, sf, ONE_TICKER, in_order=False))
+
+
 # Quality and run figures.
 
 @_query

@@ -10,12 +10,13 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eventide.config import StudyConfig
 from eventide.operators.clean import clean_announcements, clean_bars
 from eventide.operators.metrics import cohort_metrics, event_summary
 from eventide.operators.quality import null_report
-from eventide.operators.sessions import bar_sessions, session_counts
+from eventide.operators.sessions import bar_sessions
 from eventide.operators.windows import event_day_metrics
 from eventide.schemas import (
     ANNOUNCEMENTS,
@@ -27,7 +28,7 @@ from eventide.schemas import (
     conform,
 )
 from eventide.sources.landed import in_range, only_tickers
-from eventide.sources.layers import read_layer, write_layer
+from eventide.sources.layers import read_layer, write_layer, write_observed
 from eventide.sources.manifest import append_manifest, manifest_row
 
 
@@ -50,12 +51,14 @@ class Pipeline:
                     tickers: Sequence[str] | DataFrame | None = None) -> dict[str, int]:
         """Store raw rows of the study range, and one manifest line.
 
+        ``tickers`` picks some, as a list or a table; by default every landed ticker is kept.
         The vendor's price range excludes its end date; the announcement range includes it.
         """
         c = self.config
-        tickers = c.tickers if tickers is None else tickers
-        bars = only_tickers(in_range(bars, "trade_date", c.start, c.end, include_end=False), tickers)
-        announcements = only_tickers(in_range(announcements, "event_date", c.start, c.end), tickers)
+        bars = in_range(bars, "trade_date", c.start, c.end, include_end=False)
+        announcements = in_range(announcements, "event_date", c.start, c.end)
+        if tickers is not None:
+            bars, announcements = (only_tickers(x, tickers) for x in (bars, announcements))
         counts = {
             "prices": self._write(conform(bars, RAW_BARS), f"{self.bronze}/prices",
                                   ["trade_date"], skip_empty=True),
@@ -63,9 +66,7 @@ class Pipeline:
                                          f"{self.bronze}/announcements", ["event_date"],
                                          skip_empty=True),
         }
-        named = [] if isinstance(tickers, DataFrame) else tickers
-        append_manifest(manifest_row(self.spark, run_ts, named, c, counts),
-                        f"{self.bronze}/_manifest")
+        append_manifest(manifest_row(self.spark, run_ts, tickers, c, counts), f"{self.bronze}/_manifest")
         return counts
 
     def build_silver(self) -> dict[str, int]:
@@ -98,9 +99,14 @@ class Pipeline:
         path = f"{self.gold}/trade_sessions"
         sessions = bar_sessions(self.silver_bars(), self.config.session_gap_minutes,
                                 self.config.exchange_tz)
-        rows = self._write(conform(sessions, TRADE_SESSIONS), path, ["trade_ts"])
-        counted = session_counts(read_layer(self.spark, path, TRADE_SESSIONS)).first()
-        return {"trade_sessions": rows, "distinct_sessions": counted["session_count"]}
+        # Every session has one first trade; trades without a ticker share one session.
+        named = F.col("session_id").isNotNull()
+        written = write_observed(
+            conform(sessions, TRADE_SESSIONS), path, "ticker", ["trade_ts"], self.replace,
+            observe={"started": F.count_if(named & (F.col("is_session_start") == 1)),
+                     "unnamed": F.max((~named).cast("int"))})
+        return {"trade_sessions": written["rows"],
+                "distinct_sessions": (written["started"] or 0) + (written["unnamed"] or 0)}
 
     def build_cohorts(self) -> dict[str, int]:
         days = read_layer(self.spark, f"{self.gold}/event_day_metrics", EVENT_DAY_METRICS)

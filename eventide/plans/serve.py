@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventide.config import SERVE_LIMIT, SERVE_LIMIT_MAX, TICKER_CHIPS, StudyConfig
+from eventide.config import TICKER_CHIPS, StudyConfig
 from eventide.operators.trading import on_demand_study
 from eventide.schemas import (
     COHORT_ROW,
@@ -83,39 +83,48 @@ def ticker_chips(summary: DataFrame, first: int = TICKER_CHIPS) -> DataFrame:
     return ticker_list(summary).limit(first)
 
 
+def _newest(rows: DataFrame, limit: int | None) -> DataFrame:
+    """Newest ``limit`` events of each ticker, all by default, with their number and bucket."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
+    own = Window.partitionBy("ticker")
+    newest = own.orderBy(F.desc("event_date"), "event_id")
+    ranked = rows.withColumn("_rank", F.row_number().over(newest))
+    top = ranked if limit is None else ranked.filter(F.col("_rank") <= limit)
+    return top.withColumns({
+        "event_count": F.count("*").over(own),
+        "ticker_cap_bucket": F.min_by("cap_bucket", "_rank").over(own),
+    })
+
+
 def ticker_events(
-    summary: DataFrame, ticker: str | None = None, limit: int = SERVE_LIMIT
+    summary: DataFrame, ticker: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Newest events of a ticker, or of each ticker.
+    """Newest events of a ticker, or of each ticker; all of them without a ``limit``.
 
     ``event_count`` counts the returned events and ``ticker_cap_bucket`` is that of the newest.
     The rank filter is applied before the shuffle too, so at most ``limit`` rows per ticker and
     task are sent.
     """
-    if not 1 <= limit <= SERVE_LIMIT_MAX:
-        raise ValueError(f"limit must be 1 to {SERVE_LIMIT_MAX}")
-    own = Window.partitionBy("ticker")
-    newest = own.orderBy(F.desc("event_date"), "event_id")
-    top = (
-        of_ticker(summary, ticker)
-        .withColumn("_rank", F.row_number().over(newest))
-        .filter(F.col("_rank") <= limit)
-        .withColumns({
-            "event_count": F.count("*").over(own),
-            "ticker_cap_bucket": F.min_by("cap_bucket", "_rank").over(own),
-        })
-    )
+    top = _newest(of_ticker(summary, ticker), limit)
     return served(top, TICKER_EVENT_ROW).orderBy("ticker", F.desc("event_date"), "event_id")
 
 
-def ticker_window(
+def window_rows(
     day_rows: DataFrame, ticker: str | None = None, event_id: str | None = None
 ) -> DataFrame:
-    """Day-level rows of a ticker, or of one of its events, by event and relative day."""
+    """Day-level rows of a ticker, or of one of its events, in no order: what curves are made of."""
     rows = of_ticker(day_rows, ticker)
     if event_id:
         rows = rows.filter(F.col("event_id") == event_id)
-    return served(rows, WINDOW_ROW).orderBy("event_id", "relative_day")
+    return served(rows, WINDOW_ROW)
+
+
+def ticker_window(
+    day_rows: DataFrame, ticker: str | None = None, event_id: str | None = None
+) -> DataFrame:
+    """`window_rows` by event and relative day."""
+    return window_rows(day_rows, ticker, event_id).orderBy("event_id", "relative_day")
 
 
 def cohort_rows(cohorts: DataFrame, cap_bucket: str | None = None) -> DataFrame:
@@ -150,12 +159,15 @@ def window_event_count(window_rows: DataFrame) -> DataFrame:
     return window_rows.agg(F.count_distinct("event_id").alias("event_count"))
 
 
-def _study_of_missing(stored: DataFrame, events: DataFrame, bars: DataFrame, as_of: datetime,
+def _study_of_missing(known: DataFrame, events: DataFrame, bars: DataFrame, as_of: datetime,
                       config: StudyConfig, ticker: str | None) -> tuple[DataFrame, DataFrame]:
-    # Only tickers without gold rows are studied: the anti join comes before the work.
-    known = stored.select("ticker").distinct()
-    missing = of_ticker(events, ticker).join(known, "ticker", "left_anti")
-    return on_demand_study(missing, of_ticker(bars, ticker), as_of, config)
+    # Only tickers without gold rows are studied: both inputs are cut down to them before the work.
+    missing = of_ticker(events, ticker).join(
+        of_ticker(known, ticker).select("ticker").distinct(), "ticker", "left_anti")
+    own_bars = of_ticker(bars, ticker)
+    if ticker is None:
+        own_bars = own_bars.join(missing.select("ticker").distinct(), "ticker", "left_semi")
+    return on_demand_study(missing, own_bars, as_of, config)
 
 
 def events_or_on_demand(
@@ -163,16 +175,43 @@ def events_or_on_demand(
     config: StudyConfig = StudyConfig(), ticker: str | None = None,
 ) -> DataFrame:
     """Event summaries from gold, and from a trading-day study for tickers gold lacks."""
-    stored = of_ticker(gold_summary, ticker)
-    summary, _ = _study_of_missing(stored, events, bars, as_of, config, ticker)
-    return served(stored, EVENT_ROW).unionByName(served(summary, EVENT_ROW))
+    summary, _ = _study_of_missing(gold_summary, events, bars, as_of, config, ticker)
+    return served(of_ticker(gold_summary, ticker), EVENT_ROW).unionByName(served(summary, EVENT_ROW))
 
 
 def window_or_on_demand(
     gold_days: DataFrame, events: DataFrame, bars: DataFrame, as_of: datetime,
     config: StudyConfig = StudyConfig(), ticker: str | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Day-level rows from gold, and from a trading-day study for tickers gold lacks."""
-    stored = of_ticker(gold_days, ticker)
-    _, windows = _study_of_missing(stored, events, bars, as_of, config, ticker)
-    return served(stored, WINDOW_ROW).unionByName(served(windows, WINDOW_ROW))
+    """Day-level rows from gold, and from a trading-day study for tickers gold lacks.
+
+    ``known`` holds the tickers in gold; the summary is the shortest table that does.
+    """
+    known = gold_days if known is None else known
+    _, windows = _study_of_missing(known, events, bars, as_of, config, ticker)
+    return served(of_ticker(gold_days, ticker), WINDOW_ROW).unionByName(served(windows, WINDOW_ROW))
+
+
+def events_of_ticker(
+    gold_summary: DataFrame, events: DataFrame, bars: DataFrame, as_of: datetime,
+    config: StudyConfig = StudyConfig(), *, ticker: str, limit: int | None = None,
+) -> DataFrame:
+    """Newest events of a ticker, from gold or else studied: `ticker_events` wherever they come from."""
+    rows = events_or_on_demand(gold_summary, events, bars, as_of, config, ticker)
+    return served(_newest(rows, limit), TICKER_EVENT_ROW).orderBy(F.desc("event_date"), "event_id")
+
+
+def windows_of_ticker(
+    gold_days: DataFrame, gold_summary: DataFrame, events: DataFrame, bars: DataFrame,
+    as_of: datetime, config: StudyConfig = StudyConfig(), *, ticker: str,
+    event_id: str | None = None, in_order: bool = True,
+) -> DataFrame:
+    """Day-level rows of a ticker or one of its events, from gold or else studied.
+
+    ``in_order=False`` leaves out the sort, for rows that are aggregated.
+    """
+    rows = window_or_on_demand(gold_days, events, bars, as_of, config, ticker, gold_summary)
+    if event_id:
+        rows = rows.filter(F.col("event_id") == event_id)
+    return rows.orderBy("event_id", "relative_day") if in_order else rows

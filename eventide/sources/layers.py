@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,34 +22,62 @@ def read_layer(spark: SparkSession, path: str, schema: T.StructType,
         raise
 
 
-def write_layer(
+def write_observed(
     df: DataFrame,
     path: str,
     partition_by: str | None = None,
     sort_by: Sequence[str] = (),
     replace: str = "all",
     skip_empty: bool = False,
-) -> int:
-    """Overwrite a layer and return its row count, taken while writing.
+    observe: Mapping[str, Column] | None = None,
+) -> dict[str, int]:
+    """Overwrite a layer and return its row count as ``rows``, taken while writing.
 
     With ``partition_by`` the rows are rebalanced on that column first: small partitions end up in
     one file, and AQE splits a partition that holds far more than the rest, so a hot value is
     written by many tasks. ``replace="touched"`` replaces only partitions present in ``df``;
-    ``"all"`` replaces the whole table.
+    ``"all"`` replaces the whole table. ``skip_empty`` leaves the layer as it is when ``df`` has no
+    rows: it is written beside the layer first, and moved in once it is known to hold any.
+    ``observe`` adds aggregates, taken in the same write.
     """
     if replace not in ("all", "touched"):
         raise ValueError("replace must be 'all' or 'touched'")
-    if skip_empty and df.isEmpty():
-        return 0
     if partition_by:
         df = df.hint("rebalance", F.col(partition_by))
         df = df.sortWithinPartitions(partition_by, *sort_by)
     elif sort_by:
         df = df.orderBy(*sort_by)
     written = Observation()
-    writer = df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+    counts = [F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (observe or {}).items()]]
+    # One with nothing to leave alone can be written in place.
+    touched = replace == "touched" and partition_by is not None
+    beside = skip_empty and not touched
+    writer = df.observe(written, *counts).write.mode("overwrite")
     if partition_by:
-        mode = "static" if replace == "all" else "dynamic"
+        mode = "dynamic" if touched else "static"
         writer = writer.partitionBy(partition_by).option("partitionOverwriteMode", mode)
-    writer.parquet(path)
-    return written.get["rows"]
+    target = f"{path.rstrip('/')}__new" if beside else path
+    writer.parquet(target)
+    found = dict(written.get)
+    if beside:
+        _move_in(df.sparkSession, target, path, keep=found["rows"] > 0)
+    return found
+
+
+def write_layer(df: DataFrame, path: str, partition_by: str | None = None, sort_by: Sequence[str] = (),
+                replace: str = "all", skip_empty: bool = False) -> int:
+    """`write_observed` with the row count alone."""
+    return write_observed(df, path, partition_by, sort_by, replace, skip_empty)["rows"]
+
+
+def _move_in(spark: SparkSession, fresh: str, path: str, keep: bool) -> None:
+    """Put a written folder in the place of another, or drop it."""
+    jvm = spark.sparkContext._jvm
+    source, target = (jvm.org.apache.hadoop.fs.Path(x) for x in (fresh, path))
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not keep:
+        files.delete(source, True)
+        return
+    files.delete(target, True)
+    files.rename(source, target)
+    spark.catalog.refreshByPath(path)

@@ -20,15 +20,28 @@ MANIFEST = T.StructType([
 ])
 
 
-def manifest_row(spark: SparkSession, run_ts: datetime, tickers: Sequence[str],
+def manifest_row(spark: SparkSession, run_ts: datetime, tickers: Sequence[str] | DataFrame | None,
                  config: StudyConfig, counts: Mapping[str, int]) -> DataFrame:
-    row = (run_ts, list(tickers), config.start, config.end, dict(counts))
-    return spark.createDataFrame([row], MANIFEST)
+    """One row for the run, and one per ticker where they came as a table.
+
+    A list of tickers is in the run's own row; a table, which may be long, is not gathered into one
+    row but follows in rows of its own. No list at all means every landed ticker.
+    """
+    table = tickers if isinstance(tickers, DataFrame) else None
+    named = [] if table is not None or tickers is None else list(tickers)
+    run = spark.createDataFrame([(run_ts, named, config.start, config.end, dict(counts))], MANIFEST)
+    if table is None:
+        return run
+    each = table.select("ticker").distinct().select(
+        F.lit(run_ts).alias("run_ts"), F.array("ticker").alias("tickers"),
+        F.lit(config.start).alias("analysis_start"), F.lit(config.end).alias("analysis_end"),
+        F.lit(None).cast("map<string,bigint>").alias("row_counts"))
+    return run.unionByName(each)
 
 
 def append_manifest(manifest: DataFrame, path: str) -> None:
-    """One JSON line per run."""
-    manifest.coalesce(1).write.mode("append").json(path)
+    """JSON lines of a run, beside those of earlier runs."""
+    manifest.write.mode("append").json(path)
 
 
 def run_counts(config: StudyConfig, **tables: DataFrame) -> DataFrame:

@@ -260,7 +260,7 @@ t_summary AS (
     FROM t_windows GROUP BY ALL
 )"""
 
-_REPEAT = "JOIN generate_series(1, 1000) g(i) ON g.i <= copies"
+_REPEAT = ", unnest(range(copies)) g(i)"
 
 _TRADES = """
 trades AS (
@@ -315,6 +315,7 @@ _SESSION_COLUMNS = (
     "ticker || '#' || lpad(CAST(session_index AS VARCHAR), 6, '0') AS session_id")
 
 _ONE = "ticker = 'NATION_12'"
+_STORED = "ticker = 'NATION_3'"
 _ONE_EVENT = "event_id = 'NATION_12_19980401'"
 
 _TOP = """
@@ -349,6 +350,11 @@ def _curve(measure: str, alias: str, where: str) -> str:
             f"FROM metrics WHERE {where} GROUP BY relative_day")
 
 
+def _studied_curve(measure: str, alias: str) -> str:
+    return (f"WITH {_TRADING} SELECT relative_day AS day, {_num(measure, 3)} AS {alias} "
+            f"FROM t_windows {_REPEAT} WHERE {_ONE} GROUP BY relative_day")
+
+
 def _price_columns() -> str:
     return ", ".join(f"{_num(c)} AS {c}" for c in ("open", "high", "low", "close"))
 
@@ -373,11 +379,13 @@ def oracle_sql() -> dict[str, str]:
         "latest_line_per_key": f"""
             SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
                 {_num('l_quantity')} AS l_quantity, {_num('l_extendedprice')} AS l_extendedprice,
-                {_num('l_discount')} AS l_discount, {_stamp('l_shipdate')} AS l_shipdate
+                {_num('l_discount')} AS l_discount, {_num('l_tax')} AS l_tax, l_returnflag, l_linestatus,
+                {_stamp('l_shipdate')} AS l_shipdate
             FROM lineitem
             QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY
                 l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC,
-                l_extendedprice DESC, l_discount DESC) = 1""",
+                l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC,
+                l_linestatus DESC) = 1""",
         "ticker_buckets": f"""
             WITH named AS (
                 SELECT c_custkey, c_custkey % 5 AS kind, {_bucket('n_name')} AS known
@@ -488,6 +496,19 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT {_WINDOW_ROW} FROM metrics WHERE cap_bucket = 'LARGE' UNION ALL "
             f"SELECT {_WINDOW_ROW} FROM t_windows {_REPEAT} "
             "WHERE ticker NOT IN (SELECT ticker FROM metrics WHERE cap_bucket = 'LARGE')",
+        "events_of_stored_ticker":
+            f"WITH {_STUDY}, {_TOP.format(where='WHERE ' + _STORED, n=5)} "
+            f"SELECT {_event_row()}, event_count, ticker_cap_bucket FROM top",
+        "events_of_studied_ticker":
+            f"WITH {_TRADING} SELECT {_event_row(finite=True)}, count(*) OVER () AS event_count, "
+            f"cap_bucket AS ticker_cap_bucket FROM t_summary {_REPEAT} WHERE {_ONE}",
+        "window_of_stored_ticker": f"WITH {_STUDY} SELECT {_WINDOW_ROW} FROM metrics WHERE {_STORED}",
+        "window_of_studied_ticker":
+            f"WITH {_TRADING} SELECT {_WINDOW_ROW} FROM t_windows {_REPEAT} WHERE {_ONE}",
+        "window_of_studied_event":
+            f"WITH {_TRADING} SELECT {_WINDOW_ROW} FROM t_windows {_REPEAT} WHERE {_ONE} AND {_ONE_EVENT}",
+        "studied_return_curve": _studied_curve("avg(cum_return) * 100", "avg_return"),
+        "studied_volume_curve": _studied_curve("avg(volume_ratio)", "volume_ratio"),
         "null_counts":
             f"WITH {_STUDY}, {_VENDOR_BARS.replace(_LINES + ',', '')} "
             + _null_counts("vendor_bars", "vendor_bars",

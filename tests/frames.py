@@ -6,7 +6,10 @@ from datetime import date, datetime
 from decimal import Decimal
 
 from eventide.schemas import ANNOUNCEMENTS, BARS, RAW_BARS
-from eventide.sources.landed import from_rows
+
+
+def from_rows(spark, rows, schema):
+    return spark.createDataFrame(list(rows), schema)
 
 
 def d(text: str) -> date:

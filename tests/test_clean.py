@@ -1,14 +1,14 @@
 from decimal import Decimal
 
 import pytest
-from frames import d, dicts, raw_bars
+from frames import d, dicts, from_rows, raw_bars
 
 from eventide.config import LARGE_CAP, MID_CAP
 from eventide.functions import cap_bucket, exchange_date, quarter_label, register_cap_bucket
 from eventide.operators.clean import clean_announcements, clean_bars, latest_per_key
 from eventide.operators.quality import null_report
 from eventide.schemas import RAW_ANNOUNCEMENTS
-from eventide.sources.landed import from_rows, in_range, only_tickers
+from eventide.sources.landed import in_range, only_tickers
 from pyspark.sql import functions as F
 
 

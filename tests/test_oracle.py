@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry_point
+import oracle_queries
+from eventide.plans import catalog
 from compare import connect, differences
 
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
+QUERIES = catalog.queries()
+SQL = oracle_queries.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +18,7 @@ def con(sf_dir):
 
 def test_each_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

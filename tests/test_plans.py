@@ -102,19 +102,23 @@ def test_cleaning_filters_reach_the_scan_and_combine_before_the_shuffle(spark, t
 
 
 def test_newest_events_are_limited_before_the_shuffle(spark, stored_days):
-    text = tree(serve.ticker_events(event_summary(read_layer(spark, stored_days, EVENT_DAY_METRICS))))
+    summary = event_summary(read_layer(spark, stored_days, EVENT_DAY_METRICS))
+    text = tree(serve.ticker_events(summary, limit=50))
     assert text.count("WindowGroupLimit") == 2
 
 
-def test_trades_are_shuffled_and_sorted_once_by_slice(spark, sf_dir):
-    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",)}
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = tree(sessionize(tables.trades(spark, sf_dir), tie_break=["trade_id"],
-                               crowded=None))
-    finally:
-        for k, v in kept.items():
-            spark.conf.set(k, v)
-    left = text[text.index("SortMergeJoin"):].split("\n")
-    own = [line for line in left if re.match(r"\s*:", line)]
-    assert sum("Exchange" in x for x in own) == 1 and sum("Sort (" in x for x in own) == 1
+def test_nothing_of_trades_is_broadcast_by_hint(spark, sf_dir):
+    plan = sessionize(tables.trades(spark, sf_dir), tie_break=["trade_id"])
+    assert "ResolvedHint" not in plan._jdf.queryExecution().analyzed().toString()
+    assert "hint" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_sort_below_a_curve(spark, stored_days, stored_bars):
+    from datetime import datetime
+    stamps = spark.createDataFrame([("A", datetime(2024, 6, 10))], "ticker string, event_ts timestamp")
+    days, bar_rows = read_layer(spark, stored_days, EVENT_DAY_METRICS), read_layer(spark, stored_bars, BARS)
+    for rows in (serve.window_rows(days, "A"), serve.windows_of_ticker(
+            days, event_summary(days), stamps, bar_rows, datetime(2024, 12, 31), ticker="A", in_order=False)):
+        for curve in (serve.return_curve(rows), serve.volume_curve(rows)):
+            logical = curve._jdf.queryExecution().optimizedPlan().toString()
+            assert logical.count("Sort [") == 1 and logical.lstrip().startswith("Sort [")

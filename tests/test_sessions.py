@@ -1,6 +1,7 @@
 """Sessions against a plain running sum per ticker."""
 
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -121,22 +122,52 @@ def test_slices_equal_the_running_sum(spark, gap, widest):
         start += step
         rows.append((rng.choice("AAB"), start, i))
     df = spark.createDataFrame(rows, SCHEMA)
-    assert_same(sessionize(df, gap, widest_slice=widest, crowded=None), plain_sessions(df, gap))
+    assert_same(sessionize(df, gap, widest_slice=widest), plain_sessions(df, gap))
 
 
-@pytest.mark.parametrize("crowded,chunk", [(0, 1), (1, 4), (3, 10**6)])
-def test_crowded_slices(spark, monkeypatch, crowded, chunk):
-    """Hot instants, exact copies and null columns, all through the per-instant way."""
-    monkeypatch.setattr(sessions, "_COPY_CHUNK", chunk)
-    rng = random.Random(crowded * 10 + chunk)
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_instants_and_copies(spark, seed):
+    """Many trades of one instant, exact copies and null columns."""
+    rng = random.Random(seed)
     hot = [("A", ts("2024-06-10 14:00:00.5"), rng.choice((None, 1, 2, 3))) for _ in range(60)]
     near = [(rng.choice("AB"), ts("2024-06-10 13:30:00") + timedelta(seconds=rng.randint(0, 4000)),
              rng.randint(0, 2)) for _ in range(150)]
     late = [("A", None, 5), ("A", None, 5), ("A", None, 6), ("A", ts("2024-06-10 18:00:00"), 1)]
     df = spark.createDataFrame(hot + near + late, SCHEMA)
-    assert_same(sessionize(df, crowded=crowded, tie_break=["trade_id"]), plain_sessions(df))
+    assert_same(sessionize(df, tie_break=["trade_id"]), plain_sessions(df))
     widened = df.withColumn("price", F.lit(None).cast("double"))
-    assert_same(sessionize(widened, crowded=crowded), plain_sessions(widened))
+    assert_same(sessionize(widened), plain_sessions(widened))
+
+
+def test_payload_is_left_as_it_is(spark):
+    """A negative zero stays one, and columns without an order, such as maps, are carried."""
+    df = trades(spark, *["2024-06-10 14:00:00"] * 3, None).withColumn("price", F.lit(-0.0)).withColumn(
+        "extra", F.create_map(F.lit("k"), "trade_id"))
+    got = sessionize(df).collect()
+    assert [str(r.price) for r in got] == ["-0.0"] * 4
+    assert sorted(r.extra["k"] for r in got) == [0, 1, 2, 3]
+
+
+def test_a_million_copies(spark):
+    n = 1_000_000
+    copies = spark.range(n).select(
+        F.lit("A").alias("ticker"), F.lit("2024-06-10 14:00:00").cast("timestamp").alias("trade_ts"),
+        F.lit(1).cast("long").alias("trade_id"))
+    got = sessionize(copies).agg(
+        F.count("*"), F.sum("is_session_start"), F.count("prev_trade_ts"), F.max("session_index")).first()
+    assert tuple(got) == (n, 1, n - 1, 1)
+    untimed = copies.withColumn("trade_ts", F.lit(None).cast("timestamp"))
+    got = sessionize(untimed).agg(
+        F.count("*"), F.sum("is_session_start"), F.max("session_index"), F.count_distinct("session_index")).first()
+    assert tuple(got) == (n, n, n, n)
+
+
+def test_only_days_are_ordered_per_ticker(spark):
+    """Minute-sparse trades: no window holds more of a ticker than a day, but for the one over days."""
+    plan = sessionize(trades(spark, "2024-06-10 14:00:00"))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if " Window [" in line or line.startswith("Window [")]
+    per_ticker = [w for w in windows if re.search(r"\], \[_ticker#\d+\], ", w)]
+    assert per_ticker and all("_day" in w or "_slot" in w for w in per_ticker)
 
 
 def test_other_time_zones(spark):

@@ -2,12 +2,12 @@ from datetime import datetime
 from pathlib import Path
 
 import pytest
-from frames import d, dec, dicts, raw_bars
+from frames import d, dec, dicts, from_rows, raw_bars
 from pyspark.sql import functions as F
 
 from eventide.config import StudyConfig
 from eventide.schemas import EVENT_SUMMARY, RAW_ANNOUNCEMENTS, RAW_BARS
-from eventide.sources.landed import from_rows, read_announcements, read_bars, rejected
+from eventide.sources.landed import read_announcements, read_bars, rejected
 from eventide.sources.layers import read_layer, write_layer
 from eventide.sources.manifest import append_manifest, manifest_row
 

@@ -5,7 +5,7 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
-from frames import bars, d, dicts, ts
+from frames import bars, d, dicts, from_rows, ts
 
 from eventide.config import StudyConfig
 from eventide.operators import trading
@@ -16,7 +16,6 @@ from eventide.operators.trading import (
     price_points,
     timed_events,
 )
-from eventide.sources.landed import from_rows
 from pyspark.sql import types as T
 
 AS_OF = ts("2024-12-31 12:00:00")
@@ -78,15 +77,21 @@ def test_zoned_event_times_keep_their_wall_time(spark):
     assert row["event_ts"] == ts("2024-06-12 16:00:00")
 
 
-@pytest.mark.parametrize("batch", [1, 2, 5, 10_000])
-def test_copies_in_batches(spark, monkeypatch, batch):
-    monkeypatch.setattr(trading, "_BATCH", batch)
+def test_many_copies_are_studied_once(spark):
     b = bars(spark, *[("A", f"2024-06-1{i}", 10 + i, 5) for i in range(5)])
-    stamps = [("A", "2024-06-12")] * 5 + [("A", "2024-06-13")]
-    summary, windows = on_demand_study(timed(spark, *stamps), b, AS_OF)
-    counts = {r["event_id"]: r["count"] for r in windows.groupBy("event_id").count().collect()}
-    assert counts == {"A_20240612": 25, "A_20240613": 5}
-    assert summary.count() == 6 and summary.distinct().count() == 2
+    copies = timed(spark, ("A", "2024-06-12")).crossJoin(spark.range(25_000)).drop("id")
+    counted = timed_events(copies, STUDY.start, AS_OF)
+    (row,) = nearest_trading_day(aligned_days(counted, price_points(b, STUDY.start, AS_OF), STUDY)).collect()
+    assert row["copies"] == 25_000
+    summary, windows = on_demand_study(copies, b, AS_OF)
+    assert summary.count() == 25_000 and windows.count() == 125_000
+
+
+def test_copies_of_a_bar_are_one_day(spark):
+    b = bars(spark, *[("A", f"2024-06-1{i}", 10 + i, 5) for i in range(5)])
+    many = b.crossJoin(spark.range(1000)).drop("id")
+    _, windows = on_demand_study(timed(spark, ("A", "2024-06-12")), many, AS_OF)
+    assert [r["relative_day"] for r in windows.orderBy("relative_day").collect()] == [-2, -1, 0, 1, 2]
 
 
 def test_repeated_events_give_repeated_rows(spark):
