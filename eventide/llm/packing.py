@@ -48,7 +48,8 @@ class _Ids:
     """Token ids of texts, as little-endian bytes, by way of a memory of words.
 
     No token crosses a blank, and the tokenizer drops white space, so a text's ids are those of its
-    words, one after the other. Words are looked up by their 64-bit hashes, for all texts of a chunk
+    words, one after the other; and where the tokenizer parts letters from a mark that follows them, so
+    is the mark looked up alone. Words are looked up by their 64-bit hashes, for all texts of a chunk
     at once. New ones are encoded many at a time. Words of letters alone come out as one piece each, whose last token alone ends a
     word, where the vocabulary marks word ends; other parts are set apart by a special token, which
     no token crosses either.
@@ -59,6 +60,13 @@ class _Ids:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(tokenizer)
+        # Whether A-Z are taken as a-z, and which marks are never part of a word's letters.
+        normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.folds = normalizer is not None and normalizer.normalize_str(capitals) == capitals.lower()
+        self.apart = b"".join(
+            mark.encode() for mark in ".,;:!?" if splitter is not None
+            and [x for x, _ in splitter.pre_tokenize_str("ab" + mark)] == ["ab", mark])
         # Number of each word's hash; where its ids are in the pool.
         self.index: dict[int, int] = {}
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -112,7 +120,7 @@ class _Ids:
 
     def of(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column, ``end_id`` after each, and where each text's ids begin."""
-        found = words(column)
+        found = words(column, self.folds, self.apart)
         own, first, at = np.unique(found.hash, return_index=True, return_inverse=True)
         names = own.tolist()
         number = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))

@@ -21,6 +21,8 @@ _BLANK = np.isin(np.arange(256, dtype=np.uint8), np.frombuffer(BLANKS, np.uint8)
 _AS_IS = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_AS_IS >= 65) & (_AS_IS <= 90), _AS_IS + 32, _AS_IS).astype(np.uint8)
 
+_LETTER = (_LOWER >= 97) & (_LOWER <= 122)
+
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93 | 3
 
 
@@ -98,8 +100,11 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
             yield batch.slice(first, last - first)
 
 
-def words(column: pa.Array, lower: bool = False) -> Spans:
-    """Words of every text of the column; ``lower`` hashes A-Z as a-z."""
+def words(column: pa.Array, lower: bool = False, apart: bytes = b"") -> Spans:
+    """Words of every text of the column; ``lower`` hashes A-Z as a-z.
+
+    A last byte that is one of ``apart`` becomes a word of its own if it follows an ASCII letter.
+    """
     data, at = text_bytes(column)
     solid = ~_BLANK[data]
     opens, closes = solid.copy(), solid.copy()
@@ -108,6 +113,13 @@ def words(column: pa.Array, lower: bool = False) -> Spans:
     first, last = at[:-1][np.diff(at) > 0], at[1:][np.diff(at) > 0] - 1
     opens[first], closes[last] = solid[first], solid[last]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    if apart and len(start):
+        alone = end - start < 2
+        cut = np.isin(data[end - 1], np.frombuffer(apart, np.uint8)) & _LETTER[data[end - 2]] & ~alone
+        of = np.repeat(np.arange(len(start)), 1 + cut)
+        second = np.zeros(len(of), bool)
+        second[1:] = of[1:] == of[:-1]
+        start, end = np.where(second, end[of] - 1, start[of]), np.where(cut[of] & ~second, end[of] - 1, end[of])
     text = np.searchsorted(at, start, side="right") - 1
     keys = (_LOWER_KEYS if lower else _BYTE_KEYS)[data]
     return Spans(text, start, end, _span_hashes(keys, _BYTES, start, end))
