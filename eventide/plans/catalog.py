@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from dataclasses import replace
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,12 @@ from eventide.operators.trading import (
 )
 from eventide.operators.windows import attach_bars, event_day_metrics, event_days
 from eventide.plans import serve
+from eventide.plans.pipeline import Pipeline
+from eventide.schemas import RAW_BARS, TRADE_SESSIONS
 from eventide.sources import tables as t
 from eventide.sources.landed import in_range, only_tickers
-from eventide.sources.manifest import run_counts
+from eventide.sources.layers import read_layer, shared_folder
+from eventide.sources.manifest import MANIFEST, run_counts
 
 STUDY = t.TABLE_STUDY
 AS_OF = datetime(2001, 4, 3)
@@ -402,6 +406,63 @@ def studied_volume_curve(spark, sf):
     return serve.volume_curve(_windows_of(spark, sf, ONE_TICKER, in_order=False))
 
 
+# Layers written and read back.
+
+EVERY_DAY = replace(STUDY, start=date(1900, 1, 1), end=date(2999, 12, 31))
+
+
+def _stored(spark: SparkSession, sf: str) -> Pipeline:
+    """A bronze load of all vendor rows, in a folder of its own."""
+    run = Pipeline(spark, shared_folder(spark), EVERY_DAY)
+    run.load_bronze(t.vendor_bars(spark, sf), t.vendor_announcements(spark, sf), datetime(2024, 1, 1))
+    return run
+
+
+@_query
+def stored_bronze_prices(spark, sf):
+    return read_layer(spark, f"{_stored(spark, sf).bronze}/prices", RAW_BARS)
+
+
+@_query
+def stored_silver_prices(spark, sf):
+    run = _stored(spark, sf)
+    run.build_silver()
+    return run.silver_bars()
+
+
+@_query
+def stored_silver_announcements(spark, sf):
+    run = _stored(spark, sf)
+    run.build_silver()
+    return run.silver_announcements()
+
+
+@_query
+def stored_sessions(spark, sf):
+    run = _stored(spark, sf)
+    run.build_silver()
+    run.build_sessions()
+    return read_layer(spark, f"{run.gold}/trade_sessions", TRADE_SESSIONS)
+
+
+@_query
+def stored_manifest(spark, sf):
+    lines = spark.read.schema(MANIFEST).json(f"{_stored(spark, sf).bronze}/_manifest")
+    return lines.select(F.explode("row_counts").alias("table_name", "row_count"))
+
+
+@_query
+def corrected_prices(spark, sf):
+    """Line items as prices that correct each other, by a time of arrival."""
+    price, hours = F.col("l_extendedprice"), F.make_interval(hours=F.col("l_linenumber"))
+    landed = t.priced_lines(spark, sf).select(
+        "ticker", F.date_format("trade_date", "yyyy-MM-dd").alias("trade_date"),
+        *[price.alias(c) for c in ("open", "high", "low", "close")],
+        F.col("l_quantity").cast("long").alias("volume"),
+        (F.col("l_shipdate").cast("timestamp") + hours).alias("landed_at"))
+    return clean_bars(landed, STUDY, ["landed_at"])
+
+
 # Quality and run figures.
 
 @_query

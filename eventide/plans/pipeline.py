@@ -22,8 +22,9 @@ from eventide.schemas import (
     ANNOUNCEMENTS,
     BARS,
     EVENT_DAY_METRICS,
-    RAW_ANNOUNCEMENTS,
-    RAW_BARS,
+    LANDED,
+    LANDED_ANNOUNCEMENTS,
+    LANDED_BARS,
     TRADE_SESSIONS,
     conform,
 )
@@ -59,23 +60,31 @@ class Pipeline:
         announcements = in_range(announcements, "event_date", c.start, c.end)
         if tickers is not None:
             bars, announcements = (only_tickers(x, tickers) for x in (bars, announcements))
+        bars, announcements = (self._arrived(x, run_ts) for x in (bars, announcements))
         counts = {
-            "prices": self._write(conform(bars, RAW_BARS), f"{self.bronze}/prices",
+            "prices": self._write(conform(bars, LANDED_BARS), f"{self.bronze}/prices",
                                   ["trade_date"], skip_empty=True),
-            "announcements": self._write(conform(announcements, RAW_ANNOUNCEMENTS),
+            "announcements": self._write(conform(announcements, LANDED_ANNOUNCEMENTS),
                                          f"{self.bronze}/announcements", ["event_date"],
                                          skip_empty=True),
         }
         append_manifest(manifest_row(self.spark, run_ts, tickers, c, counts), f"{self.bronze}/_manifest")
         return counts
 
+    @staticmethod
+    def _arrived(df: DataFrame, run_ts: datetime) -> DataFrame:
+        """Rows that do not say when they landed did so with this run."""
+        return df if LANDED.name in df.columns else df.withColumn(LANDED.name, F.lit(run_ts))
+
     def build_silver(self) -> dict[str, int]:
-        raw_bars = read_layer(self.spark, f"{self.bronze}/prices", RAW_BARS)
-        raw_events = read_layer(self.spark, f"{self.bronze}/announcements", RAW_ANNOUNCEMENTS)
+        """Of the rows of one key the one that landed last counts."""
+        raw_bars = read_layer(self.spark, f"{self.bronze}/prices", LANDED_BARS)
+        raw_events = read_layer(self.spark, f"{self.bronze}/announcements", LANDED_ANNOUNCEMENTS)
+        latest = [LANDED.name]
         return {
-            "prices": self._write(clean_bars(raw_bars, self.config), f"{self.silver}/prices",
+            "prices": self._write(clean_bars(raw_bars, self.config, latest), f"{self.silver}/prices",
                                   ["trade_date"]),
-            "announcements": self._write(clean_announcements(raw_events, self.config),
+            "announcements": self._write(clean_announcements(raw_events, self.config, latest),
                                          f"{self.silver}/announcements", ["event_date"]),
         }
 

@@ -23,6 +23,11 @@ def _table(**columns: T.DataType) -> T.StructType:
 RAW_BARS = _table(ticker=_S, trade_date=_S, open=_F, high=_F, low=_F, close=_F, volume=_L)
 RAW_ANNOUNCEMENTS = _table(ticker=_S, event_date=_S, event_id=_S)
 
+# Bronze as stored: with the time a row arrived, by which a correction beats what it corrects.
+LANDED = T.StructField("landed_at", _TS)
+LANDED_BARS = T.StructType([*RAW_BARS, LANDED])
+LANDED_ANNOUNCEMENTS = T.StructType([*RAW_ANNOUNCEMENTS, LANDED])
+
 # Silver: typed, one row per key.
 BARS = _table(ticker=_S, trade_date=_D, open=PRICE, high=PRICE, low=PRICE, close=PRICE,
               volume=_L, cap_bucket=_S, local_date=_D)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
 
 from eventide.functions import event_key, nan_to_null
-from eventide.schemas import RAW_ANNOUNCEMENTS, RAW_BARS
+from eventide.schemas import LANDED, LANDED_BARS, RAW_ANNOUNCEMENTS, RAW_BARS
 
 CORRUPT = "_corrupt_record"
 _TEXT_FORMATS = ("csv", "json")
@@ -32,6 +32,7 @@ def _read(reader: Reader, path: str | list[str], fmt: str, schema: T.StructType,
         if fmt == "csv":
             reader = reader.option("header", "true")
     frame = reader.options(**options).schema(schema).load(path)
+    frame = frame.withColumn(LANDED.name, F.col("_metadata.file_modification_time"))
     if fmt not in _TEXT_FORMATS:
         return frame.withColumn(CORRUPT, F.lit(None).cast("string"))
     # Only columns a query needs are parsed, so a bad value elsewhere would let its row through and
@@ -46,12 +47,13 @@ def usable_bars(reader: Reader, path: str | list[str], fmt: str = "parquet",
                 **options: str) -> DataFrame:
     """Raw daily bars from a batch or stream reader.
 
-    NaN prices become null; rows that do not parse are left out (see `rejected`).
+    NaN prices become null; rows that do not parse are left out (see `rejected`). ``landed_at`` is
+    the time of the row's file.
     """
     frame = _read(reader, path, fmt, RAW_BARS, options).filter(F.col(CORRUPT).isNull())
     return frame.select(*[
         nan_to_null(F.col(f.name)).alias(f.name) if f.dataType == T.DoubleType() else F.col(f.name)
-        for f in RAW_BARS
+        for f in LANDED_BARS
     ])
 
 
@@ -60,7 +62,7 @@ def usable_announcements(reader: Reader, path: str | list[str], fmt: str = "parq
     """Raw announcement dates; a missing ``event_id`` is built from ticker and date."""
     frame = _read(reader, path, fmt, RAW_ANNOUNCEMENTS, options).filter(F.col(CORRUPT).isNull())
     built = event_key(F.col("ticker"), F.col("event_date").try_cast("date"))
-    return frame.select("ticker", "event_date", F.coalesce("event_id", built).alias("event_id"))
+    return frame.select("ticker", "event_date", F.coalesce("event_id", built).alias("event_id"), LANDED.name)
 
 
 def read_bars(spark: SparkSession, path: str | list[str], fmt: str = "parquet",

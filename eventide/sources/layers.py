@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,6 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where all machines of the cluster can read and write.
+
+    Under the one the cluster names; in a temporary one of this machine where all work is local.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{(shared or tempfile.mkdtemp(prefix='eventide-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def read_layer(spark: SparkSession, path: str, schema: T.StructType,
                missing_ok: bool = False) -> DataFrame:
     """Read a layer with its declared schema, so a ticker such as ``0700`` stays text."""

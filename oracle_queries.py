@@ -360,6 +360,32 @@ def _price_columns() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    # What is written and read back is what it was.
+    return found | {
+        "stored_bronze_prices":
+            f"WITH {_VENDOR_BARS} SELECT ticker, trade_date, {_price_columns()}, volume FROM vendor_bars",
+        "stored_silver_prices": found["clean_prices"],
+        "stored_silver_announcements": found["clean_events"],
+        "stored_sessions": found["bar_trade_sessions"],
+        "stored_manifest":
+            f"WITH {_VENDOR_BARS}, {_FIRST_ORDERS} "
+            "SELECT 'prices' AS table_name, count(*) AS row_count FROM vendor_bars UNION ALL "
+            "SELECT 'announcements', count(*) FROM vendor_announcements",
+        "corrected_prices": f"""
+            WITH {_LINES}, latest AS (
+                SELECT *, CAST(l_quantity AS BIGINT) AS volume FROM priced_lines WHERE l_quantity >= 1
+                QUALIFY row_number() OVER (PARTITION BY ticker, trade_date ORDER BY
+                    l_shipdate + to_hours(CAST(l_linenumber AS BIGINT)) DESC, l_extendedprice DESC,
+                    CAST(l_quantity AS BIGINT) DESC) = 1)
+            SELECT ticker, {_day('trade_date')} AS trade_date,
+                {', '.join(f"{_num('l_extendedprice')} AS {c}" for c in ('open', 'high', 'low', 'close'))},
+                volume, {_bucket('ticker')} AS cap_bucket, {_day('trade_date - 1')} AS local_date
+            FROM latest""",
+    }
+
+
+def _oracle_sql() -> dict[str, str]:
     return {
         "daily_bars": f"WITH {_BARS} SELECT ticker, {_day('trade_date')} AS trade_date, "
                       f"{_price_columns()}, volume FROM bars",

@@ -1,19 +1,22 @@
 """All stages over the table adapters, and the lookups over what they wrote."""
 
 import shutil
+import time
 from datetime import datetime
 
 import pytest
-from frames import dicts
+from frames import dicts, raw_bars
 from pyspark.sql import functions as F
 
+from eventide.operators.clean import clean_bars
 from eventide.operators.metrics import cohort_metrics, event_summary
 from eventide.operators.windows import event_day_metrics
 from eventide.plans import serve
 from eventide.plans.pipeline import Pipeline
 from eventide.sources import tables
 from eventide.sources.layers import read_layer
-from eventide.schemas import EVENT_DAY_METRICS, TRADE_SESSIONS
+from eventide.schemas import EVENT_DAY_METRICS, LANDED_BARS, TRADE_SESSIONS
+from eventide.sources.landed import read_bars
 
 STUDY = tables.TABLE_STUDY
 TICKERS = [f"NATION_{i}" for i in range(25)]
@@ -201,3 +204,44 @@ def test_on_demand_only_for_tickers_without_gold(spark, run, sf_dir):
     days = gold.event_day_metrics().filter(others)
     window = serve.window_or_on_demand(days, *args, ticker=absent)
     assert window.filter(~F.col("relative_day").between(-5, 5)).isEmpty() and window.count() > 0
+
+
+def test_every_landed_ticker_is_kept_unless_some_are_named(spark, tmp_path):
+    bars_ = raw_bars(spark, ("AAPL", "2020-01-02", 1.0, 1.0, 1.0, 1.0, 5), ("ELSE", "2020-01-02", 1.0, 1.0, 1.0, 1.0, 5))
+    events_ = spark.createDataFrame([("ELSE", "2020-01-03", "e")], "ticker string, event_date string, event_id string")
+    every = Pipeline(spark, str(tmp_path / "every"))
+    assert every.run(bars_, events_, datetime(2024, 1, 1))["silver"] == {"prices": 2, "announcements": 1}
+    some = Pipeline(spark, str(tmp_path / "some"))
+    named = spark.createDataFrame([("AAPL",), ("AAPL",)], "ticker string")
+    assert some.load_bronze(bars_, events_, datetime(2024, 1, 1), named) == {"prices": 1, "announcements": 0}
+    lines = spark.read.json(f"{some.bronze}/_manifest").collect()
+    assert sorted(len(r["tickers"]) for r in lines) == [0, 1] and ["AAPL"] in [r["tickers"] for r in lines]
+
+
+def test_a_correction_that_landed_later_wins(spark, tmp_path):
+    inbox = str(tmp_path / "inbox")
+    events_ = spark.createDataFrame([], "ticker string, event_date string, event_id string")
+    for price in (9.0, 8.0):
+        raw_bars(spark, ("A", "2020-01-02", price, price, price, price, 5)).write.mode("append").parquet(inbox)
+        time.sleep(1.1)
+    run_ = Pipeline(spark, str(tmp_path / "run"))
+    run_.load_bronze(read_bars(spark, inbox), events_, datetime(2024, 1, 1))
+    latest = clean_bars(read_layer(spark, f"{run_.bronze}/prices", LANDED_BARS), latest_by=["landed_at"])
+    assert [float(r["close"]) for r in latest.collect()] == [8.0]
+
+
+def test_stages_from_the_command_line(spark, tmp_path):
+    from eventide.__main__ import main
+
+    raw_bars(spark, ("A", "2020-01-02", 1.0, 1.0, 1.0, 1.0, 5), ("B", "2020-01-02", 1.0, 1.0, 1.0, 1.0, 5)
+             ).write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([("A", "2020-01-02", None)], "ticker string, event_date string, event_id string"
+                          ).write.parquet(str(tmp_path / "e"))
+    root = ["--root", str(tmp_path / "layers")]
+    loaded = main(["bronze", *root, "--prices", str(tmp_path / "p"), "--announcements", str(tmp_path / "e"),
+                   "--tickers", "A"])
+    assert loaded == {"prices": 1, "announcements": 1}
+    assert main(["silver", *root]) == {"prices": 1, "announcements": 1}
+    assert main(["sessions", *root]) == {"trade_sessions": 4, "distinct_sessions": 4}
+    with pytest.raises(SystemExit):
+        main(["all", *root])

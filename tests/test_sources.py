@@ -6,7 +6,7 @@ from frames import d, dec, dicts, from_rows, raw_bars
 from pyspark.sql import functions as F
 
 from eventide.config import StudyConfig
-from eventide.schemas import EVENT_SUMMARY, RAW_ANNOUNCEMENTS, RAW_BARS
+from eventide.schemas import EVENT_SUMMARY, LANDED_BARS, RAW_ANNOUNCEMENTS, RAW_BARS
 from eventide.sources.landed import read_announcements, read_bars, rejected
 from eventide.sources.layers import read_layer, write_layer
 from eventide.sources.manifest import append_manifest, manifest_row
@@ -28,7 +28,9 @@ def test_landed_bars_in_each_format(spark, tmp_path, fmt):
     writer = raw_bars(spark, *ROWS).write.format(fmt)
     (writer.option("header", "true") if fmt == "csv" else writer).save(path)
     got = read_bars(spark, path, fmt)
-    assert got.schema.fieldNames() == RAW_BARS.fieldNames()
+    assert got.schema.fieldNames() == LANDED_BARS.fieldNames()
+    assert got.filter("landed_at IS NULL").isEmpty()
+    got = got.drop("landed_at")
     assert tuples(got) == sorted(ROWS, key=str)
 
 
