@@ -36,6 +36,8 @@ STEPS = 3
 # Squared distance: ten standard deviations. Sound texts vary by up to seven, junk starts at fifteen.
 CUTOFF = 100.0
 MIN_GROUP = 40
+# Languages and sources up to which their estimates, one row each, are broadcast; more are joined.
+FEW_GROUPS = 10_000
 
 _P = len(STATISTICS)
 _PAIRS = list(combinations_with_replacement(range(_P), 2))
@@ -149,12 +151,17 @@ def _distance() -> Column:
     return sum((x * x for x in solved[1:]), solved[0] * solved[0])
 
 
-def _with_distance(rows: DataFrame, estimates: DataFrame, key: list[str]) -> DataFrame:
-    solved = rows.join(_with_factor(estimates, key), key)
+def _join_groups(rows: DataFrame, groups: DataFrame, key: list[str], few: bool) -> DataFrame:
+    """Give each row what is known of its group; ``few`` says that the groups were counted and fit."""
+    return rows.join(F.broadcast(groups) if few else groups, key)
+
+
+def _with_distance(rows: DataFrame, estimates: DataFrame, key: list[str], few: bool = False) -> DataFrame:
+    solved = _join_groups(rows, _with_factor(estimates, key), key, few)
     return solved.withColumn("distance", _distance())
 
 
-def robust_estimates(rows: DataFrame) -> DataFrame:
+def robust_estimates(rows: DataFrame, few: bool = False) -> DataFrame:
     """Center and covariance of each group of rows (lang, source, z0, ...), by two starts."""
     key = [*_GROUP, "start"]
     z = F.array(*[F.struct(F.lit(i).alias("axis"), x.alias("value")) for i, x in enumerate(_vector())])
@@ -171,9 +178,9 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         # Bins of 1/32 in the logarithm of the distance.
         at = F.ln(F.col("distance") + 1e-6)
-        far = _with_distance(both, estimates, key)
+        far = _with_distance(both, estimates, key, few)
         reach = _quantile(far, key, at, 32, SHARE)
-        closest = far.join(reach, key).filter(F.floor(at * 32) <= F.col("bin"))
+        closest = _join_groups(far, reach, key, few).filter(F.floor(at * 32) <= F.col("bin"))
         estimates = settle(_moments(closest, key))
     best = F.min(F.struct("determinant", "start"))
     chosen = _with_factor(estimates, key).groupBy(*_GROUP).agg(best.alias("best")).select(
@@ -203,17 +210,18 @@ def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, min_words: int = MIN_
     sound = rows.filter(~F.col("base_failed"))
     sizes = sound.groupBy(*_GROUP).agg(F.count("*").alias("n"))
     named = settle(sizes.select(*_GROUP, (F.col("n") >= MIN_GROUP).alias("large")))
+    few = named.count() <= FEW_GROUPS
 
     def grouped(part: DataFrame) -> DataFrame:
-        own = part.join(named, _GROUP)
+        own = _join_groups(part, named, _GROUP, few)
         return own.withColumns({c: F.when(F.col("large"), F.col(c)).otherwise(F.lit("*")) for c in _GROUP}
                                ).drop("large")
 
     members = grouped(sound)
     pooled = F.coalesce(named.join(sizes, _GROUP).filter(~F.col("large")).select(F.sum("n")).scalar(),
                         F.lit(0))
-    estimates = settle(robust_estimates(members.select(*_GROUP, *_vector())))
-    judged = _with_distance(members, estimates, _GROUP)
+    estimates = settle(robust_estimates(members.select(*_GROUP, *_vector()), few))
+    judged = _with_distance(members, estimates, _GROUP, few)
     too_few = (F.col("lang") == "*") & (F.col("source") == "*") & (pooled < MIN_GROUP)
     carried = [c for c in counted.columns if c not in ("lang", "source") and not c.startswith("_")]
     counts = [*carried, "base_failed"]
