@@ -33,30 +33,55 @@ _DERIVED = ("local_ts", "local_date", "prev_trade_ts", "gap_minutes", "is_sessio
 
 def bar_sessions(bars: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
                  tz: str = EXCHANGE_TZ) -> DataFrame:
-    """Sessions of the trades of daily bars, one bar per ticker and day.
+    """Sessions of the trades of daily bars, one bar per ticker and day, as cleaning leaves them.
 
-    A bar has four trades, so a day is small enough to be ordered in one task; only one row per day
-    is ordered per ticker.
+    A bar's four trades are in order, so all that is needed of a day lies in its row. Bars, not
+    trades, are shuffled, once, and ordered per ticker: one row a day. Trades of bars without a date
+    come first, each a session of its own.
     """
-    trades = bar_trades(bars)
-    keyed = _keyed(trades.filter(F.col("trade_ts").isNotNull()), tz, _DAY_SECONDS)
-    day = Window.partitionBy(*_DAY).orderBy("trade_ts", "trade_type", "price")
-    linked = keyed.withColumns({
-        "_prev": F.lag("trade_ts").over(day), "_prev_local": F.lag("local_date").over(day)})
-    opened = linked.withColumn("_starts", F.when(F.col("_prev").isNull(), 0).otherwise(
-        _opens("trade_ts", "local_date", "_prev", "_prev_local", gap_minutes)))
-    counted = opened.withColumn("_so_far", F.sum("_starts").over(
-        day.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    days = _days(counted.select(
-        *_DAY, F.col("trade_ts").alias("_first"), F.col("trade_ts").alias("_last"),
-        F.col("local_date").alias("_date"), "_starts"), gap_minutes, trades)
-    timed = _numbered(counted.join(days, _DAY), trades.columns)
-    return timed.unionByName(_untimed(trades, ["trade_type", "price"], tz))
-
-
-def bar_trades(bars: DataFrame) -> DataFrame:
-    """Four timed trades per daily bar, from one scan; a price that is null gives no trade."""
-    trades = F.array(*[
+    undated = F.col("trade_date").isNull()
+
+    def local(trade: Column) -> Column:
+        return F.to_date(F.from_utc_timestamp(trade["trade_ts"], tz))
+
+    def opens(trade: Column, before: Column) -> Column:
+        gap = (F.unix_timestamp(trade["trade_ts"]) - F.unix_timestamp(before["trade_ts"])) / F.lit(60.0)
+        return (before["trade_ts"].isNull() | (gap > gap_minutes) | (local(trade) != local(before))).cast("int")
+
+    # How many trades up to each start a session, the first of the day apart.
+    starts = F.transform("_trades", lambda t, i: F.when(i == 0, 0).when(undated, 1).otherwise(
+        opens(t, F.get("_trades", i - 1))))
+    traded = (
+        bars.select("ticker", "trade_date", "cap_bucket",
+                    F.filter(_trades_of_bar(), lambda t: t["price"].isNotNull()).alias("_trades"))
+        .filter(F.size("_trades") > 0)
+        .withColumn("_starts", starts)
+        .withColumns({
+            "_ticker": _ticker_key(), "_inner": F.aggregate("_starts", F.lit(0), lambda a, x: a + x),
+            "_first": F.get("_trades", F.lit(0)), "_last": F.element_at("_trades", -1)})
+    )
+    in_order = Window.partitionBy("_ticker").orderBy("trade_date")
+    linked = traded.withColumn("_day_prev", F.lag("_last").over(in_order))
+    opened = linked.withColumn("_opens", F.when(undated | F.col("_day_prev").isNull(), 1).otherwise(
+        opens(F.col("_first"), F.col("_day_prev"))))
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("_inner") + F.col("_opens")).over(earlier), F.lit(0))
+    counted = opened.withColumn("_before", before).select(
+        "ticker", "trade_date", "cap_bucket", "_trades", "_starts", F.col("_day_prev.trade_ts").alias("_day_prev"),
+        "_opens", "_before", F.posexplode("_trades").alias("_i", "_trade"))
+    placed = counted.select(
+        "ticker", "trade_date", "_trade.*", "cap_bucket", "_day_prev", "_opens", "_before",
+        F.get("_trades", F.col("_i") - 1)["trade_ts"].alias("_prev"),
+        F.get("_starts", "_i").alias("_starts"), (F.col("_i") == 0).alias("_leads_day"),
+        F.aggregate(F.slice("_starts", F.lit(1), F.col("_i") + 1), F.lit(0), lambda a, x: a + x).alias("_so_far"))
+    localised = placed.withColumn("local_ts", F.from_utc_timestamp("trade_ts", tz)).withColumn(
+        "local_date", F.to_date("local_ts"))
+    return _numbered(localised, ["ticker", "trade_date", "trade_ts", "price", "trade_type", "cap_bucket"],
+                     F.col("_leads_day"))
+
+
+def _trades_of_bar() -> Column:
+    return F.array(*[
         F.struct(
             wall_clock(F.col("trade_date"), hour, minute).alias("trade_ts"),
             F.col(kind).alias("price"),
@@ -64,8 +89,12 @@ def bar_trades(bars: DataFrame) -> DataFrame:
         )
         for kind, hour, minute in BAR_TRADES
     ])
+
+
+def bar_trades(bars: DataFrame) -> DataFrame:
+    """Four timed trades per daily bar, from one scan; a price that is null gives no trade."""
     return (
-        bars.select("ticker", "trade_date", "cap_bucket", F.inline(trades))
+        bars.select("ticker", "trade_date", "cap_bucket", F.inline(_trades_of_bar()))
         .filter(F.col("price").isNotNull())
         .select("ticker", "trade_date", "trade_ts", "price", "trade_type", "cap_bucket")
     )
@@ -130,12 +159,14 @@ def _days(slices: DataFrame, gap_minutes: float, trades: DataFrame) -> DataFrame
                            (F.col("_before") + F.coalesce("_untimed", F.lit(0))).alias("_before"))
 
 
-def _numbered(placed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Finish trades that know their day, the trade before, and the starts in their day so far."""
-    first = F.col("_prev").isNull()
+def _numbered(placed: DataFrame, columns: Sequence[str], first: Column) -> DataFrame:
+    """Finish trades that know their day, the trade before, and the starts in their day so far.
+
+    ``first`` tells the first trade of each day.
+    """
     return (
         placed
-        .withColumn("prev_trade_ts", F.coalesce("_prev", "_day_prev"))
+        .withColumn("prev_trade_ts", F.when(first, F.col("_day_prev")).otherwise(F.col("_prev")))
         .withColumns({
             "gap_minutes": _seconds_between("trade_ts", "prev_trade_ts") / F.lit(60.0),
             "is_session_start": F.when(first, F.col("_opens")).otherwise(F.col("_starts")).cast("int"),
@@ -226,7 +257,7 @@ def sessionize(
         "_prev": F.when(first, F.col("_slice_prev")).otherwise(own_prev),
         "_starts": F.when(first, F.col("_starts")).otherwise(0),
     })
-    timed = _numbered(placed, trades.columns)
+    timed = _numbered(placed, trades.columns, F.col("_prev").isNull())
     return timed.unionByName(_untimed(trades, tie_break, tz))
 
 
