@@ -75,7 +75,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     if rates.count() <= FEW_SOURCES:
         cdf = F.broadcast(cdf)
     # One struct, so that no name of the input meets one of the join.
-    own = docs.select("source", uniform(F.lit(seed), F.col("doc_id")).alias("at"), F.struct(*others).alias("row"))
+    at = uniform(F.lit(seed), F.col("doc_id"))
+    own = docs.select("source", at.alias("at"), F.struct(*others).alias("row"))
     count = let(F.col("at"), lambda at: F.size(F.filter("cdf", lambda x: x <= at))).cast("long")
     counted = own.join(cdf, own["source"].eqNullSafe(cdf["source"])).select("row", count.alias("count"))
     one = F.lit(1).cast("long")

@@ -149,7 +149,8 @@ def _shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarra
         first = runs(name, long)
         own = sets(part.column("text_a"))
         other = sets(part.column("text_b").take(pa.array(first[:-1])))
-        yield from zip(own, (x for x, n in zip(other, np.diff(first), strict=True) for _ in range(n)), strict=True)
+        again = (x for x, n in zip(other, np.diff(first), strict=True) for _ in range(n))
+        yield from zip(own, again, strict=True)
 
 
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -187,7 +188,8 @@ def _links_left(opened: DataFrame, texts: DataFrame, similarity: float) -> DataF
     others = around.filter(F.col("node") != F.col("center"))
     several = others.groupBy("center").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(
         F.col("low") < F.col("high")).select("center")
-    pairs = others.join(several, "center").select(F.col("node").alias("a"), F.col("center").alias("b"), "label")
+    pairs = others.join(several, "center").select(
+        F.col("node").alias("a"), F.col("center").alias("b"), "label")
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +205,8 @@ def _links_left(opened: DataFrame, texts: DataFrame, similarity: float) -> DataF
     apart = settle(_both_texts(pairs, texts).mapInArrow(
         differences, "center long, node long, label long, size long, differences array<long>"))
     blocks = apart.groupBy("center").agg(F.greatest(
-        F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("differences")) / BLOCK_SHINGLES)).alias("blocks"))
+        F.ceil(F.count("*") / BLOCK_ROWS),
+        F.ceil(F.sum(F.size("differences")) / BLOCK_SHINGLES)).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = apart.join(blocks, "center").withColumn("block", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -242,10 +245,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
                  rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, kept), one row per row of ``docs``.
 
-    Texts whose Jaccard similarity over word five-grams is at least ``similarity`` are linked; a class is what links connect, named by its smallest doc_id, which is kept. Texts of
-    fewer than five words are one shingle. Texts without words, null ones included, are classes of
-    their own. Rows that share a doc_id are one document and one class; rows without a doc_id are
-    kept, with no class. An empty table gives an empty result. Only doc_id and text are read.
+    Texts whose Jaccard similarity over word five-grams is at least ``similarity`` are linked; a
+    class is what links connect, named by its smallest doc_id, which is kept. Texts of fewer than
+    five words are one shingle. Texts without words, null ones included, are classes of their own.
+    Rows that share a doc_id are one document and one class; rows without a doc_id are kept, with no
+    class. An empty table gives an empty result. Only doc_id and text are read.
     """
     signed_texts = settle(_signed_texts(docs, bands, rows))
     bodies = ["body", "body2"]

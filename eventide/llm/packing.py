@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from eventide.llm.store import settle
 from eventide.llm.words import chunks, text_bytes, words

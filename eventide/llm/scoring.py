@@ -150,8 +150,9 @@ def _answers(requests: DataFrame) -> DataFrame:
 
         main = total("main")
         every = main + total("deleted")
+        known = [np.frombuffer(x, np.uint8) for x in table.column("known").to_pylist()]
         unigram = np.zeros(len(own), bool)
-        unigram[at[np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("known").to_pylist()]) > 0]] = True
+        unigram[at[np.concatenate(known) > 0]] = True
         bounds = np.cumsum([0, *map(len, keys)])
         rest = [0] * (table.num_rows - 1)
 
@@ -189,7 +190,8 @@ def _estimates(tokens: _Tokens, counts: np.ndarray, n: int) -> tuple[np.ndarray,
 def _bins(share: np.ndarray) -> np.ndarray:
     """-1 for nothing, else the negative binary logarithm in steps."""
     with np.errstate(divide="ignore"):
-        return np.where(share > 0, np.rint(-np.log2(np.maximum(share, 1e-300)) * RESOLUTION), -1).astype(np.int32)
+        bins = np.rint(-np.log2(np.maximum(share, 1e-300)) * RESOLUTION)
+        return np.where(share > 0, bins, -1).astype(np.int32)
 
 
 def _pooled(blocks: DataFrame, answers: DataFrame) -> DataFrame:
