@@ -27,6 +27,8 @@ from eventide.llm.words import chunks, text_bytes, words
 GROUP = 8192
 # Words whose ids a worker remembers.
 REMEMBERED = 2_000_000
+# Bytes of text whose words are looked up together: each distinct one once.
+LOOK_UP_BYTES = 3 << 20
 # New words encoded together.
 TOGETHER = 1000
 
@@ -189,7 +191,7 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, tokens: int = 2048, end_id:
             _WORKER[name] = _Ids(vocabulary.value)
         ids = _WORKER[name]
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, size=LOOK_UP_BYTES):
                 found, bounds = ids.of(part.column("text"), end_id)
                 whole = found.tobytes()
                 rows = [

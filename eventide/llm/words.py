@@ -90,10 +90,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0]:at[-1]], at - at[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch into slices of about ``CHUNK_BYTES`` of text."""
+def chunks(batch: pa.RecordBatch, column: str = "text",
+           size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into slices of about ``size`` bytes of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes, dtype=np.int64) // CHUNK_BYTES
+    part = np.cumsum(sizes, dtype=np.int64) // size
     cuts = np.flatnonzero(np.diff(part)) + 1
     for first, last in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
         if last > first:
