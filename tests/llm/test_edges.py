@@ -186,15 +186,13 @@ def test_urls(spark):
     labels = spark.createDataFrame([(6, 0), (7, 0), (7, 1), (99, 1), (4, None), (None, 1)], "page_id long, good int")
     rules = [urls.Rule("allow", "example.com", "/"), urls.Rule("block", "co.uk", "/")]
     for frame in (pages, with_clashes(pages)):
-        got = [(r.page_id, r.host, r.path[:3], r.rule, r.verdict) for r in urls.judge_urls(frame, labels, rules).collect()]
-        assert sorted(map(repr, got)) == sorted(map(repr, [
-            (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "a.example.com", "", None, "allow"),
-            (4, "x.co.uk", "/p", "co.uk/", "block"), (4, "x.co.uk", "/p", "co.uk/", "block"),
-            (None, "bad.org", "/x", None, got[0][4]), (6, "bad.org", "/yy", None, got[0][4]),
-            (7, "bad.org", "", None, got[0][4])])) or True
-        judged = {r[0]: r for r in got}
-        assert judged[1][1:4] == ("", "", None) and judged[3][1:3] == ("a.example.com", "")
-        assert judged[4][3:] == ("co.uk/", "block") and judged[7][1:3] == ("bad.org", "")
+        got = urls.judge_urls(frame, labels, rules).collect()
+        assert Counter((r.page_id, r.host, r.path[:3], r.rule) for r in got) == Counter([
+            (1, "", "", None), (2, "", "", None), (3, "a.example.com", "", None),
+            (4, "x.co.uk", "/p", "co.uk/"), (4, "x.co.uk", "/p", "co.uk/"), (None, "bad.org", "/x", None),
+            (6, "bad.org", "/yy", None), (7, "bad.org", "", None)])
+        assert {r.verdict for r in got if r.rule} == {"block"}
+        assert len({r.verdict for r in got if r.host == "bad.org"}) == 1
     assert urls.judge_urls(pages.limit(0), labels, rules).count() == 0
     unlabelled = urls.judge_urls(pages, labels.limit(0), []).collect()
     assert {r.verdict for r in unlabelled} == {"allow"}
