@@ -18,7 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     Under the one the cluster names; in a temporary one of this machine where all work is local.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if shared is None and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{(shared or tempfile.mkdtemp(prefix='eventide-')).rstrip('/')}/{uuid.uuid4().hex}"
 
