@@ -158,7 +158,10 @@ def _early_edges(paths: DataFrame, branching: DataFrame, segments: int) -> DataF
                  pa.array(place[keep].astype(np.int32))], names=[*_PATH, "doc_id", "edge", "place"])
 
     edges = fetched.mapInArrow(rows, "minimizer long, path long, doc_id long, edge long, place int")
-    firsts = edges.groupBy("minimizer", "edge").agg(F.min("doc_id").alias("edge_doc"))
+    # Written, so that the join below starts from files and a hot edge of it can be split.
+    firsts = settle(
+        edges.groupBy("minimizer", "edge").agg(F.min("doc_id").alias("edge_doc"), F.max("doc_id").alias("last"))
+        .filter(F.col("edge_doc") < F.col("last")).drop("last"))
     return edges.join(firsts, ["minimizer", "edge"]).filter(F.col("edge_doc") < F.col("doc_id")).select(
         *_PATH, "place")
 
