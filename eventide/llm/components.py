@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from eventide.llm.store import settle
 
 
-def _star(edges: DataFrame, upward: bool) -> DataFrame:
-    """Hang the larger (``upward``) or smaller neighbours of each node on its least neighbour."""
+def _star(edges: DataFrame, upward: bool, rows: int) -> DataFrame:
+    """Hang the larger (``upward``) or smaller neighbours of each node on its least neighbour.
+
+    ``rows`` is the most nodes there can be.
+    """
     if upward:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges
     least = around.groupBy("u").agg(F.min("v").alias("m"))
+    if upward:
+        # Written, so that the join starts from files and a node with very many neighbours can be split.
+        least = settle(least, rows)
     to = F.least("u", "m")
     joined = around.join(least, "u").withColumn("to", to)
     if upward:
@@ -38,7 +44,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     mark = edges.agg(*state).first()
     for _ in range(most):
         # A step never adds edges.
-        edges = settle(_star(_star(edges, upward=True), upward=False).distinct(), mark.edges)
+        edges = settle(
+            _star(_star(edges, True, 2 * mark.edges), False, 2 * mark.edges).distinct(), mark.edges)
         now = edges.agg(*state).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
