@@ -29,9 +29,10 @@ STATISTICS = ("word_length", "symbols", "dup_lines", "repeats")
 # What is no difference worth speaking of in each statistic: the unit vectors are measured in. It is
 # added to every spread, so that a group whose documents all agree does not reject the next one.
 UNITS = (0.5, 0.02, 0.1, 0.1)
-SHARE = 0.75
-# Makes the covariance of the closest 75 % of a normal sample in four dimensions that of all of it.
-CONSISTENCY = 1.485
+# Half, so that the estimates hold as long as fewer than half of a group's rows are outliers.
+SHARE = 0.5
+# Makes the covariance of the closest half of a normal sample in four dimensions that of all of it.
+CONSISTENCY = 2.109
 STEPS = 3
 # Squared distance: ten standard deviations. Sound texts vary by up to seven, junk starts at fifteen.
 CUTOFF = 100.0

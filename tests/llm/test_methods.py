@@ -138,6 +138,20 @@ def test_outliers_by_plain_estimates(spark):
     assert all(want[:60] > quality.CUTOFF) and all(want[60:] < quality.CUTOFF)
 
 
+@pytest.mark.parametrize(("share", "away"), [(0.33, 25), (0.33, 45), (0.45, 25)])
+def test_much_equal_junk_does_not_hide_itself(spark, share, away):
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=(600, 4)) + 3
+    junk = int(share * len(z))
+    z[:junk] = np.array([3 + away / 2] * 4)
+    frame = spark.createDataFrame(
+        [("en", "a", i, *map(float, row)) for i, row in enumerate(z)],
+        "lang string, source string, i long, z0 double, z1 double, z2 double, z3 double").repartition(5)
+    estimates = quality.robust_estimates(frame.drop("i"))
+    got = {r.i: r.distance for r in quality._with_distance(frame, estimates, ["lang", "source"]).collect()}
+    assert all((got[i] > quality.CUTOFF) == (i < junk) for i in range(len(z)))
+
+
 def test_junk_is_rejected_and_prose_kept(spark, sf_dir, texts):
     for r in Q["op7_quality_rules"](spark, sf_dir).collect():
         if not r.base_failed and 5 * r.n_symbols > r.word_chars:
