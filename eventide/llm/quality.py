@@ -27,15 +27,19 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
 STATISTICS = ("word_length", "symbols", "dup_lines", "repeats")
 # What is no difference worth speaking of in each statistic: the unit vectors are measured in. It is
-# added to every spread, so that a group whose documents all agree does not reject the next one.
-UNITS = (0.5, 0.02, 0.1, 0.1)
+# added to every spread, so that a group whose documents all agree does not reject the next one. Even
+# so each statistic can reject alone: of a group whose documents all have five letters a word, no
+# symbols and no repeats, words of 7.2 letters, 18 % symbols, 59 % duplicate lines, 48 % repeated words.
+UNITS = (0.5, 0.04, 0.8, 0.7)
+# Log odds of shares, from about what is no share at all, and nearly without bound towards all of it.
+LEAST_SHARE, LEAST_REST = 0.05, 0.001
 # Half, so that the estimates hold as long as fewer than half of a group's rows are outliers.
 SHARE = 0.5
 # Makes the covariance of the closest half of a normal sample in four dimensions that of all of it.
 CONSISTENCY = 2.109
 STEPS = 3
-# Squared distance: ten standard deviations. Sound texts vary by up to seven, junk starts at fifteen.
-CUTOFF = 100.0
+# Squared distance beyond which one in a thousand of a normal sample lies: chi-square, four dimensions.
+CUTOFF = 18.467
 MIN_GROUP = 40
 # Languages and sources up to which their estimates, one row each, are broadcast; more are joined.
 FEW_GROUPS = 10_000
@@ -94,14 +98,18 @@ def _vector(p: str = "z") -> list[Column]:
     return [F.col(f"{p}{i}") for i in range(_P)]
 
 
+def _log_odds(share: Column) -> Column:
+    return F.ln((share + F.lit(LEAST_SHARE)) / (F.lit(1 + LEAST_REST) - share))
+
+
 def _statistics() -> list[Column]:
     """The transformed statistics, in units."""
     words, chars = (F.nullif(c, F.lit(0)) for c in ("n_words", "word_chars"))
     raw = (
         F.col("word_chars") / words,
         F.col("n_symbols") / chars,
-        F.sqrt(F.col("n_dup_lines") / F.nullif("_n_lines", F.lit(0))),
-        F.sqrt(F.col("n_repeat_words") / words),
+        _log_odds(F.col("n_dup_lines") / F.nullif("_n_lines", F.lit(0))),
+        _log_odds(F.col("n_repeat_words") / words),
     )
     return [(x / F.lit(unit)).alias(f"z{i}") for i, (x, unit) in enumerate(zip(raw, UNITS, strict=True))]
 

@@ -152,6 +152,28 @@ def test_much_equal_junk_does_not_hide_itself(spark, share, away):
     assert all((got[i] > quality.CUTOFF) == (i < junk) for i in range(len(z)))
 
 
+def test_each_statistic_can_reject_alone(spark):
+    rng = np.random.default_rng(4)
+
+    def some(n, low, high):
+        return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(low, high + 1))) for _ in range(n)]
+
+    few = some(12, 4, 6)
+    passage = some(50, 3, 7)
+    odd = {
+        "long words": " ".join(some(100, 8, 8)),
+        "symbols": " ".join([*(w + "$" for w in some(95, 4, 4)), *some(5, 5, 5)]),
+        "duplicate lines": "\n".join(rng.choice(few, 200)),
+        "repeated words": " ".join([*passage, *some(50, 3, 7), *passage, *some(50, 3, 7)]),
+    }
+    sound = [(i, " ".join(some(100, 3, 7)), "en", "a") for i in range(60)]
+    rows = sound + [(100 + i, text, "en", "a") for i, text in enumerate(odd.values())]
+    judged = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = {r.doc_id: (r.base_failed, r.kept) for r in judged.collect()}
+    assert all(got[i] == (False, True) for i in range(60))
+    assert {name: got[100 + i] for i, name in enumerate(odd)} == dict.fromkeys(odd, (False, False))
+
+
 def test_junk_is_rejected_and_prose_kept(spark, sf_dir, texts):
     for r in Q["op7_quality_rules"](spark, sf_dir).collect():
         if not r.base_failed and 5 * r.n_symbols > r.word_chars:
