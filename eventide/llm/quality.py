@@ -197,15 +197,40 @@ def robust_estimates(rows: DataFrame, few: bool = False) -> DataFrame:
     return estimates.join(chosen, key).drop("start")
 
 
+def _references(sound: DataFrame) -> tuple[DataFrame, int]:
+    """Per language and source the group it is measured against and those its rows are part of; and
+    how many rows there are. Groups are named apart from those of all sources, or of everything.
+    """
+    sizes = settle(sound.groupBy(*_GROUP).agg(F.count("*").alias("n")))
+    languages = sizes.groupBy("lang").agg(F.sum("n").alias("in_lang"), F.min("n").alias("least"))
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    rare = not languages.filter(F.col("in_lang") < MIN_GROUP).isEmpty()
+
+    def group(lang: Column, source: Column) -> Column:
+        return F.struct(lang.alias("lang"), source.alias("source"))
+
+    every = F.lit("*")
+    lang, source = (F.concat(F.lit("="), F.col(c)) for c in _GROUP)
+    own, of_lang, of_all = group(lang, source), group(lang, every), group(every, every)
+    large, large_lang = F.col("n") >= MIN_GROUP, F.col("in_lang") >= MIN_GROUP
+    feeds = F.filter(F.array(
+        F.when(large, own), F.when(large_lang & (F.col("least") < MIN_GROUP), of_lang),
+        F.when(F.lit(rare), of_all)), lambda x: x.isNotNull())
+    return settle(sizes.join(languages, "lang").select(
+        *_GROUP, F.when(large, own).when(large_lang, of_lang).otherwise(of_all).alias("reference"),
+        feeds.alias("feeds"))), total
+
+
 def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, min_words: int = MIN_WORDS,
                   also: Sequence[Column] = ()) -> DataFrame:
     """Counts and verdict per row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept.
 
     Rows fail at once with fewer than ``min_words`` words or more than half of their words in
-    repeated windows; the others are measured against their language and source. Languages and
-    sources with fewer than ``MIN_GROUP`` such rows are measured together, and where that is still
-    too few nobody is rejected. A null text counts as empty; a null language or source is a group
+    repeated windows; the others are measured against their language and source. Those of a language
+    and source with fewer than ``MIN_GROUP`` such rows are measured against all rows of their
+    language, and where these are too few, against all rows; only if that is fewer than ``MIN_GROUP``
+    is nobody rejected. A null text counts as empty; a null language or source is a group
     like any other. Repeated rows each count and get one verdict. An empty table gives an empty
     result. Only doc_id, text, lang and source are read. ``also`` are columns of ``docs`` to carry.
     """
@@ -217,21 +242,13 @@ def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, min_words: int = MIN_
     rows = settle(counted.withColumn("base_failed", failed).select("*", *_statistics()))
 
     sound = rows.filter(~F.col("base_failed"))
-    sizes = sound.groupBy(*_GROUP).agg(F.count("*").alias("n"))
-    named = settle(sizes.select(*_GROUP, (F.col("n") >= MIN_GROUP).alias("large")))
+    named, n_sound = _references(sound)
     few = named.count() <= FEW_GROUPS
-
-    def grouped(part: DataFrame) -> DataFrame:
-        own = _join_groups(part, named, _GROUP, few)
-        return own.withColumns({c: F.when(F.col("large"), F.col(c)).otherwise(F.lit("*")) for c in _GROUP}
-                               ).drop("large")
-
-    members = grouped(sound)
-    pooled = F.coalesce(named.join(sizes, _GROUP).filter(~F.col("large")).select(F.sum("n")).scalar(),
-                        F.lit(0))
-    estimates = settle(robust_estimates(members.select(*_GROUP, *_vector()), few))
-    judged = _with_distance(members, estimates, _GROUP, few)
-    too_few = (F.col("lang") == "*") & (F.col("source") == "*") & (pooled < MIN_GROUP)
+    members = _join_groups(sound, named, _GROUP, few)
+    estimates = settle(robust_estimates(
+        members.select(F.explode("feeds").alias("group"), *_vector()).select("group.*", *_vector()), few))
+    judged = _with_distance(members.drop(*_GROUP).select("*", "reference.*"), estimates, _GROUP, few)
+    too_few = F.lit(n_sound < MIN_GROUP)
     carried = [c for c in counted.columns if c not in ("lang", "source") and not c.startswith("_")]
     counts = [*carried, "base_failed"]
     return judged.select(*counts, (too_few | (F.col("distance") <= cutoff)).alias("kept"), "distance"

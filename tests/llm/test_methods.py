@@ -174,6 +174,35 @@ def test_each_statistic_can_reject_alone(spark):
     assert {name: got[100 + i] for i, name in enumerate(odd)} == dict.fromkeys(odd, (False, False))
 
 
+def test_small_groups_are_measured_by_language_then_by_everything(spark):
+    rng = np.random.default_rng(6)
+
+    def text(low, high, mark=""):
+        return " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(low, high + 1))) + mark for _ in range(100))
+
+    rows = [(i, text(3, 7), "en", "a") for i in range(170)]
+    rows += [(170 + i, text(13, 17), "xx", f"s{i % 9}") for i in range(80)]
+    # Small sources of junk, of a language with a large source, of one with small ones, of a rare one.
+    rows += [(250 + i, text(3, 7, "$$$"), "en", "b") for i in range(30)]
+    rows += [(300 + i, text(13, 17, "$$$$$$$$$"), "xx", "t") for i in range(20)]
+    rows += [(400 + i, text(3, 7, "$$$"), "de", "c") for i in range(5)]
+    # One sound text of a source of its own, and one as sound elsewhere only.
+    rows += [(500, text(3, 7), "en", "d"), (501, text(13, 17), "en", "d")]
+    judged = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = {r.doc_id: (r.base_failed, r.kept) for r in judged.collect()}
+    assert got == {d: (False, d < 250 or d == 500) for d, *_ in rows}
+
+
+def test_a_small_source_of_junk_is_judged(spark):
+    """However few rows all small groups have together."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 8)))
+    rows = [(i, " ".join(word() for _ in range(100)), "en", "a") for i in range(60)]
+    rows += [(100 + i, " ".join(word() + "$$$" for _ in range(100)), "en", "b") for i in range(30)]
+    judged = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {r.doc_id: r.kept for r in judged.collect()} == {d: d < 100 for d, *_ in rows}
+
+
 def test_junk_is_rejected_and_prose_kept(spark, sf_dir, texts):
     for r in Q["op7_quality_rules"](spark, sf_dir).collect():
         if not r.base_failed and 5 * r.n_symbols > r.word_chars:
