@@ -7,7 +7,8 @@ arrival comes later than everything kept. Two texts agree in a component with th
 Jaccard similarity of their weighted shingles, which is the Jaccard similarity where nothing repeats.
 
 Texts that agree in all components of a band share a bucket; exact copies are one node. Candidates
-are verified by the Jaccard similarity of their shingle sets. Buckets are not spelled out into
+are verified by the Jaccard similarity of their shingle sets, which repeats do not change, so a text
+that repeats shingles has the bands of equal weights as well: where nothing repeats both are the same. Buckets are not spelled out into
 pairs: first everyone is compared with the bucket's first member, its center; and if a bucket still
 holds several classes, its members are compared in blocks by how they differ from the center.
 """
@@ -28,7 +29,7 @@ from eventide.llm.words import Spans, chunks, grams, mix, runs, signed, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# At similarity 0.8 all bands miss with probability (1 - 0.8**5)**28, 1 in 70,000.
+# At similarity 0.8 all bands of equal weights miss with probability (1 - 0.8**5)**28, 1 in 70,000.
 BANDS, ROWS = 28, 5
 
 # Members of a bucket, and shingles in which they differ from its center, that a block holds.
@@ -93,6 +94,23 @@ def _bands(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return found
 
 
+def _with_equal_weights(weighted: np.ndarray, text: np.ndarray, element: np.ndarray, count: np.ndarray,
+                        bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bands of each text, one after the other, and how many it has.
+
+    Texts in which something repeats have those of equal weights beside the ``weighted`` ones.
+    """
+    repeats = np.unique(text[count > 1])
+    own = np.isin(text, repeats)
+    equal = prob_min_hash(np.searchsorted(repeats, text[own]), element[own], np.ones(own.sum()),
+                          len(repeats), bands * rows)
+    both = np.tile(weighted, 2)
+    both[repeats, bands:] = _bands(equal, bands, rows)
+    there = np.ones(both.shape, bool)
+    there[:, bands:] = np.isin(np.arange(len(both)), repeats)[:, None]
+    return both[there], there.sum(axis=1)
+
+
 def _signed_texts(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(doc_id, body, body2, bands) of texts with words; equal word sequences have equal bodies."""
 
@@ -106,7 +124,8 @@ def _signed_texts(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 some = np.unique(text)
                 number = np.searchsorted(some, text)
                 signature = prob_min_hash(number, own, 1 + np.log(count), len(some), bands * rows)
-                spread = _bands(signature, bands, rows)
+                spread, sizes = _with_equal_weights(
+                    _bands(signature, bands, rows), number, own, count, bands, rows)
                 bounds = runs(found.text)
                 body = np.array([_sequence(found.hash[a:b]) for a, b in
                                  zip(bounds[:-1], bounds[1:], strict=True)], np.uint64)
@@ -115,8 +134,8 @@ def _signed_texts(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     [part.column("doc_id").take(pa.array(some)), pa.array(signed(body)),
                      pa.array(signed(body2)),
                      pa.ListArray.from_arrays(
-                         pa.array(np.arange(0, spread.size + 1, bands, dtype=np.int32)),
-                         pa.array(signed(spread.ravel())))],
+                         pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+                         pa.array(signed(spread)))],
                     names=["doc_id", "body", "body2", "bands"])
 
     return docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).mapInArrow(
