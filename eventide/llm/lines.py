@@ -72,13 +72,15 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
             for part in chunks(batch):
                 found, some = _long_lines(part, min_chars)
                 some[some] = shared.value.hits(found.hash[some])
-                at = _one_per_text(found, some)
+                at = np.flatnonzero(some)
                 data = text_bytes(part.column("text"))[0].tobytes()
-                digests = [hashlib.sha256(data[a:b].translate(_LOWER)).digest()
-                           for a, b in zip(found.start[at], found.end[at], strict=True)]
+                digests = (hashlib.sha256(data[a:b].translate(_LOWER)).digest()
+                           for a, b in zip(found.start[at], found.end[at], strict=True))
+                # What is one line is told by the digest alone.
+                own = list(dict.fromkeys(zip(found.text[at].tolist(), digests, strict=True)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(found.text[at])),
-                     pa.array(digests, pa.binary())], names=["doc_id", "digest"])
+                    [part.column("doc_id").take(pa.array([t for t, _ in own], pa.int64())),
+                     pa.array([d for _, d in own], pa.binary())], names=["doc_id", "digest"])
 
     found = texts.mapInArrow(suspects, "doc_id long, digest binary")
     # Written, so that the join below starts from files and a hot digest of it can be split.

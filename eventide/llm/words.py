@@ -23,7 +23,7 @@ _LOWER = np.where((_AS_IS >= 65) & (_AS_IS <= 90), _AS_IS + 32, _AS_IS).astype(n
 
 _LETTER = (_LOWER >= 97) & (_LOWER <= 122)
 
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93 | 3
+_PLACE, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,35 +39,19 @@ _BYTE_KEYS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C
 _LOWER_KEYS = _BYTE_KEYS[_LOWER]
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse, modulo 2**64, as many as were asked for."""
+def _span_hashes(keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of ``keys[start:end]`` for each of the spans, which do not overlap and are in order.
 
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up, self.down = (self._series(x, size) for x in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-    @staticmethod
-    def _series(base: int, size: int) -> np.ndarray:
-        series = np.full(size, base, np.uint64)
-        series[0] = 1
-        return np.cumprod(series, dtype=np.uint64)
-
-
-_BYTES, _WORDS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
-
-
-def _span_hashes(values: np.ndarray, powers: _Powers, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of ``values[start:end]`` for each span; equal sequences hash alike wherever they stand."""
-    up, down = powers.of(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    Equal sequences hash alike wherever they stand. A key counts by a number mixed from it and its
+    place in the span, so that no power or difference of keys cancels another, as in a polynomial.
+    """
+    size = end - start
+    opens = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(opens[-1]) - np.repeat(opens[:-1], size)
+    inner = keys[place + np.repeat(start, size)]
+    sums = np.zeros(len(inner) + 1, np.uint64)
+    np.cumsum(mix(inner + place.astype(np.uint64) * np.uint64(_PLACE)), out=sums[1:])
+    return mix(sums[opens[1:]] - sums[opens[:-1]] + size.astype(np.uint64))
 
 
 class Spans(NamedTuple):
@@ -123,7 +107,7 @@ def words(column: pa.Array, lower: bool = False, apart: bytes = b"") -> Spans:
         start, end = np.where(second, end[of] - 1, start[of]), np.where(cut[of] & ~second, end[of] - 1, end[of])
     text = np.searchsorted(at, start, side="right") - 1
     keys = (_LOWER_KEYS if lower else _BYTE_KEYS)[data]
-    return Spans(text, start, end, _span_hashes(keys, _BYTES, start, end))
+    return Spans(text, start, end, _span_hashes(keys, start, end))
 
 
 def lines(column: pa.Array) -> Spans:
@@ -142,7 +126,7 @@ def lines(column: pa.Array) -> Spans:
     some = hi > lo
     start, end = starts.copy(), starts.copy()
     start[some], end[some] = solid[lo[some]], solid[hi[some] - 1] + 1
-    return Spans(text, start, end, _span_hashes(_LOWER_KEYS[data], _BYTES, start, end))
+    return Spans(text, start, end, _span_hashes(_LOWER_KEYS[data], start, end))
 
 
 def _line_texts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -152,12 +136,27 @@ def _line_texts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(at) - 1), count)
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a ^ (b * np.uint64(_SECOND) + np.uint64(_PLACE)))
+
+
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` values, whatever texts they belong to."""
-    if len(hashes) < size:
+    """Hash of each run of ``size`` values, whatever texts they belong to.
+
+    A run is the tree of its halves: runs of 1, 2, 4, ... values are joined two by two.
+    """
+    n = len(hashes) - size + 1
+    if n < 1:
         return np.empty(0, np.uint64)
-    start = np.arange(len(hashes) - size + 1)
-    return _span_hashes(hashes, _WORDS, start, start + size)
+    power, width, found, covered = hashes, 1, None, 0
+    while True:
+        if size & width:
+            part = power[covered:covered + n]
+            found = part if found is None else _joined(found, part)
+            covered += width
+        if covered == size:
+            return mix(found + np.uint64(size))
+        power, width = _joined(power[:-width], power[width:]), 2 * width
 
 
 def signed(x: np.ndarray) -> np.ndarray:
