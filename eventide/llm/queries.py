@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import chat, exact, lines, mixing, neardup, packing, quality, scoring, spans, urls
+from eventide.llm import chat, clusters, exact, lines, mixing, neardup, packing, quality, scoring, spans, urls
 from eventide.llm.store import find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,8 @@ def op9_line_dedup(spark, sf):
 def op10_source_mixing(spark, sf):
     """Every source gets an equal share of the mix."""
     return mixing.mix_sources(_table(spark, sf, "documents"))
+
+
+@_query
+def op11_centroid_clustering(spark, sf):
+    return clusters.clustered(_table(spark, sf, "embeddings"))

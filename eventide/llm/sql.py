@@ -150,3 +150,51 @@ WITH sizes AS (
 SELECT d.*, c.copy, md5('18:' || d.doc_id || ':' || c.copy) AS shuffle_key
 FROM documents d JOIN (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM counted) c USING (doc_id)
 """
+
+
+def _rounds_of_means(rounds: int) -> str:
+    """Assignments and centroids in turn: a0, c1, a1, ..."""
+
+    def assignment(t: int) -> str:
+        return f"""
+d{t} AS MATERIALIZED (
+  SELECT r, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance FROM axes JOIN c{t} USING (axis) GROUP BY r, k
+), a{t} AS MATERIALIZED (
+  SELECT r, first(k ORDER BY distance, k) AS k, min(distance) AS distance FROM d{t} GROUP BY r
+)"""
+
+    def update(t: int) -> str:
+        return f"""
+s{t} AS MATERIALIZED (
+  SELECT k, axis, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM axes JOIN a{t - 1} USING (r) GROUP BY k, axis
+), c{t} AS MATERIALIZED (
+  SELECT c.k, c.axis, CASE WHEN n IS NULL THEN c.c ELSE (s - ((s % n) + n) % n) // n END AS c
+  FROM c{t - 1} c LEFT JOIN s{t} USING (k, axis)
+)"""
+
+    steps = [assignment(0)]
+    for t in range(1, rounds + 1):
+        steps += [update(t), assignment(t)]
+    return ",".join(steps)
+
+
+_SQL["op11_centroid_clustering"] = rf"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(
+    greatest(least(floor(256.0::DOUBLE * CAST(x AS DOUBLE)), 134217728), -134217728) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), axes AS MATERIALIZED (
+  SELECT r, unnest(range(64)) AS axis, unnest(v) AS x FROM kept
+), chosen AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), 'null')), v) - 1 AS k
+  FROM kept
+), c0 AS MATERIALIZED (
+  SELECT k, axis, x AS c FROM axes JOIN chosen USING (r) WHERE k < 40
+), {_rounds_of_means(5)}, centroids AS (
+  SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY axis)) AS centroid_sha256 FROM c5 GROUP BY k
+)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM kept JOIN a5 USING (r) JOIN centroids USING (k)
+"""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """Folder of ``spark.checkpoint.dir``; where that is unset, a temporary one if all work is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="eventide-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -34,7 +38,46 @@ def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
         df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/eventide/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._settled_at = path
+    return table
+
+
+# Tables settled inside of each open `scratch`.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A scope at whose end all tables settled in it are removed, but for those given to what it
+    yields. Results that read them must be written before.
+    """
+    _SCOPES.append([])
+
+    def keep(table: DataFrame) -> DataFrame:
+        _SCOPES[-1].remove(table._settled_at)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a settled table that nothing will read again."""
+    for paths in _SCOPES:
+        if table._settled_at in paths:
+            paths.remove(table._settled_at)
+    _remove(table.sparkSession, table._settled_at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
