@@ -47,10 +47,16 @@ def _span_hashes(keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     """
     size = end - start
     opens = np.concatenate([[0], np.cumsum(size)])
-    place = np.arange(opens[-1]) - np.repeat(opens[:-1], size)
-    inner = keys[place + np.repeat(start, size)]
+    place = np.arange(opens[-1])
+    inner = keys[place + np.repeat(start - opens[:-1], size)]
+    place -= np.repeat(opens[:-1], size)
+    inner += place.view(np.uint64) * np.uint64(_PLACE)
+    shifted = np.right_shift(inner, np.uint64(32))
+    inner ^= shifted
+    inner *= np.uint64(_SECOND)
+    inner ^= np.right_shift(inner, np.uint64(29), out=shifted)
     sums = np.zeros(len(inner) + 1, np.uint64)
-    np.cumsum(mix(inner + place.astype(np.uint64) * np.uint64(_PLACE)), out=sums[1:])
+    np.cumsum(inner, out=sums[1:])
     return mix(sums[opens[1:]] - sums[opens[:-1]] + size.astype(np.uint64))
 
 
