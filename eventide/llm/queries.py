@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import alignment, chat, clusters, exact, lines, mixing, neardup, packing, quality, scoring, spans, urls
+from eventide.llm import alignment, chat, clusters, exact, licenses, lines, mixing, neardup, packing, quality, scoring, spans, urls
 from eventide.llm.store import find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,8 @@ def op12_cross_tokenizer_alignment(spark, sf):
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
         public_tokenizers.path("piece_bpe_32k.model"))
     return alignment.alignment_digests(_table(spark, sf, "documents"), tokenizers)
+
+
+@_query
+def op13_license_scans(spark, sf):
+    return licenses.license_digests(_table(spark, sf, "documents"))

@@ -22,6 +22,8 @@ _AS_IS = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_AS_IS >= 65) & (_AS_IS <= 90), _AS_IS + 32, _AS_IS).astype(np.uint8)
 
 _LETTER = (_LOWER >= 97) & (_LOWER <= 122)
+# Letters, digits, and all bytes of characters beyond ASCII.
+LETTERS = _LETTER | ((_AS_IS >= 48) & (_AS_IS <= 57)) | (_AS_IS >= 128)
 
 _PLACE, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -91,13 +93,13 @@ def chunks(batch: pa.RecordBatch, column: str = "text",
             yield batch.slice(first, last - first)
 
 
-def words(column: pa.Array, lower: bool = False, apart: bytes = b"") -> Spans:
+def words(column: pa.Array, lower: bool = False, apart: bytes = b"", solid: np.ndarray = ~_BLANK) -> Spans:
     """Words of every text of the column; ``lower`` hashes A-Z as a-z.
 
-    A last byte that is one of ``apart`` becomes a word of its own if it follows an ASCII letter.
+    ``solid`` tells which bytes words are made of, by default all but blanks. A last byte that is one of ``apart`` becomes a word of its own if it follows an ASCII letter.
     """
     data, at = text_bytes(column)
-    solid = ~_BLANK[data]
+    solid = solid[data]
     opens, closes = solid.copy(), solid.copy()
     opens[1:] &= ~solid[:-1]
     closes[:-1] &= ~solid[1:]

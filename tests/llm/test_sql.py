@@ -12,9 +12,9 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-def test_ten_and_the_pipeline_are_registered():
+def test_all_and_the_pipeline_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.queries()) | {"pipeline"} <= set(entry_point.queries())
     assert set(sql.oracle_sql()) <= set(queries.queries())
 
