@@ -21,13 +21,17 @@ from eventide.schemas import (
     served,
 )
 from eventide.sources.layers import read_layer
+from eventide.sources.snapshots import Snapshot, current
 
 
 class GoldTables:
     """The gold tables under one root; a missing table reads as empty.
 
-    ``keep=True`` caches each table on first use until ``reload``. Leave it off for tables larger
-    than executor storage: partition pruning makes single-ticker lookups cheap without it.
+    All lookups see the versions that were current when the object was made, until `reload` takes
+    up later ones. ``keep=True`` caches each table on first use. Frames are kept by version: a lookup
+    that is running while others reload goes on with the rows it began with, which stay cached until
+    the reload after. Leave it off for tables larger than executor storage: partition pruning makes
+    single-ticker lookups cheap without it.
     """
 
     _TABLES = {
@@ -38,14 +42,26 @@ class GoldTables:
 
     def __init__(self, spark: SparkSession, root: str, keep: bool = False) -> None:
         self._spark, self._root, self._keep = spark, root, keep
-        self._kept: dict[str, DataFrame] = {}
+        self._kept: dict[tuple[str, int | None], DataFrame] = {}
+        self._leaving: list[DataFrame] = []
+        self._versions = self._current()
+
+    def _current(self) -> dict[str, Snapshot | None]:
+        return {name: current(self._spark, f"{self._root}/{name}") for name in self._TABLES}
+
+    def versions(self) -> dict[str, int | None]:
+        """Number of the version of each table that lookups see; None for a table without any."""
+        return {name: version and version.id for name, version in self._versions.items()}
 
     def _table(self, name: str) -> DataFrame:
-        if name in self._kept:
-            return self._kept[name]
-        frame = read_layer(self._spark, f"{self._root}/{name}", self._TABLES[name], missing_ok=True)
+        version = self._versions[name]
+        key = (name, version and version.id)
+        if key in self._kept:
+            return self._kept[key]
+        frame = read_layer(self._spark, f"{self._root}/{name}", self._TABLES[name], missing_ok=True,
+                           version=version)
         if self._keep:
-            self._kept[name] = frame.cache()
+            self._kept[key] = frame.cache()
         return frame
 
     def event_summary(self) -> DataFrame:
@@ -58,12 +74,24 @@ class GoldTables:
         return self._table("daily_cohort_metrics")
 
     def reload(self) -> None:
-        """Forget kept rows and file listings, so that the next lookup sees the latest run."""
-        for frame in self._kept.values():
+        """Take up the latest version of each table; of unchanged ones kept rows stay kept.
+
+        A folder without versions may have changed in place, so it is read anew.
+        """
+        self._versions = self._current()
+        still = {(name, version.id) for name, version in self._versions.items() if version}
+        for frame in self._leaving:
             frame.unpersist()
-        self._kept.clear()
-        for name in self._TABLES:
-            self._spark.catalog.refreshByPath(f"{self._root}/{name}")
+        self._leaving = []
+        for key in [k for k in self._kept if k not in still]:
+            frame = self._kept.pop(key)
+            if key[1] is None:
+                frame.unpersist()
+            else:
+                self._leaving.append(frame)
+        for name, version in self._versions.items():
+            if version is None:
+                self._spark.catalog.refreshByPath(f"{self._root}/{name}")
 
 
 def of_ticker(df: DataFrame, ticker: str | None) -> DataFrame:

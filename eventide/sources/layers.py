@@ -1,16 +1,19 @@
-"""Parquet layers: typed reads, counted writes."""
+"""Parquet layers: typed reads of one version, counted writes of the next."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventide.sources.snapshots import Snapshot, commit, current, drop_folder, expire, fresh_folder, remaining
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder where all machines of the cluster can read and write.
@@ -24,12 +27,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{(shared or tempfile.mkdtemp(prefix='eventide-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def read_layer(spark: SparkSession, path: str, schema: T.StructType,
-               missing_ok: bool = False) -> DataFrame:
-    """Read a layer with its declared schema, so a ticker such as ``0700`` stays text."""
+def read_layer(spark: SparkSession, path: str, schema: T.StructType, missing_ok: bool = False,
+               version: Snapshot | None = None) -> DataFrame:
+    """Read a layer with its declared schema, so a ticker such as ``0700`` stays text.
+
+    The current version is looked up once, here: what is written later does not change the result.
+    ``version`` reads another one. A folder of files without versions is read as it is.
+    """
+    version = version or current(spark, path)
+    reader = spark.read.schema(schema)
     try:
+        if version is None:
+            frames = [reader.parquet(path)]
+        else:
+            # Partitions from before there were versions lie one level higher.
+            taken_over = {f: p for f, p in version.folders.items() if not f}
+            own = {f: p for f, p in version.folders.items() if f}
+            frames = [reader.option("basePath", path).parquet(*version._replace(folders=folders).paths(path))
+                      for folders in (taken_over, own) if folders]
         # Partition columns come last in files; the declared order is restored.
-        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+        frames = [frame.select(*schema.fieldNames()) for frame in frames]
+        return reduce(DataFrame.unionAll, frames) if frames else spark.createDataFrame([], schema)
     except AnalysisException as error:
         if missing_ok and error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
@@ -44,18 +62,20 @@ def write_observed(
     replace: str = "all",
     skip_empty: bool = False,
     observe: Mapping[str, Column] | None = None,
+    keep: int = 2,
 ) -> dict[str, int]:
-    """Overwrite a layer and return its row count as ``rows``, taken while writing.
+    """Write a new version of a layer and return its row count as ``rows``, taken while writing.
 
     With ``partition_by`` the rows are rebalanced on that column first: small partitions end up in
     one file, and AQE splits a partition that holds far more than the rest, so a hot value is
-    written by many tasks. ``replace="touched"`` replaces only partitions present in ``df``;
-    ``"all"`` replaces the whole table. ``skip_empty`` leaves the layer as it is when ``df`` has no
-    rows: it is written beside the layer first, and moved in once it is known to hold any.
-    ``observe`` adds aggregates, taken in the same write.
+    written by many tasks. ``replace="touched"`` replaces only partitions present in ``df``,
+    ``"none"`` adds rows to those there are, ``"all"`` replaces the whole table. ``skip_empty``
+    leaves the layer as it is when ``df`` has no rows. ``observe`` adds aggregates, taken in the same
+    write. ``keep`` versions stay readable, and the layer is the old one until all is written.
     """
-    if replace not in ("all", "touched"):
-        raise ValueError("replace must be 'all' or 'touched'")
+    if replace not in ("all", "touched", "none"):
+        raise ValueError("replace must be 'all', 'touched' or 'none'")
+    spark = df.sparkSession
     if partition_by:
         df = df.hint("rebalance", F.col(partition_by))
         df = df.sortWithinPartitions(partition_by, *sort_by)
@@ -63,35 +83,25 @@ def write_observed(
         df = df.orderBy(*sort_by)
     written = Observation()
     counts = [F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (observe or {}).items()]]
-    # One with nothing to leave alone can be written in place.
-    touched = replace == "touched" and partition_by is not None
-    beside = skip_empty and not touched
-    writer = df.observe(written, *counts).write.mode("overwrite")
+    before = current(spark, path)
+    folder = fresh_folder(before)
+    writer = df.observe(written, *counts).write
     if partition_by:
-        mode = "dynamic" if touched else "static"
-        writer = writer.partitionBy(partition_by).option("partitionOverwriteMode", mode)
-    target = f"{path.rstrip('/')}__new" if beside else path
-    writer.parquet(target)
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(f"{path.rstrip('/')}/{folder}")
     found = dict(written.get)
-    if beside:
-        _move_in(df.sparkSession, target, path, keep=found["rows"] > 0)
+    touched = replace == "touched" and partition_by is not None
+    if not found["rows"] and (skip_empty or (before and (touched or replace == "none"))):
+        drop_folder(spark, path, folder)
+        return found
+    stays = remaining(spark, path, before, folder) if touched else (
+        before.folders if before and replace == "none" else {})
+    commit(spark, path, before, {**stays, folder: None}, keep)
+    expire(spark, path)
     return found
 
 
 def write_layer(df: DataFrame, path: str, partition_by: str | None = None, sort_by: Sequence[str] = (),
-                replace: str = "all", skip_empty: bool = False) -> int:
+                replace: str = "all", skip_empty: bool = False, keep: int = 2) -> int:
     """`write_observed` with the row count alone."""
-    return write_observed(df, path, partition_by, sort_by, replace, skip_empty)["rows"]
-
-
-def _move_in(spark: SparkSession, fresh: str, path: str, keep: bool) -> None:
-    """Put a written folder in the place of another, or drop it."""
-    jvm = spark.sparkContext._jvm
-    source, target = (jvm.org.apache.hadoop.fs.Path(x) for x in (fresh, path))
-    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not keep:
-        files.delete(source, True)
-        return
-    files.delete(target, True)
-    files.rename(source, target)
-    spark.catalog.refreshByPath(path)
+    return write_observed(df, path, partition_by, sort_by, replace, skip_empty, keep=keep)["rows"]

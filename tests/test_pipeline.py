@@ -15,8 +15,9 @@ from eventide.plans import serve
 from eventide.plans.pipeline import Pipeline
 from eventide.sources import tables
 from eventide.sources.layers import read_layer
-from eventide.schemas import EVENT_DAY_METRICS, LANDED_BARS, TRADE_SESSIONS
+from eventide.schemas import EVENT_DAY_METRICS, LANDED_ANNOUNCEMENTS, LANDED_BARS, TRADE_SESSIONS
 from eventide.sources.landed import read_bars
+from eventide.sources.snapshots import current
 
 STUDY = tables.TABLE_STUDY
 TICKERS = [f"NATION_{i}" for i in range(25)]
@@ -64,7 +65,8 @@ def test_second_run_gives_the_same_tables(spark, run, tmp_path):
     second = Pipeline(spark, str(tmp_path), STUDY)
     assert second.run(*[x.repartition(13) for x in inputs], datetime(2024, 1, 2), TICKERS) == counts
     for name in ("event_day_metrics", "event_summary", "daily_cohort_metrics", "trade_sessions"):
-        a, b = (spark.read.parquet(f"{p.gold}/{name}") for p in (first, second))
+        a, b = (spark.read.parquet(*current(spark, f"{p.gold}/{name}").paths(f"{p.gold}/{name}"))
+                for p in (first, second))
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), name
 
 
@@ -74,16 +76,16 @@ def test_subset_run_can_leave_other_tickers_alone(spark, run, tmp_path):
     one = spark.createDataFrame([("NATION_1",)], "ticker string")
     Pipeline(spark, str(tmp_path), STUDY, replace="touched").load_bronze(
         *inputs, datetime(2024, 1, 2), one)
-    left = spark.read.parquet(f"{tmp_path}/bronze/announcements").select("ticker").distinct()
+    left = read_layer(spark, f"{tmp_path}/bronze/announcements", LANDED_ANNOUNCEMENTS).select("ticker").distinct()
     assert sorted(r[0] for r in left.collect()) == TICKERS[:3]
     Pipeline(spark, str(tmp_path), STUDY).load_bronze(*inputs, datetime(2024, 1, 3), one)
-    left = spark.read.parquet(f"{tmp_path}/bronze/announcements").select("ticker").distinct()
+    left = read_layer(spark, f"{tmp_path}/bronze/announcements", LANDED_ANNOUNCEMENTS).select("ticker").distinct()
     assert [r[0] for r in left.collect()] == ["NATION_1"]
 
 
 def test_bronze_range_excludes_the_end_for_prices_only(spark, run):
     pipeline, inputs, counts = run
-    prices = spark.read.parquet(f"{pipeline.bronze}/prices")
+    prices = read_layer(spark, f"{pipeline.bronze}/prices", LANDED_BARS)
     assert prices.filter(F.col("trade_date") >= STUDY.end.isoformat()).isEmpty()
     wanted = inputs[1].filter(F.col("event_date").between(str(STUDY.start), str(STUDY.end)))
     assert counts["bronze"]["announcements"] == wanted.count()

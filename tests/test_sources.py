@@ -124,7 +124,7 @@ def test_small_tickers_get_one_file_and_a_hot_one_several(spark, tmp_path):
         assert write_layer(hot.unionByName(rest).repartition(16), str(path), "ticker", ["id"]) == 403_000
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    files = {p.name: len(list(p.glob("*.parquet"))) for p in Path(path).glob("ticker=*")}
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in Path(path).glob("v=*/ticker=*")}
     assert files["ticker=HOT"] >= 4
     assert all(n == 1 for name, n in files.items() if name != "ticker=HOT"), files
 
