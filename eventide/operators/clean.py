@@ -28,6 +28,31 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], latest_by: Sequence[str]
     ])
 
 
+def usable_bars(raw: DataFrame, latest_by: Sequence[str] = ()) -> DataFrame:
+    """Typed bars with a close and a positive volume; a value that does not fit its type is null."""
+    typed = raw.select(
+        "ticker",
+        F.col("trade_date").try_cast("date").alias("trade_date"),
+        *[F.col(c).try_cast(PRICE).alias(c) for c in ("open", "high", "low", "close")],
+        F.col("volume").try_cast("long").alias("volume"),
+        *latest_by,
+    )
+    return typed.filter(F.col("close").isNotNull() & (F.col("volume") > 0))
+
+
+def labelled_bars(usable: DataFrame, config: StudyConfig = StudyConfig(), latest_by: Sequence[str] = (),
+                  dates_are_local: bool = False) -> DataFrame:
+    """One bar per (ticker, trade_date), the latest, with its labels and what made it the latest.
+
+    Rows already chosen may be among those they are chosen from again, so that later rows can be
+    merged into earlier results.
+    """
+    return latest_per_key(usable, ["trade_date", "ticker"], latest_by).withColumns({
+        "cap_bucket": cap_bucket("ticker", config.large_cap, config.mid_cap),
+        "local_date": exchange_date(F.col("trade_date"), config.exchange_tz, dates_are_local),
+    })
+
+
 def clean_bars(
     raw: DataFrame,
     config: StudyConfig = StudyConfig(),
@@ -39,18 +64,23 @@ def clean_bars(
     A value that does not fit its type becomes null (``try_cast``), then the null rules apply.
     ``latest_by`` names the columns of ``raw`` that tell a later row from an earlier one.
     """
+    return labelled_bars(usable_bars(raw, latest_by), config, latest_by, dates_are_local).drop(*latest_by)
+
+
+def usable_announcements(raw: DataFrame, latest_by: Sequence[str] = ()) -> DataFrame:
+    """Typed announcements with a date and a ticker."""
     typed = raw.select(
-        "ticker",
-        F.col("trade_date").try_cast("date").alias("trade_date"),
-        *[F.col(c).try_cast(PRICE).alias(c) for c in ("open", "high", "low", "close")],
-        F.col("volume").try_cast("long").alias("volume"),
-        *latest_by,
+        "ticker", F.col("event_date").try_cast("date").alias("event_date"), "event_id", *latest_by
     )
-    usable = typed.filter(F.col("close").isNotNull() & (F.col("volume") > 0))
-    single = latest_per_key(usable, ["trade_date", "ticker"], latest_by).drop(*latest_by)
-    return single.withColumns({
+    return typed.filter(F.col("event_date").isNotNull() & F.col("ticker").isNotNull())
+
+
+def labelled_announcements(usable: DataFrame, config: StudyConfig = StudyConfig(),
+                           latest_by: Sequence[str] = ()) -> DataFrame:
+    """One announcement per (ticker, event_date), the latest, as `labelled_bars`."""
+    return latest_per_key(usable, ["event_date", "ticker"], latest_by).withColumns({
         "cap_bucket": cap_bucket("ticker", config.large_cap, config.mid_cap),
-        "local_date": exchange_date(F.col("trade_date"), config.exchange_tz, dates_are_local),
+        "fiscal_quarter": quarter_label(F.col("event_date")),
     })
 
 
@@ -58,12 +88,4 @@ def clean_announcements(
     raw: DataFrame, config: StudyConfig = StudyConfig(), latest_by: Sequence[str] = ()
 ) -> DataFrame:
     """Typed announcements with a date and a ticker, one per (ticker, event_date)."""
-    typed = raw.select(
-        "ticker", F.col("event_date").try_cast("date").alias("event_date"), "event_id", *latest_by
-    )
-    usable = typed.filter(F.col("event_date").isNotNull() & F.col("ticker").isNotNull())
-    single = latest_per_key(usable, ["event_date", "ticker"], latest_by).drop(*latest_by)
-    return single.withColumns({
-        "cap_bucket": cap_bucket("ticker", config.large_cap, config.mid_cap),
-        "fiscal_quarter": quarter_label(F.col("event_date")),
-    })
+    return labelled_announcements(usable_announcements(raw, latest_by), config, latest_by).drop(*latest_by)

@@ -11,26 +11,36 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventide.config import StudyConfig
-from eventide.operators.clean import clean_announcements, clean_bars
+from eventide.operators.clean import (
+    labelled_announcements,
+    labelled_bars,
+    usable_announcements,
+    usable_bars,
+)
 from eventide.operators.metrics import cohort_metrics, event_summary
 from eventide.operators.quality import null_report
 from eventide.operators.sessions import bar_sessions
-from eventide.operators.windows import event_day_metrics
+from eventide.operators.windows import event_day_metrics, event_days
 from eventide.schemas import (
     ANNOUNCEMENTS,
     BARS,
     EVENT_DAY_METRICS,
+    EVENT_SUMMARY,
     LANDED,
     LANDED_ANNOUNCEMENTS,
     LANDED_BARS,
+    STORED_ANNOUNCEMENTS,
+    STORED_BARS,
     TRADE_SESSIONS,
     conform,
 )
 from eventide.sources.landed import in_range, only_tickers
-from eventide.sources.layers import read_layer, write_layer, write_observed
+from eventide.sources.layers import read_layer, write_observed
 from eventide.sources.manifest import append_manifest, manifest_row
+from eventide.sources.snapshots import Snapshot, current, partitions, restricted
 
 
 class Pipeline:
@@ -46,7 +56,7 @@ class Pipeline:
         self.bronze, self.silver, self.gold = (f"{root}/{x}" for x in ("bronze", "silver", "gold"))
 
     def _write(self, df: DataFrame, path: str, sort_by: Sequence[str], **how) -> int:
-        return write_layer(df, path, "ticker", sort_by, self.replace, **how)
+        return write_observed(df, path, "ticker", sort_by, **{"replace": self.replace, **how})["rows"]
 
     def load_bronze(self, bars: DataFrame, announcements: DataFrame, run_ts: datetime,
                     tickers: Sequence[str] | DataFrame | None = None) -> dict[str, int]:
@@ -81,13 +91,25 @@ class Pipeline:
         raw_bars = read_layer(self.spark, f"{self.bronze}/prices", LANDED_BARS)
         raw_events = read_layer(self.spark, f"{self.bronze}/announcements", LANDED_ANNOUNCEMENTS)
         latest = [LANDED.name]
+        bars = labelled_bars(usable_bars(raw_bars, latest), self.config, latest)
+        events = labelled_announcements(usable_announcements(raw_events, latest), self.config, latest)
         return {
-            "prices": self._write(clean_bars(raw_bars, self.config, latest), f"{self.silver}/prices",
-                                  ["trade_date"]),
-            "announcements": self._write(clean_announcements(raw_events, self.config, latest),
-                                         f"{self.silver}/announcements", ["event_date"]),
+            "prices": self._write(conform(bars, STORED_BARS), f"{self.silver}/prices", ["trade_date"],
+                                  note=self._seen("prices")),
+            "announcements": self._write(conform(events, STORED_ANNOUNCEMENTS), f"{self.silver}/announcements",
+                                         ["event_date"], note=self._seen("announcements")),
         }
 
+    def _seen(self, *names: str) -> dict:
+        """Folders of bronze tables: each table made from them remembers which it has taken in."""
+        found = {name: current(self.spark, f"{self.bronze}/{name}") for name in names}
+        return {name: sorted(version.folders) if version else [] for name, version in found.items()}
+
+    def _taken_in(self, *tables: str) -> dict:
+        """What tables that are read have taken in, for the note of what is made of them."""
+        found = [current(self.spark, table) for table in tables]
+        return {name: folders for version in found if version for name, folders in version.note.items()}
+
     def silver_bars(self) -> DataFrame:
         return read_layer(self.spark, f"{self.silver}/prices", BARS)
 
@@ -101,18 +123,20 @@ class Pipeline:
 
     def build_event_days(self) -> dict[str, int]:
         days = event_day_metrics(self.silver_announcements(), self.silver_bars(), self.config)
+        note = self._taken_in(f"{self.silver}/prices", f"{self.silver}/announcements")
         return {"event_day_metrics": self._write(days, f"{self.gold}/event_day_metrics",
-                                                 ["event_id", "day"])}
+                                                 ["event_id", "day"], note=note)}
 
     def build_sessions(self) -> dict[str, int]:
-        path = f"{self.gold}/trade_sessions"
-        sessions = bar_sessions(self.silver_bars(), self.config.session_gap_minutes,
-                                self.config.exchange_tz)
+        return self._write_sessions(self.silver_bars(), note=self._taken_in(f"{self.silver}/prices"))
+
+    def _write_sessions(self, bars: DataFrame, **how) -> dict[str, int]:
+        sessions = bar_sessions(bars, self.config.session_gap_minutes, self.config.exchange_tz)
         # Every session has one first trade; trades without a ticker share one session.
         named = F.col("session_id").isNotNull()
         written = write_observed(
-            conform(sessions, TRADE_SESSIONS), path, "ticker", ["trade_ts"], self.replace,
-            observe={"started": F.count_if(named & (F.col("is_session_start") == 1)),
+            conform(sessions, TRADE_SESSIONS), f"{self.gold}/trade_sessions", "ticker", ["trade_ts"],
+            **{"replace": self.replace, **how}, observe={"started": F.count_if(named & (F.col("is_session_start") == 1)),
                      "unnamed": F.max((~named).cast("int"))})
         return {"trade_sessions": written["rows"],
                 "distinct_sessions": (written["started"] or 0) + (written["unnamed"] or 0)}
@@ -120,12 +144,45 @@ class Pipeline:
     def build_cohorts(self) -> dict[str, int]:
         days = read_layer(self.spark, f"{self.gold}/event_day_metrics", EVENT_DAY_METRICS)
         summary = event_summary(days, self.config.days_before, self.config.days_after)
+        note = self._taken_in(f"{self.gold}/event_day_metrics")
         return {
-            "daily_cohort_metrics": write_layer(
-                cohort_metrics(days), f"{self.gold}/daily_cohort_metrics",
-                sort_by=["relative_day", "cap_bucket"]),
-            "event_summary": self._write(summary, f"{self.gold}/event_summary", ["event_date"]),
+            "daily_cohort_metrics": self._write_cohorts(days, note),
+            "event_summary": self._write(summary, f"{self.gold}/event_summary", ["event_date"], note=note),
+        }
+
+    def _write_cohorts(self, days: DataFrame, note: dict) -> int:
+        return write_observed(cohort_metrics(days), f"{self.gold}/daily_cohort_metrics",
+                              sort_by=["relative_day", "cap_bucket"], note=note)["rows"]
+
+    def land(self, bars: DataFrame, announcements: DataFrame, run_ts: datetime) -> dict[str, int]:
+        """Add newly landed raw rows of the study range to bronze, beside those that are there."""
+        c = self.config
+        bars = self._arrived(in_range(bars, "trade_date", c.start, c.end, include_end=False), run_ts)
+        announcements = self._arrived(in_range(announcements, "event_date", c.start, c.end), run_ts)
+        counts = {
+            "prices": self._write(conform(bars, LANDED_BARS), f"{self.bronze}/prices", ["trade_date"],
+                                  replace="none", skip_empty=True),
+            "announcements": self._write(conform(announcements, LANDED_ANNOUNCEMENTS),
+                                         f"{self.bronze}/announcements", ["event_date"],
+                                         replace="none", skip_empty=True),
         }
+        append_manifest(manifest_row(self.spark, run_ts, None, c, counts), f"{self.bronze}/_manifest")
+        return counts
+
+    def upsert(self, bars: DataFrame, announcements: DataFrame, run_ts: datetime) -> dict[str, dict[str, int]]:
+        """Land new rows and bring all tables up to date, at the cost of what the rows touch.
+
+        Silver partitions of their tickers take the new rows in; of the day rows and summaries those
+        of affected events are worked out again; sessions are renumbered for tickers with new bars.
+        All other partitions are neither read nor written. Cohorts are over everything and read the
+        gold days. The tables are those that a run over all landed rows would make. What an earlier
+        upsert landed but did not finish is taken in as well.
+        """
+        return {"bronze": self.land(bars, announcements, run_ts), **self.catch_up()}
+
+    def catch_up(self) -> dict[str, dict[str, int]]:
+        """Take in bronze rows that some table has not seen, and what follows from them."""
+        return Merge(self).run()
 
     def run(self, bars: DataFrame, announcements: DataFrame, run_ts: datetime,
             tickers: Sequence[str] | DataFrame | None = None) -> dict[str, dict[str, int]]:
@@ -137,3 +194,119 @@ class Pipeline:
             "sessions": self.build_sessions(),
             "cohorts": self.build_cohorts(),
         }
+
+
+class Merge:
+    """Bronze rows that some table has not taken in, merged into all tables that follow from them.
+
+    Works by partition folders, one per ticker: those of the new rows name what is read and replaced.
+    Every table notes what it has taken in, and taking rows in twice changes nothing; so a merge that
+    ended between two tables is done again by the next.
+    """
+
+    _ARRIVAL = [LANDED.name]
+    # Tables by the bronze table whose rows they have to take in.
+    _MADE_OF = {
+        "prices": ("silver/prices", "gold/event_day_metrics", "gold/trade_sessions", "gold/event_summary",
+                   "gold/daily_cohort_metrics"),
+        "announcements": ("silver/announcements", "gold/event_day_metrics", "gold/event_summary",
+                          "gold/daily_cohort_metrics"),
+    }
+
+    def __init__(self, pipeline: Pipeline) -> None:
+        self.of, self.spark, self.config = pipeline, pipeline.spark, pipeline.config
+
+    def _path(self, table: str) -> str:
+        layer, name = table.split("/")
+        return f"{getattr(self.of, layer)}/{name}"
+
+    def _unseen(self, name: str) -> Snapshot | None:
+        """The bronze folders that some table has not taken in; None where tables must be made anew."""
+        bronze = current(self.spark, f"{self.of.bronze}/{name}")
+        if bronze is None:
+            return Snapshot(0, {})
+        seen = set(bronze.folders)
+        for table in self._MADE_OF[name]:
+            version = current(self.spark, self._path(table))
+            if version is None or not set(version.note.get(name, ["none"])) <= set(bronze.folders):
+                return None
+            seen &= set(version.note[name])
+        return bronze._replace(folders={f: p for f, p in bronze.folders.items() if f not in seen})
+
+    def _parts(self, path: str, version: Snapshot) -> set[str]:
+        found: set[str] = set()
+        for folder, parts in version.folders.items():
+            found |= partitions(self.spark, path, folder) if parts is None else set(parts)
+        return found
+
+    def _some(self, table: str, schema: T.StructType, parts: set[str]) -> DataFrame:
+        """Rows of some partitions of a table as it is now."""
+        path = self._path(table)
+        return read_layer(self.spark, path, schema, missing_ok=True,
+                          version=restricted(self.spark, path, current(self.spark, path), parts))
+
+    def _replace(self, df: DataFrame, table: str, sort_by: Sequence[str], parts: set[str], note: dict) -> int:
+        return self.of._write(df, self._path(table), sort_by, replace="touched", touched=parts, note=note)
+
+    def run(self) -> dict[str, dict[str, int]]:
+        unseen = {name: self._unseen(name) for name in self._MADE_OF}
+        if None in unseen.values():
+            return {"silver": self.of.build_silver(), "event_days": self.of.build_event_days(),
+                    "sessions": self.of.build_sessions(), "cohorts": self.of.build_cohorts()}
+        bronze = {name: f"{self.of.bronze}/{name}" for name in unseen}
+        parts = {name: self._parts(bronze[name], unseen[name]) for name in unseen}
+        both = parts["prices"] | parts["announcements"]
+        if not both:
+            return {}
+        bars = usable_bars(read_layer(
+            self.spark, bronze["prices"], LANDED_BARS, version=unseen["prices"]), self._ARRIVAL)
+        events = usable_announcements(read_layer(
+            self.spark, bronze["announcements"], LANDED_ANNOUNCEMENTS, version=unseen["announcements"]), self._ARRIVAL)
+        counts: dict[str, dict[str, int]] = {"silver": {}}
+        for name, fresh, stored, label, sort_by in (
+                ("prices", bars, STORED_BARS, labelled_bars, "trade_date"),
+                ("announcements", events, STORED_ANNOUNCEMENTS, labelled_announcements, "event_date")):
+            if parts[name]:
+                old = self._some(f"silver/{name}", stored, parts[name]).select(*fresh.columns)
+                merged = conform(label(old.unionByName(fresh), self.config, self._ARRIVAL), stored)
+                counts["silver"][name] = self._replace(
+                    merged, f"silver/{name}", [sort_by], parts[name], self.of._seen(name))
+
+        note, key = self.of._seen(*self._MADE_OF), ["ticker", "event_id"]
+        now = self._some("silver/announcements", ANNOUNCEMENTS, both)
+        old_days = self._some("gold/event_day_metrics", EVENT_DAY_METRICS, both)
+        old_summary = self._some("gold/event_summary", EVENT_SUMMARY, both)
+        affected = self._affected(bars, events, now, old_days, old_summary)
+        days = event_day_metrics(now.join(affected, key, "left_semi"),
+                                 self._some("silver/prices", BARS, both), self.config)
+        counts["event_days"] = {"event_day_metrics": self._replace(
+            old_days.join(affected, key, "left_anti").select(*EVENT_DAY_METRICS.fieldNames()).unionByName(days),
+            "gold/event_day_metrics", ["event_id", "day"], both, note)}
+        if parts["prices"]:
+            counts["sessions"] = self.of._write_sessions(
+                self._some("silver/prices", BARS, parts["prices"]), replace="touched", touched=parts["prices"],
+                note=self.of._seen("prices"))
+        # Affected events as they are now, beside the summaries of the others.
+        new_days = self._some("gold/event_day_metrics", EVENT_DAY_METRICS, both).join(affected, key, "left_semi")
+        summary = event_summary(new_days, self.config.days_before, self.config.days_after)
+        others = old_summary.join(affected, key, "left_anti").select(*summary.columns)
+        counts["cohorts"] = {
+            "event_summary": self._replace(
+                others.unionByName(summary), "gold/event_summary", ["event_date"], both, note),
+            "daily_cohort_metrics": self.of._write_cohorts(
+                read_layer(self.spark, self._path("gold/event_day_metrics"), EVENT_DAY_METRICS), note),
+        }
+        return counts
+
+    def _affected(self, bars: DataFrame, events: DataFrame, now: DataFrame, *gold: DataFrame) -> DataFrame:
+        """(ticker, event_id) whose rows may change: new and corrected announcements, the ids these have
+        in gold, and events with a new bar inside their window."""
+        dated = events.select("ticker", "event_date")
+        announced = [x.join(dated, ["ticker", "event_date"], "left_semi").select("ticker", "event_id")
+                     for x in (now, *gold)]
+        grid = event_days(now, self.config.end, self.config.days_before, self.config.days_after)
+        priced = bars.select("ticker", F.col("trade_date").alias("day"))
+        found = grid.join(priced, ["ticker", "day"], "left_semi").select("ticker", "event_id")
+        for more in announced:
+            found = found.unionByName(more)
+        return found.distinct()

@@ -33,6 +33,10 @@ BARS = _table(ticker=_S, trade_date=_D, open=PRICE, high=PRICE, low=PRICE, close
               volume=_L, cap_bucket=_S, local_date=_D)
 ANNOUNCEMENTS = _table(ticker=_S, event_date=_D, event_id=_S, cap_bucket=_S, fiscal_quarter=_S)
 
+# Silver as stored: a row remembers when it arrived, so that later ones can be merged into it.
+STORED_BARS = T.StructType([*BARS, LANDED])
+STORED_ANNOUNCEMENTS = T.StructType([*ANNOUNCEMENTS, LANDED])
+
 # Gold. Day-level returns keep the width decimal division gives; only aggregates narrow them.
 EVENT_DAY_METRICS = _table(
     event_id=_S, ticker=_S, event_date=_D, fiscal_quarter=_S, cap_bucket=_S, day=_D,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -63,6 +63,8 @@ def write_observed(
     skip_empty: bool = False,
     observe: Mapping[str, Column] | None = None,
     keep: int = 2,
+    touched: Iterable[str] = (),
+    note: Mapping | None = None,
 ) -> dict[str, int]:
     """Write a new version of a layer and return its row count as ``rows``, taken while writing.
 
@@ -72,6 +74,8 @@ def write_observed(
     ``"none"`` adds rows to those there are, ``"all"`` replaces the whole table. ``skip_empty``
     leaves the layer as it is when ``df`` has no rows. ``observe`` adds aggregates, taken in the same
     write. ``keep`` versions stay readable, and the layer is the old one until all is written.
+    ``touched`` names partition folders that are replaced though ``df`` may have no row of them.
+    ``note`` is stored with the version.
     """
     if replace not in ("all", "touched", "none"):
         raise ValueError("replace must be 'all', 'touched' or 'none'")
@@ -90,13 +94,14 @@ def write_observed(
         writer = writer.partitionBy(partition_by)
     writer.parquet(f"{path.rstrip('/')}/{folder}")
     found = dict(written.get)
-    touched = replace == "touched" and partition_by is not None
-    if not found["rows"] and (skip_empty or (before and (touched or replace == "none"))):
+    some = replace == "touched" and partition_by is not None
+    gone = list(touched)
+    if not found["rows"] and (skip_empty or (before and not gone and (some or replace == "none"))):
         drop_folder(spark, path, folder)
         return found
-    stays = remaining(spark, path, before, folder) if touched else (
+    stays = remaining(spark, path, before, folder, gone) if some else (
         before.folders if before and replace == "none" else {})
-    commit(spark, path, before, {**stays, folder: None}, keep)
+    commit(spark, path, before, {**stays, folder: None}, keep, note)
     expire(spark, path)
     return found
 

@@ -26,11 +26,13 @@ Folders = Mapping[str, list[str] | None]
 
 
 class Snapshot(NamedTuple):
-    """A version of a table; ``history`` are the versions before it that are still kept."""
+    """A version of a table; ``history`` are the versions before it that are still kept, and ``note``
+    is whatever its writer has to remember, such as what it was made from."""
 
     id: int
     folders: dict[str, list[str] | None]
     history: list[tuple[int, dict[str, list[str] | None]]] = []
+    note: dict = {}
 
     def paths(self, table: str) -> list[str]:
         """What to read."""
@@ -104,7 +106,7 @@ def current(spark: SparkSession, table: str) -> Snapshot | None:
     if text is None:
         return None
     found = json.loads(text)
-    return Snapshot(found["id"], found["folders"], [(i, f) for i, f in found["history"]])
+    return Snapshot(found["id"], found["folders"], [(i, f) for i, f in found["history"]], found.get("note", {}))
 
 
 def fresh_folder(based_on: Snapshot | None) -> str:
@@ -113,13 +115,30 @@ def fresh_folder(based_on: Snapshot | None) -> str:
     return f"{_PREFIX}{number:09d}-{uuid.uuid4().hex[:8]}"
 
 
-def remaining(spark: SparkSession, table: str, based_on: Snapshot | None, written: str) -> Folders:
+def partitions(spark: SparkSession, table: str, folder: str) -> set[str]:
+    """Partition folders in one folder of a table."""
+    return set(_Files(spark, table).folders(folder))
+
+
+def restricted(spark: SparkSession, table: str, version: Snapshot | None, parts: set[str]) -> Snapshot | None:
+    """A version with some of its partitions alone: the others are not even listed."""
+    if version is None:
+        return None
+    files = _Files(spark, table)
+    kept = {folder: sorted(parts & set(files.folders(folder) if own is None else own))
+            for folder, own in version.folders.items()}
+    return version._replace(folders={folder: own for folder, own in kept.items() if own})
+
+
+def remaining(spark: SparkSession, table: str, based_on: Snapshot | None, written: str,
+              also: Iterable[str] = ()) -> Folders:
     """What stays of a table when the partitions in the folder ``written`` take the place of theirs.
 
-    The partitions of a table that has no versions yet are taken over as they are.
+    ``also`` names partitions that go, whether or not any row of them was written. The partitions of
+    a table that has no versions yet are taken over as they are.
     """
     files = _Files(spark, table)
-    gone = set(files.folders(written))
+    gone = {*files.folders(written), *also}
     before: Folders = based_on.folders if based_on else {"": [
         f for f in files.folders() if "=" in f and not f.startswith(_PREFIX)]}
     stays: dict[str, list[str] | None] = {}
@@ -132,13 +151,13 @@ def remaining(spark: SparkSession, table: str, based_on: Snapshot | None, writte
 
 
 def commit(spark: SparkSession, table: str, based_on: Snapshot | None, folders: Folders,
-           keep: int = 2) -> Snapshot:
+           keep: int = 2, note: Mapping | None = None) -> Snapshot:
     """Make ``folders`` the table. ``keep`` versions, this one included, stay readable."""
     now = current(spark, table)
     if (now and now.id) != (based_on and based_on.id):
         raise StaleWrite(f"{table}: version {now and now.id} was written meanwhile")
     history = [(based_on.id, based_on.folders), *based_on.history][:keep - 1] if based_on else []
-    made = Snapshot(based_on.id + 1 if based_on else 1, dict(folders), history)
+    made = Snapshot(based_on.id + 1 if based_on else 1, dict(folders), history, dict(note or {}))
     _Files(spark, table).replace(POINTER, json.dumps(made._asdict()))
     return made
 
