@@ -1,10 +1,17 @@
 """Quality rules: robust multivariate outliers per language and source.
 
-Four shape statistics of each text, transformed to be roughly symmetric, make a vector. For each
-language and source the minimum covariance determinant estimates where most of its documents lie:
-from two starts, the center and covariance of the ``SHARE`` of documents closest by Mahalanobis
-distance are worked out again and again, and of both ends the one with the smaller determinant is
-taken. Documents far from their group's center are rejected.
+Three statistics that every prose text has, transformed to be roughly symmetric, make a vector: how
+long its different words are, how much that varies, and how many other characters its words carry.
+For each language and source the minimum covariance determinant estimates where most of its documents
+lie: from the medians, with spreads by quartiles or by variances, the center and covariance of the
+``SHARE`` of documents closest by Mahalanobis distance are worked out again and again, and of both
+ends the one with the smaller determinant is taken. Equal vectors count once, so that copies, however many, do not pull the estimate together.
+
+Small sources borrow: an estimate of n documents is averaged with that of its language at the weight
+of ``PRIOR`` documents, the language's with that of everything, and that with the plain covariance of
+all documents, which rejects nobody where there are few. A document is measured against the spread of
+its group and the sampling noise of its own statistics, which is large for short texts; those too far
+from their group's center are rejected.
 
 Distances are counted in bins, so the closest share is found by adding up counts: no group is sorted
 or gathered, and the result does not depend on how rows were spread.
@@ -25,28 +32,27 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
-STATISTICS = ("word_length", "symbols", "dup_lines", "repeats")
-# What is no difference worth speaking of in each statistic: the unit vectors are measured in. It is
-# added to every spread, so that a group whose documents all agree does not reject the next one. Even
-# so each statistic can reject alone: of a group whose documents all have five letters a word, no
-# symbols and no repeats, words of 7.2 letters, 18 % symbols, 59 % duplicate lines, 48 % repeated words.
-UNITS = (0.5, 0.04, 0.8, 0.7)
-# Log odds of shares, from about what is no share at all, and nearly without bound towards all of it.
-LEAST_SHARE, LEAST_REST = 0.05, 0.001
+STATISTICS = ("word_length", "marks", "variety")
 # Half, so that the estimates hold as long as fewer than half of a group's rows are outliers.
 SHARE = 0.5
-# Makes the covariance of the closest half of a normal sample in four dimensions that of all of it.
-CONSISTENCY = 2.109
+# Makes the covariance of the closest half of a normal sample in three dimensions that of all of it.
+CONSISTENCY = 2.458
 STEPS = 3
-# Squared distance beyond which one in a thousand of a normal sample lies: chi-square, four dimensions.
-CUTOFF = 18.467
-MIN_GROUP = 40
+# Documents that the next wider estimate counts for.
+PRIOR = 64
+# Squared distance beyond which one in a million of a normal sample lies: chi-square, three dimensions.
+CUTOFF = 30.665
+# Added to variances so that they have a square root; a standard deviation of a thousandth.
+RIDGE = 1e-6
 # Languages and sources up to which their estimates, one row each, are broadcast; more are joined.
 FEW_GROUPS = 10_000
 
 _P = len(STATISTICS)
 _PAIRS = list(combinations_with_replacement(range(_P), 2))
 _GROUP = ["lang", "source"]
+# Bins of a statistic's quantiles in a unit.
+_FINE = 256
+_COVARIANCE = [f"c{i}{j}" for i, j in _PAIRS]
 
 
 def _words(text: Column) -> Column:
@@ -76,6 +82,22 @@ def _repeated_words(words: Column) -> Column:
         let(F.array_sort(windows(w)), lambda s: covered(repeated(s)))))
 
 
+def _prose(text: Column) -> Column:
+    """Of the words with a letter: how many, other characters in them, how many different ones, and
+    the sums of these ones' letters and of their squares."""
+    # Words without a letter are blotted out.
+    lettered = F.regexp_replace(text, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]+(?![^\x20\x09-\x0D])", "")
+    kinds = F.array_distinct(_words(lettered))
+    letters = F.transform(kinds, lambda w: F.char_length(F.regexp_replace(w, r"\P{L}+", "")))
+    sums = F.aggregate(letters, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("squares")),
+                       lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["squares"] + x * x).alias("squares")))
+    spelled = F.regexp_replace(lettered, r"[\x20\x09-\x0D]+", "")
+    return F.struct(
+        F.char_length(F.translate(F.regexp_replace(lettered, r"[^\x20\x09-\x0D]+", "x"), BLANKS, "")).alias("_n"),
+        F.char_length(F.regexp_replace(spelled, r"\p{L}+", "")).alias("_marks"),
+        F.size(kinds).alias("_kinds"), sums.alias("_letters"))
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
     """Counts of each text beside its other columns."""
     text = text_or_empty()
@@ -90,28 +112,26 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long")
         .alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.size(lines).cast("long").alias("_n_lines"),
-    ).select("*", "_counts.*").drop("_counts")
+        _prose(text).alias("_prose"),
+    ).select("*", "_counts.*", "_prose.*").drop("_counts", "_prose")
 
 
 def _vector(p: str = "z") -> list[Column]:
     return [F.col(f"{p}{i}") for i in range(_P)]
 
 
-def _log_odds(share: Column) -> Column:
-    return F.ln((share + F.lit(LEAST_SHARE)) / (F.lit(1 + LEAST_REST) - share))
-
-
 def _statistics() -> list[Column]:
-    """The transformed statistics, in units."""
-    words, chars = (F.nullif(c, F.lit(0)) for c in ("n_words", "word_chars"))
-    raw = (
-        F.col("word_chars") / words,
-        F.col("n_symbols") / chars,
-        _log_odds(F.col("n_dup_lines") / F.nullif("_n_lines", F.lit(0))),
-        _log_odds(F.col("n_repeat_words") / words),
-    )
-    return [(x / F.lit(unit)).alias(f"z{i}") for i, (x, unit) in enumerate(zip(raw, UNITS, strict=True))]
+    """The transformed statistics, and the variance that sampling alone gives each of them.
+
+    Everything is counted as if there were one more, so that a text without letters has a vector too.
+    """
+    kinds, marks = F.col("_kinds") + 1.0, F.col("_marks") + 1.0
+    mean = (F.col("_letters.sum") + 1.0) / kinds
+    # Lengths are whole numbers, which adds the variance of rounding.
+    spread = F.greatest((F.col("_letters.squares") + 1.0) / kinds - mean * mean, F.lit(0.0)) + F.lit(1 / 12)
+    values = (F.ln(mean), F.ln(marks / (F.col("_n") + 1.0)), F.ln(spread) / 2)
+    noise = (spread / (kinds * mean * mean), 1 / marks, 1 / (2 * kinds))
+    return [x.alias(f"{p}{i}") for p, xs in (("z", values), ("s", noise)) for i, x in enumerate(xs)]
 
 
 def _quantile(rows: DataFrame, key: list[str], value: Column, per_unit: int, share: float) -> DataFrame:
@@ -126,27 +146,30 @@ def _quantile(rows: DataFrame, key: list[str], value: Column, per_unit: int, sha
     return reached.filter("reached").groupBy(*key).agg(F.min("bin").alias("bin"))
 
 
-def _moments(rows: DataFrame, key: list[str]) -> DataFrame:
+def _moments(rows: DataFrame, key: list[str], factor: float) -> DataFrame:
+    """Center and covariance, times ``factor``, of each group, and how many rows it has."""
     z = _vector()
     sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(z)]
     products = [F.avg(z[i] * z[j]).alias(f"p{i}{j}") for i, j in _PAIRS]
     covariance = [
-        ((F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY
-         + F.lit(1.0 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
-    return rows.groupBy(*key).agg(*sums, *products).select(*key, *_vector("m"), *covariance)
+        ((F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * factor
+         + F.lit(RIDGE if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    return rows.groupBy(*key).agg(*sums, *products, F.count("*").alias("n")).select(
+        *key, "n", *_vector("m"), *covariance)
 
 
-def _with_factor(estimates: DataFrame, key: list[str]) -> DataFrame:
-    """Centers with the lower Cholesky factor of the covariance, row by row, and its determinant."""
+def _with_factor(estimates: DataFrame) -> DataFrame:
+    """The lower Cholesky factor of the covariance beside each row, and its determinant."""
     out = estimates
     for i in range(_P):
         for j in range(i + 1):
             rest = F.col(f"c{j}{i}") - sum(
                 (F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
+            # Rounding may leave a little less than nothing.
+            root = F.sqrt(F.greatest(rest, F.lit(RIDGE / 100)))
+            out = out.withColumn(f"l{i}{j}", root if i == j else rest / F.col(f"l{j}{j}"))
     determinant = reduce(lambda a, b: a * b, [F.col(f"l{i}{i}") for i in range(_P)])
-    factors = [f"l{i}{j}" for i in range(_P) for j in range(i + 1)]
-    return out.select(*key, *_vector("m"), *factors, determinant.alias("determinant"))
+    return out.withColumn("determinant", determinant)
 
 
 def _distance() -> Column:
@@ -165,93 +188,99 @@ def _join_groups(rows: DataFrame, groups: DataFrame, key: list[str], few: bool)
     return rows.join(F.broadcast(groups) if few else groups, key)
 
 
-def _with_distance(rows: DataFrame, estimates: DataFrame, key: list[str], few: bool = False) -> DataFrame:
-    solved = _join_groups(rows, _with_factor(estimates, key), key, few)
-    return solved.withColumn("distance", _distance())
-
-
 def robust_estimates(rows: DataFrame, few: bool = False) -> DataFrame:
-    """Center and covariance of each group of rows (lang, source, z0, ...), by two starts."""
-    key = [*_GROUP, "start"]
+    """Center, covariance and rows of each group of rows (lang, source, z0, ...), by two starts."""
+    key, axis = [*_GROUP, "start"], [*_GROUP, "axis"]
     z = F.array(*[F.struct(F.lit(i).alias("axis"), x.alias("value")) for i, x in enumerate(_vector())])
-    medians = _quantile(rows.select(*_GROUP, F.inline(z)), [*_GROUP, "axis"], F.col("value"), 16, 0.5)
-    middle = (F.col("bin") + 0.5) / 16
-    by_median = medians.groupBy(*_GROUP).agg(
-        *[F.max(F.when(F.col("axis") == i, middle)).alias(f"m{i}") for i in range(_P)],
-    ).select(*_GROUP, F.lit("median").alias("start"), *_vector("m"),
-             *[F.lit(1.0 if i == j else 0.0).alias(f"c{i}{j}") for i, j in _PAIRS])
-    by_mean = _moments(rows.withColumn("start", F.lit("mean")), key)
-    estimates = settle(by_median.unionByName(by_mean))
-
-    both = rows.withColumn("start", F.explode(F.array(F.lit("median"), F.lit("mean"))))
+    values = rows.select(*_GROUP, F.inline(z))
+    middle, low, high = (_quantile(values, axis, F.col("value"), _FINE, share).withColumnRenamed("bin", name)
+                         for share, name in ((0.5, "middle"), (0.25, "low"), (0.75, "high")))
+    # Between the quartiles of a normal sample lie 1.349 standard deviations.
+    scale = F.greatest(F.col("high") - F.col("low"), F.lit(1)) / F.lit(1.349 * _FINE)
+    quartiles = middle.join(low, axis).join(high, axis).groupBy(*_GROUP).agg(
+        *[F.max(F.when(F.col("axis") == i, (F.col("middle") + 0.5) / _FINE)).alias(f"m{i}") for i in range(_P)],
+        *[F.max(F.when(F.col("axis") == i, scale * scale)).alias(f"q{i}") for i in range(_P)])
+    whole = settle(_moments(rows, _GROUP, 1.0))
+
+    def from_median(start: str, variance: str) -> DataFrame:
+        return quartiles.join(whole.drop(*(f"m{i}" for i in range(_P))), _GROUP).select(
+            *_GROUP, F.lit(start).alias("start"), "n", *_vector("m"),
+            *[(F.col(variance.format(c[1])) if c[1] == c[2] else F.lit(0.0)).alias(c) for c in _COVARIANCE])
+
+    starts = [from_median("quartiles", "q{0}"), from_median("variances", "c{0}{0}")]
+    estimates = settle(starts[0].unionByName(starts[1]))
+    both = rows.withColumn("start", F.explode(F.array(F.lit("quartiles"), F.lit("variances"))))
+    sizes = whole.select(*_GROUP, "n")
     for _ in range(STEPS):
         # Bins of 1/32 in the logarithm of the distance.
         at = F.ln(F.col("distance") + 1e-6)
-        far = _with_distance(both, estimates, key, few)
+        far = _join_groups(both, _with_factor(estimates.drop("n")), key, few).withColumn("distance", _distance())
         reach = _quantile(far, key, at, 32, SHARE)
         closest = _join_groups(far, reach, key, few).filter(F.floor(at * 32) <= F.col("bin"))
-        estimates = settle(_moments(closest, key))
+        estimates = settle(_moments(closest, key, CONSISTENCY))
     best = F.min(F.struct("determinant", "start"))
-    chosen = _with_factor(estimates, key).groupBy(*_GROUP).agg(best.alias("best")).select(
+    chosen = _with_factor(estimates).groupBy(*_GROUP).agg(best.alias("best")).select(
         *_GROUP, F.col("best.start").alias("start"))
-    return estimates.join(chosen, key).drop("start")
+    return estimates.drop("n").join(chosen, key).drop("start").join(sizes, _GROUP)
 
 
-def _references(sound: DataFrame) -> tuple[DataFrame, int]:
-    """Per language and source the group it is measured against and those its rows are part of; and
-    how many rows there are. Groups are named apart from those of all sources, or of everything.
-    """
-    sizes = settle(sound.groupBy(*_GROUP).agg(F.count("*").alias("n")))
-    languages = sizes.groupBy("lang").agg(F.sum("n").alias("in_lang"), F.min("n").alias("least"))
-    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    rare = not languages.filter(F.col("in_lang") < MIN_GROUP).isEmpty()
+def _averaged(estimates: DataFrame, wider: DataFrame, key: list[str]) -> DataFrame:
+    """Estimates, each averaged with the wider one of its ``key`` at the weight of ``PRIOR`` rows."""
+    numbers = [*(f"m{i}" for i in range(_P)), *_COVARIANCE]
+    names = wider.select(*key, *[F.col(c).alias(f"w_{c}") for c in numbers])
+    share = F.col("n") / (F.col("n") + PRIOR)
+    joined = estimates.join(names, key) if key else estimates.join(F.broadcast(names))
+    return joined.select(*_GROUP, "n", *[
+        (share * F.col(c) + (1 - share) * F.col(f"w_{c}")).alias(c) for c in numbers])
 
-    def group(lang: Column, source: Column) -> Column:
-        return F.struct(lang.alias("lang"), source.alias("source"))
 
+def references(rows: DataFrame, few: bool = False) -> DataFrame:
+    """What rows (lang, source, z0, ...) of each language and source are measured against.
+
+    Names start with ``=``; ``*`` stands for all.
+    """
     every = F.lit("*")
-    lang, source = (F.concat(F.lit("="), F.col(c)) for c in _GROUP)
-    own, of_lang, of_all = group(lang, source), group(lang, every), group(every, every)
-    large, large_lang = F.col("n") >= MIN_GROUP, F.col("in_lang") >= MIN_GROUP
-    feeds = F.filter(F.array(
-        F.when(large, own), F.when(large_lang & (F.col("least") < MIN_GROUP), of_lang),
-        F.when(F.lit(rare), of_all)), lambda x: x.isNotNull())
-    return settle(sizes.join(languages, "lang").select(
-        *_GROUP, F.when(large, own).when(large_lang, of_lang).otherwise(of_all).alias("reference"),
-        feeds.alias("feeds"))), total
+    feeds = F.array(F.struct("lang", "source"), F.struct("lang", every.alias("source")),
+                    F.struct(every.alias("lang"), every.alias("source")))
+    vectors = rows.select(*_GROUP, *_vector()).distinct()
+    fed = settle(vectors.select(F.explode(feeds).alias("group"), *_vector()).select("group.*", *_vector()))
+    estimates = settle(robust_estimates(fed, few))
+    plain = _moments(vectors, [], 1.0)
+    of_all = F.col("lang") == "*"
+    of_language = ~of_all & (F.col("source") == "*")
+    everything = settle(_averaged(estimates.filter(of_all), plain, []))
+    languages = settle(_averaged(estimates.filter(of_language), everything.drop(*_GROUP), []))
+    return _averaged(estimates.filter(F.col("source") != "*"), languages.drop("source", "n"), ["lang"])
 
 
 def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, min_words: int = MIN_WORDS,
                   also: Sequence[Column] = ()) -> DataFrame:
     """Counts and verdict per row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept.
+    base_failed, kept, distance.
 
     Rows fail at once with fewer than ``min_words`` words or more than half of their words in
-    repeated windows; the others are measured against their language and source. Those of a language
-    and source with fewer than ``MIN_GROUP`` such rows are measured against all rows of their
-    language, and where these are too few, against all rows; only if that is fewer than ``MIN_GROUP``
-    is nobody rejected. A null text counts as empty; a null language or source is a group
-    like any other. Repeated rows each count and get one verdict. An empty table gives an empty
+    repeated windows; the others are measured against their language and source. With few such rows
+    in all, none is rejected. A null text counts as empty; a null language or source is a group like
+    any other. Repeated rows each get the same verdict and teach as one. An empty table gives an empty
     result. Only doc_id, text, lang and source are read. ``also`` are columns of ``docs`` to carry.
     """
-    counted = text_statistics(docs.select(
-        "doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"),
-        F.coalesce("source", F.lit("")).alias("source"), *also)).drop("text")
+    named = [F.concat(F.lit("="), F.coalesce(F.col(c), F.lit(""))).alias(c) for c in _GROUP]
+    counted = text_statistics(docs.select("doc_id", "text", *named, *also)).drop("text")
     failed = (F.col("n_words") < min_words) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED_PERCENT) * F.col("n_words"))
     rows = settle(counted.withColumn("base_failed", failed).select("*", *_statistics()))
 
     sound = rows.filter(~F.col("base_failed"))
-    named, n_sound = _references(sound)
-    few = named.count() <= FEW_GROUPS
-    members = _join_groups(sound, named, _GROUP, few)
-    estimates = settle(robust_estimates(
-        members.select(F.explode("feeds").alias("group"), *_vector()).select("group.*", *_vector()), few))
-    judged = _with_distance(members.drop(*_GROUP).select("*", "reference.*"), estimates, _GROUP, few)
-    too_few = F.lit(n_sound < MIN_GROUP)
-    carried = [c for c in counted.columns if c not in ("lang", "source") and not c.startswith("_")]
+    # Every estimate twice, and those of languages.
+    few = sound.select(*_GROUP).distinct().count() * 4 <= FEW_GROUPS
+    estimates = settle(references(sound, few))
+    noisy = [(F.col(c) + F.col(f"s{c[1]}") if c[1] == c[2] else F.col(c)).alias(c) for c in _COVARIANCE]
+    carried = [c for c in counted.columns if c not in _GROUP and not c.startswith("_")]
     counts = [*carried, "base_failed"]
-    return judged.select(*counts, (too_few | (F.col("distance") <= cutoff)).alias("kept"), "distance"
+    measured = _join_groups(sound, estimates.drop("n"), _GROUP, few).select(
+        *counts, *_vector(), *_vector("m"), *noisy)
+    judged = _with_factor(measured).withColumn("distance", _distance())
+    return judged.select(*counts, (F.col("distance") <= cutoff).alias("kept"), "distance"
                          ).unionByName(rows.filter("base_failed").select(
                              *counts, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")))
 
