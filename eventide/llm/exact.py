@@ -3,20 +3,20 @@
 Texts are equal when they are identical after every ASCII white-space character is deleted. Digests
 that occur very often would land in one task of a plain shuffle; a bounded Misra-Gries summary over
 all rows names the candidates, an exact count confirms them, and the winners, at most ``heavy``
-rows, are broadcast. Only the other digests, of which each has a bounded share of the rows, are
-shuffled.
+rows, are broadcast and their copies never move. The other digests, of which each holds less than
+one row in ``HEAVY``, are aggregated before they are shuffled, and joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.store import settle, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
 HEAVY = 256
-# Counters of the summary: every digest with more than about rows / 3,000 copies is found.
+# Counters of the summary.
 COUNTERS = 4096
 
 _RESULT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
@@ -33,7 +33,8 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 
 def heavy_digests(digests: DataFrame, heavy: int = HEAVY, counters: int = COUNTERS) -> DataFrame:
-    """At most ``heavy`` digests, among them all that hold more than a few rows / ``counters``."""
+    """The ``heavy`` most frequent digests, as the summary ranks them; those that hold more than
+    about rows / ``counters`` are ranked right. Others may be missing, and some may be rare."""
     summary = F.expr(f"approx_top_k(text_sha256, {heavy}, {max(heavy, counters)})")
     return digests.agg(summary.alias("top")).select(F.inline("top")).select(
         F.col("item").alias("text_sha256"))
@@ -63,12 +64,8 @@ def exact_groups(docs: DataFrame, heavy: int = HEAVY, counters: int = COUNTERS)
 
     frequent = digests.join(F.broadcast(winners), "text_sha256")
     others = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-    copies = Window.partitionBy("text_sha256")
-    first = copies.orderBy(F.col("chars").desc(), F.col("doc_id").asc_nulls_last(), "row")
-    settled = others.withColumns({
-        "group_size": F.count("*").over(copies),
-        "keep_id": F.first("doc_id").over(first),
-        "keep_row": F.first("row").over(first),
-    })
-    return frequent.unionByName(settled).withColumn(
+    # Counted before the shuffle, one row per digest and task. Written, so that the join starts from
+    # files on both sides and a digest that is frequent, but no winner, can be split.
+    groups = settle(_group(others))
+    return frequent.unionByName(others.join(groups, "text_sha256")).withColumn(
         "kept", F.col("row") == F.col("keep_row")).select(*_RESULT)

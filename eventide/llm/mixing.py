@@ -2,23 +2,26 @@
 
 Each source has a target share of the mix, and so a mean number of times that each of its documents
 is to appear. A document's own number is the Poisson distribution with that mean, inverted at a
-uniform number made from its id; all copies are then shuffled globally.
+uniform number made from its id and text; all copies are then shuffled globally.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.llm.store import let, settle, text_or_empty
 
 SEED = 17
-# Sources up to which their table is broadcast; more are joined.
-FEW_SOURCES = 10_000
+# Numbers, in the distribution functions of all sources, up to which these are broadcast: 32 MB.
+FEW_NUMBERS = 4_000_000
+# A distribution function is summed so many deviations, and numbers, to both sides of its mean.
 _DEVIATIONS, _AT_LEAST = 12, 40
-
+# Copies of a row that one task makes at most before others share in.
+_AT_ONCE = 1024
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) made of 52 bits of the MD5 of the parts."""
@@ -26,17 +29,28 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... as far as doubles can tell it from 1."""
-    last = (rate + _DEVIATIONS * F.sqrt(rate) + _AT_LEAST).cast("int")
-    step = lambda state, k: F.struct(
-        (state["log"] + F.ln(rate) - F.ln(k.cast("double"))).alias("log"),
-        (state["sum"] + F.exp(state["log"] + F.ln(rate) - F.ln(k.cast("double")))).alias("sum"),
-        F.concat(state["all"], F.array(
-            state["sum"] + F.exp(state["log"] + F.ln(rate) - F.ln(k.cast("double"))))).alias("all"))
-    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("all"))
-    found = F.aggregate(F.sequence(F.lit(1), last), start, step)
-    return F.when(rate > 0, found["all"]).otherwise(F.array(F.lit(1.0)))
+def _log_factorial(k: Column) -> Column:
+    """By Stirling's series, to a part in 10**13, where factorials are no longer long integers."""
+    x = k.cast("double")
+    series = x * F.ln(x) - x + F.ln(x * (2 * math.pi)) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(k <= 20, F.ln(F.factorial(F.least(k, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
+def poisson_cdf(rates: DataFrame) -> DataFrame:
+    """(source, first, cdf): P(X <= k) for k = first, first + 1, ... as far as doubles can tell.
+
+    There are some 24 sqrt(rate) numbers, around the mean; what lies below is less than 10**-30.
+    """
+    reach = _DEVIATIONS * F.sqrt("rate") + _AT_LEAST
+    first = F.greatest(F.floor(F.col("rate") - reach), F.lit(0).cast("long"))
+    ks = rates.select("source", "rate", F.explode(F.sequence(first, F.floor(F.col("rate") + reach))).alias("k"))
+    chance = F.when(F.col("rate") > 0, F.exp(
+        F.col("k") * F.ln("rate") - F.col("rate") - _log_factorial(F.col("k")))).otherwise(
+            (F.col("k") == 0).cast("double"))
+    summed = F.sum(chance).over(Window.partitionBy("source").orderBy("k"))
+    found = ks.select("source", "k", summed.alias("upto")).groupBy("source").agg(
+        F.min("k").alias("first"), F.array_sort(F.collect_list("upto")).alias("cdf"))
+    return found
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
@@ -66,22 +80,31 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     """Rows of ``docs`` repeated by Poisson counts, in a random global order.
 
     ``copy`` (from 1) and ``shuffle_key`` are added, in place of columns of those names. A row's
-    count depends on its source's rate, its doc_id and the seed alone: a lost task repeats it, and
-    rows that share a doc_id, or have none, share a count. An empty table gives an empty result.
+    count depends on its source's rate, its doc_id and text, and the seed: a lost task repeats it,
+    rows of one doc_id, or of none, are drawn apart, and rows that agree in both share a count. An
+    empty table gives an empty result.
     """
     others = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rates = settle(source_rates(docs, weights))
-    cdf = rates.select("source", poisson_cdf(F.col("rate")).alias("cdf"))
-    if rates.count() <= FEW_SOURCES:
+    cdf = settle(poisson_cdf(rates))
+    if (cdf.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= FEW_NUMBERS:
         cdf = F.broadcast(cdf)
+    body = F.md5(text_or_empty())
+    named = F.concat_ws(":", F.lit(seed + 1), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), body)
     # One struct, so that no name of the input meets one of the join.
-    at = uniform(F.lit(seed), F.col("doc_id"))
-    own = docs.select("source", at.alias("at"), F.struct(*others).alias("row"))
-    count = let(F.col("at"), lambda at: F.size(F.filter("cdf", lambda x: x <= at))).cast("long")
-    counted = own.join(cdf, own["source"].eqNullSafe(cdf["source"])).select("row", count.alias("count"))
+    own = docs.select("source", uniform(F.lit(seed), F.col("doc_id"), body).alias("at"),
+                      named.alias("name"), F.monotonically_increasing_id().alias("salt"),
+                      F.struct(*others).alias("row"))
+    count = let(F.col("at"), lambda at: F.col("first") + F.size(F.filter("cdf", lambda x: x <= at)))
+    counted = own.join(cdf, own["source"].eqNullSafe(cdf["source"])).select("row", "name", "salt", count.alias("count"))
     one = F.lit(1).cast("long")
-    copies = counted.filter(F.col("count") > 0).select(
-        "row.*", F.explode(F.sequence(one, "count")).alias("copy"))
-    name = F.concat_ws(":", F.lit(seed + 1), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-                       "copy")
-    return copies.withColumn("shuffle_key", F.md5(name)).orderBy("shuffle_key", "copy")
+    few = counted.filter(F.col("count").between(1, _AT_ONCE)).select(
+        "row", "name", "salt", F.explode(F.sequence(one, "count")).alias("copy"))
+    # Very many copies of a row are dealt out in parts first.
+    parts = counted.filter(F.col("count") > _AT_ONCE).select("*", F.explode(F.sequence(
+        one, "count", F.lit(_AT_ONCE).cast("long"))).alias("from"))
+    many = parts.repartition("salt", "from").select("row", "name", "salt", F.explode(F.sequence(
+        "from", F.least(F.col("from") + (_AT_ONCE - 1), F.col("count")))).alias("copy"))
+    # The salt parts rows that are equal in all the rest.
+    mixed = few.unionByName(many).withColumn("shuffle_key", F.md5(F.concat_ws(":", "name", "copy"))).orderBy("shuffle_key", "copy", "salt")
+    return mixed.select("row.*", "copy", "shuffle_key")

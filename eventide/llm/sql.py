@@ -142,13 +142,14 @@ WITH sizes AS (
     OVER (PARTITION BY source ORDER BY k) AS upto
   FROM (SELECT *, unnest(range(0, CAST(floor(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS k FROM rates)
 ), drawn AS (
-  SELECT *, CAST('0x' || md5('17:' || doc_id)[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents
+  SELECT *, doc_id || ':' || md5(coalesce(text, '')) AS name,
+    CAST('0x' || md5('17:' || name)[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents
 ), counted AS (
   SELECT d.doc_id, count(*) AS n FROM drawn d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND upto <= u
   GROUP BY d.doc_id
 )
-SELECT d.*, c.copy, md5('18:' || d.doc_id || ':' || c.copy) AS shuffle_key
-FROM documents d JOIN (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM counted) c USING (doc_id)
+SELECT d.* EXCLUDE (name, u), c.copy, md5('18:' || d.name || ':' || c.copy) AS shuffle_key
+FROM drawn d JOIN (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM counted) c USING (doc_id)
 """
 
 

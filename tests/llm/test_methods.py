@@ -408,11 +408,40 @@ def test_poisson_counts_have_their_mean(spark):
 
 
 def test_large_rates(spark):
-    frame = spark.createDataFrame([(0.0,), (2.5,), (900.0,)], "rate double")
-    for r in frame.select("rate", mixing.poisson_cdf(frame["rate"]).alias("cdf")).collect():
-        assert r.cdf[-1] == pytest.approx(1) and sorted(r.cdf) == r.cdf
-        mean = sum(1 - x for x in r.cdf)
-        assert mean == pytest.approx(r.rate, abs=1e-6)
+    rates = {"zero": 0.0, "few": 2.5, None: 40.0, "many": 900.0, "huge": 1e6}
+    frame = spark.createDataFrame(list(rates.items()), "source string, rate double")
+    found = mixing.poisson_cdf(frame).collect()
+    assert len(found) == 5
+    for r in found:
+        assert r.cdf[-1] == pytest.approx(1) and sorted(r.cdf) == r.cdf and len(r.cdf) < 30_000
+        mean = r.first + sum(1 - x for x in r.cdf)
+        assert mean == pytest.approx(rates[r.source], rel=1e-6, abs=1e-6)
+        want, term = [], math.exp(-2.5)
+        if r.source == "few":
+            for k in range(12):
+                want.append(term + (want[-1] if want else 0))
+                term *= 2.5 / (k + 1)
+            assert r.cdf[:12] == pytest.approx(want)
+
+
+def test_a_row_of_very_many_copies(spark):
+    rows = [(1, "a", "small"), (2, "a" * 300_000, "large")]
+    mixed = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = Counter(r.doc_id for r in mixed.select("doc_id").collect())
+    assert abs(got[1] - 150_000) < 5 * math.sqrt(150_000)
+    assert mixed.filter("doc_id = 1").select("copy").distinct().count() == got[1]
+    largest = max(r.n for r in mixed.filter("doc_id = 1").select("copy").groupBy(
+        F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+    assert largest < got[1]
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_rows_of_one_id_are_drawn_apart(spark, doc_id):
+    rows = [(doc_id, f"text {i:04d}", "a") for i in range(2000)] + [(i, f"text {i:04d}", "b") for i in range(2000)]
+    mixed = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    copies = Counter(r.text for r in mixed.filter("source = 'a'").select("text").collect())
+    assert abs(sum(copies.values()) - 2000) < 5 * math.sqrt(2000)
+    assert set(Counter(copies.values())) >= {1, 2, 3} and len(copies) < 1500
 
 
 def test_reputation_shrinks_towards_the_domain(spark):
