@@ -28,7 +28,7 @@ from eventide.plans import serve
 from eventide.plans.pipeline import Pipeline
 from eventide.schemas import RAW_BARS, TRADE_SESSIONS
 from eventide.sources import tables as t
-from eventide.sources.landed import in_range, only_tickers
+from eventide.sources.landed import in_range, only_tickers, read_announcements, read_bars, rejected
 from eventide.sources.layers import read_layer, shared_folder
 from eventide.sources.manifest import MANIFEST, run_counts
 
@@ -463,6 +463,111 @@ def corrected_prices(spark, sf):
     return clean_bars(landed, STUDY, ["landed_at"])
 
 
+def _grown(spark: SparkSession, sf: str, between=lambda study: None) -> Pipeline:
+    """All tables after two landings, the second merged into what the first had made of them.
+
+    ``between`` is called after the first.
+    """
+    root = shared_folder(spark)
+    landing, study = Pipeline(spark, root, EVERY_DAY), Pipeline(spark, root, STUDY)
+    bars = t.vendor_bars(spark, sf)
+    events = in_range(t.vendor_announcements(spark, sf), "event_date", STUDY.start, STUDY.end)
+    # Later are half of the days of each month, for tickers whose number is odd.
+    odd = F.regexp_extract("ticker", r"(\d+)$", 1).cast("int") % 2 == 1
+    for n, late in enumerate((False, True), 1):
+        part = [x.filter((odd & (F.substring(day, 9, 2) > "15")) == F.lit(late))
+                for x, day in ((bars, "trade_date"), (events, "event_date"))]
+        landing.land(*part, datetime(2024, 1, n))
+        study.catch_up()
+        if not late:
+            between(study)
+    return study
+
+
+@_query
+def upserted_prices(spark, sf):
+    return _grown(spark, sf).silver_bars()
+
+
+@_query
+def upserted_event_summary(spark, sf):
+    return serve.GoldTables(spark, _grown(spark, sf).gold).event_summary()
+
+
+@_query
+def served_after_reload(spark, sf):
+    """Kept tables, looked up before and after they were written again."""
+    held = []
+
+    def look(study: Pipeline) -> None:
+        gold = serve.GoldTables(spark, study.gold, keep=True)
+        gold.event_summary().count()
+        held.append(gold)
+
+    _grown(spark, sf, look)
+    held[0].reload()
+    return held[0].event_summary()
+
+
+def _stored_study(spark: SparkSession, sf: str) -> serve.GoldTables:
+    """Gold tables of one run over everything."""
+    root = shared_folder(spark)
+    events = in_range(t.vendor_announcements(spark, sf), "event_date", STUDY.start, STUDY.end)
+    landing, study = Pipeline(spark, root, EVERY_DAY), Pipeline(spark, root, STUDY)
+    landing.load_bronze(t.vendor_bars(spark, sf), events, datetime(2024, 1, 1))
+    study.build_silver()
+    study.build_event_days()
+    study.build_cohorts()
+    return serve.GoldTables(spark, study.gold)
+
+
+@_query
+def served_event_summary(spark, sf):
+    return _stored_study(spark, sf).event_summary()
+
+
+@_query
+def served_windows(spark, sf):
+    return serve.window_rows(_stored_study(spark, sf).event_day_metrics())
+
+
+@_query
+def stored_cohorts(spark, sf):
+    return _stored_study(spark, sf).cohorts()
+
+
+# Landed files read back.
+
+def _landed_csv(spark: SparkSession, sf: str) -> str:
+    """Vendor bars as CSV, with volumes that are no number and closes that are NaN on some days."""
+    day = F.substring("trade_date", 9, 2)
+    bars = t.vendor_bars(spark, sf).withColumns({
+        "volume": F.when(day == "13", F.lit("n/a")).otherwise(F.col("volume").cast("string")),
+        "close": F.when(day == "07", F.lit("NaN")).otherwise(F.col("close").cast("string"))})
+    path = shared_folder(spark)
+    bars.write.csv(path, header=True)
+    return path
+
+
+@_query
+def landed_csv_prices(spark, sf):
+    return read_bars(spark, _landed_csv(spark, sf), "csv").drop("landed_at")
+
+
+@_query
+def landed_csv_rejects(spark, sf):
+    return rejected(spark, _landed_csv(spark, sf), "csv", RAW_BARS).agg(F.count("*").alias("rejected"))
+
+
+@_query
+def landed_json_announcements(spark, sf):
+    """Every other day's announcements come without an id, which is then built."""
+    named = F.when(F.substring("event_date", 10, 1).cast("int") % 2 == 1, F.concat(F.lit("own_"), "event_id"))
+    path = shared_folder(spark)
+    t.vendor_announcements(spark, sf).withColumn("event_id", named).write.json(path)
+    return read_announcements(spark, path, "json").drop("landed_at")
+
+
 # Quality and run figures.
 
 @_query

@@ -167,6 +167,11 @@ summary AS (
 _STUDY = _BARS + "," + _ANNOUNCEMENTS + "," + _study("announcements", "bars")
 
 
+_CLEANED_STUDY = (
+    f"{_SILVER_BARS}, {_SILVER_ANNOUNCEMENTS}, "
+    + _study("silver_announcements", "silver_bars", f"event_date BETWEEN {_START} AND {_END}"))
+
+
 def _cohorts(dims: str) -> str:
     return f"""
     SELECT {dims}, count(*) AS event_count,
@@ -372,6 +377,21 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {_VENDOR_BARS}, {_FIRST_ORDERS} "
             "SELECT 'prices' AS table_name, count(*) AS row_count FROM vendor_bars UNION ALL "
             "SELECT 'announcements', count(*) FROM vendor_announcements",
+        "upserted_prices": found["clean_prices"],
+        **dict.fromkeys(("upserted_event_summary", "served_after_reload", "served_event_summary"),
+                        found["study_of_cleaned_rows"]),
+        "served_windows": f"WITH {_CLEANED_STUDY} SELECT {_WINDOW_ROW} FROM metrics",
+        "stored_cohorts": f"WITH {_CLEANED_STUDY} {_cohorts('relative_day, cap_bucket')}",
+        "landed_csv_prices": f"""
+            WITH {_VENDOR_BARS} SELECT ticker, trade_date, {_num('open')} AS open, {_num('high')} AS high,
+                {_num('low')} AS low, CASE WHEN trade_date[9:10] <> '07' THEN {_num('close')} END AS close, volume
+            FROM vendor_bars WHERE trade_date[9:10] <> '13'""",
+        "landed_csv_rejects":
+            f"WITH {_VENDOR_BARS} SELECT count(*) AS rejected FROM vendor_bars WHERE trade_date[9:10] = '13'",
+        "landed_json_announcements": f"""
+            WITH {_FIRST_ORDERS} SELECT ticker, {_day('event_date')} AS event_date,
+                CASE WHEN day(event_date) % 2 = 1 THEN 'own_' ELSE '' END || event_id AS event_id
+            FROM vendor_announcements""",
         "corrected_prices": f"""
             WITH {_LINES}, latest AS (
                 SELECT *, CAST(l_quantity AS BIGINT) AS volume FROM priced_lines WHERE l_quantity >= 1
@@ -446,11 +466,7 @@ def _oracle_sql() -> dict[str, str]:
             WITH {_STUDY} SELECT {_DAY_PRICES}, {_num('daily_return')} AS daily_return,
                 {_num('cum_return')} AS cum_return, {_num('volume_ratio')} AS volume_ratio
             FROM metrics""",
-        "study_of_cleaned_rows":
-            f"WITH {_SILVER_BARS}, {_SILVER_ANNOUNCEMENTS}, "
-            + _study("silver_announcements", "silver_bars",
-                     f"event_date BETWEEN {_START} AND {_END}")
-            + f" SELECT {_event_row()} FROM summary",
+        "study_of_cleaned_rows": f"WITH {_CLEANED_STUDY} SELECT {_event_row()} FROM summary",
         "cohorts": f"WITH {_STUDY} {_cohorts('relative_day, cap_bucket')}",
         "cohorts_by_quarter":
             f"WITH {_STUDY} {_cohorts('relative_day, cap_bucket, fiscal_quarter')}",
