@@ -11,20 +11,31 @@ from eventide.config import DAYS_AFTER, DAYS_BEFORE
 from eventide.schemas import PRICE, RATE, RATIO, RETURN
 
 
+# Of the median's rank: exact for so many values, and off by one in so many beyond.
+MEDIAN_ACCURACY = 10_000
+
+
+def traded_days(day_metrics: DataFrame) -> DataFrame:
+    """Days that cohorts are made of: those with a close."""
+    return day_metrics.filter(F.col("close").isNotNull() & F.col("relative_day").isNotNull())
+
+
 def cohort_metrics(
-    day_metrics: DataFrame, dims: Sequence[str] = ("relative_day", "cap_bucket")
+    day_metrics: DataFrame, dims: Sequence[str] = ("relative_day", "cap_bucket"),
+    accuracy: int = MEDIAN_ACCURACY,
 ) -> DataFrame:
     """Reaction of all events by relative day and cohort, over days that traded.
 
     Rows are counted, and a day without a return counts as not positive.
-    The median is an element of the data, the lower one of two.
+    The median is an element of the data, the lower one of two; its rank is exact up to ``accuracy``
+    values of a cohort and within one part in ``accuracy`` beyond (`cohorts.exact_cohorts` is exact).
     """
-    traded = day_metrics.filter(F.col("close").isNotNull() & F.col("relative_day").isNotNull())
+    traded = traded_days(day_metrics)
     rising = F.when(F.col("daily_return") > 0, 1).otherwise(0)
     return traded.groupBy(*dims).agg(
         F.count("*").alias("event_count"),
         F.avg("daily_return").try_cast(RETURN).alias("avg_return"),
-        F.percentile_approx("daily_return", 0.5).try_cast(RETURN).alias("median_return"),
+        F.percentile_approx("daily_return", 0.5, accuracy).try_cast(RETURN).alias("median_return"),
         F.avg("volume_ratio").try_cast(RATIO).alias("avg_volume_ratio"),
         F.avg(rising).try_cast(RATE).alias("positive_rate"),
     )

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from eventide.functions import cap_bucket, exchange_date, finite_or_null, quarter_label
 from eventide.functions import register_cap_bucket
 from eventide.operators.clean import clean_announcements, clean_bars, latest_per_key
-from eventide.operators.metrics import cohort_metrics, event_summary
+from eventide.operators import cohorts as cohorts_in_parts
+from eventide.operators.metrics import cohort_metrics, event_summary, traded_days
 from eventide.operators.quality import null_report
 from eventide.operators.sessions import bar_sessions, bar_trades, session_counts, sessionize
 from eventide.operators.trading import (
@@ -29,7 +30,7 @@ from eventide.plans.pipeline import Pipeline
 from eventide.schemas import RAW_BARS, TRADE_SESSIONS
 from eventide.sources import tables as t
 from eventide.sources.landed import in_range, only_tickers, read_announcements, read_bars, rejected
-from eventide.sources.layers import read_layer, shared_folder
+from eventide.sources.layers import read_layer, shared_folder, stored
 from eventide.sources.manifest import MANIFEST, run_counts
 
 STUDY = t.TABLE_STUDY
@@ -235,6 +236,30 @@ def cohorts_by_quarter(spark, sf):
     return cohort_metrics(_days(spark, sf), ["relative_day", "cap_bucket", "fiscal_quarter"])
 
 
+@_query
+def exact_cohorts(spark, sf):
+    """The median by narrowing down, for cohorts of any size."""
+    return cohorts_in_parts.exact_cohorts(_days(spark, sf), stored)
+
+
+@_query
+def merged_cohorts(spark, sf):
+    """Cohorts merged from stored states of tickers; the sketched median's rank is checked."""
+    days = _days(spark, sf)
+    states = stored(cohorts_in_parts.cohort_state(days))
+    merged = cohorts_in_parts.metrics_of_state(cohorts_in_parts.merged_state(states))
+    near = traded_days(days).join(merged.select(*cohorts_in_parts.DIMS, "median_return"), list(cohorts_in_parts.DIMS))
+    # Medians are rounded to six places.
+    value, median = F.col("daily_return"), F.col("median_return")
+    n = F.nullif(F.count("daily_return"), F.lit(0).cast("long"))
+    ranks = near.groupBy(*cohorts_in_parts.DIMS).agg(
+        (F.count_if(value < median - 1e-6) / n).alias("low"), (F.count_if(value <= median + 1e-6) / n).alias("high"))
+    error = F.lit(cohorts_in_parts.RANK_ERROR)
+    within = (F.col("low") <= 0.5 + error) & (F.col("high") >= 0.5 - error)
+    return merged.drop("median_return").join(ranks, list(cohorts_in_parts.DIMS)).select(
+        *merged.drop("median_return").columns, F.coalesce(within, F.lit(True)).alias("median_within_error"))
+
+
 @_query
 def event_summaries(spark, sf):
     return _summary(spark, sf)

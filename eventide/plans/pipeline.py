@@ -20,6 +20,7 @@ from eventide.operators.clean import (
     usable_announcements,
     usable_bars,
 )
+from eventide.operators.cohorts import cohort_state
 from eventide.operators.metrics import cohort_metrics, event_summary
 from eventide.operators.quality import null_report
 from eventide.operators.sessions import bar_sessions
@@ -27,6 +28,7 @@ from eventide.operators.windows import event_day_metrics, event_days
 from eventide.schemas import (
     ANNOUNCEMENTS,
     BARS,
+    COHORT_STATE,
     EVENT_DAY_METRICS,
     EVENT_SUMMARY,
     LANDED,
@@ -148,6 +150,8 @@ class Pipeline:
         return {
             "daily_cohort_metrics": self._write_cohorts(days, note),
             "event_summary": self._write(summary, f"{self.gold}/event_summary", ["event_date"], note=note),
+            "cohort_state": self._write(conform(cohort_state(days), COHORT_STATE), f"{self.gold}/cohort_state",
+                                        ["relative_day"], note=note),
         }
 
     def _write_cohorts(self, days: DataFrame, note: dict) -> int:
@@ -208,9 +212,9 @@ class Merge:
     # Tables by the bronze table whose rows they have to take in.
     _MADE_OF = {
         "prices": ("silver/prices", "gold/event_day_metrics", "gold/trade_sessions", "gold/event_summary",
-                   "gold/daily_cohort_metrics"),
+                   "gold/cohort_state", "gold/daily_cohort_metrics"),
         "announcements": ("silver/announcements", "gold/event_day_metrics", "gold/event_summary",
-                          "gold/daily_cohort_metrics"),
+                          "gold/cohort_state", "gold/daily_cohort_metrics"),
     }
 
     def __init__(self, pipeline: Pipeline) -> None:
@@ -290,9 +294,12 @@ class Merge:
         new_days = self._some("gold/event_day_metrics", EVENT_DAY_METRICS, both).join(affected, key, "left_semi")
         summary = event_summary(new_days, self.config.days_before, self.config.days_after)
         others = old_summary.join(affected, key, "left_anti").select(*summary.columns)
+        state = cohort_state(self._some("gold/event_day_metrics", EVENT_DAY_METRICS, both))
         counts["cohorts"] = {
             "event_summary": self._replace(
                 others.unionByName(summary), "gold/event_summary", ["event_date"], both, note),
+            "cohort_state": self._replace(
+                conform(state, COHORT_STATE), "gold/cohort_state", ["relative_day"], both, note),
             "daily_cohort_metrics": self.of._write_cohorts(
                 read_layer(self.spark, self._path("gold/event_day_metrics"), EVENT_DAY_METRICS), note),
         }

@@ -12,6 +12,7 @@ from eventide.operators.trading import on_demand_study
 from eventide.schemas import (
     COHORT_ROW,
     COHORTS,
+    COHORT_STATE,
     EVENT_DAY_METRICS,
     EVENT_ROW,
     EVENT_SUMMARY,
@@ -38,6 +39,7 @@ class GoldTables:
         "event_summary": EVENT_SUMMARY,
         "event_day_metrics": EVENT_DAY_METRICS,
         "daily_cohort_metrics": COHORTS,
+        "cohort_state": COHORT_STATE,
     }
 
     def __init__(self, spark: SparkSession, root: str, keep: bool = False) -> None:
@@ -73,6 +75,10 @@ class GoldTables:
     def cohorts(self) -> DataFrame:
         return self._table("daily_cohort_metrics")
 
+    def cohort_state(self) -> DataFrame:
+        """What each ticker adds to the cohorts; `cohorts.merged_state` makes cohorts of any tickers."""
+        return self._table("cohort_state")
+
     def reload(self) -> None:
         """Take up the latest version of each table; of unchanged ones kept rows stay kept.
 

@@ -52,6 +52,10 @@ COHORTS = _table(
     relative_day=_I, cap_bucket=_S, event_count=_L, avg_return=RETURN, median_return=RETURN,
     avg_volume_ratio=RATIO, positive_rate=RATE,
 )
+COHORT_STATE = _table(
+    ticker=_S, relative_day=_I, cap_bucket=_S, days=_L, returns=_L, return_sum=T.DecimalType(38, 17), rising=_L,
+    ratios=_L, ratio_sum=_F, sketch=T.BinaryType(),
+)
 EVENT_SUMMARY = _table(
     ticker=_S, event_id=_S, event_date=_D, fiscal_quarter=_S, cap_bucket=_S, pre_return=RETURN,
     avg_pre_volume_ratio=RATIO, day0_return=RETURN, event_close=PRICE, post_return=RETURN,

@@ -27,6 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{(shared or tempfile.mkdtemp(prefix='eventide-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a folder of its own and read back: what follows starts from files."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_layer(spark: SparkSession, path: str, schema: T.StructType, missing_ok: bool = False,
                version: Snapshot | None = None) -> DataFrame:
     """Read a layer with its declared schema, so a ticker such as ``0700`` stays text.

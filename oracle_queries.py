@@ -468,6 +468,10 @@ def _oracle_sql() -> dict[str, str]:
             FROM metrics""",
         "study_of_cleaned_rows": f"WITH {_CLEANED_STUDY} SELECT {_event_row()} FROM summary",
         "cohorts": f"WITH {_STUDY} {_cohorts('relative_day, cap_bucket')}",
+        "exact_cohorts": f"WITH {_STUDY} {_cohorts('relative_day, cap_bucket')}",
+        "merged_cohorts": f"""
+            WITH {_STUDY} SELECT * EXCLUDE (median_return), TRUE AS median_within_error
+            FROM ({_cohorts('relative_day, cap_bucket')})""",
         "cohorts_by_quarter":
             f"WITH {_STUDY} {_cohorts('relative_day, cap_bucket, fiscal_quarter')}",
         "event_summaries": f"WITH {_STUDY} SELECT {_event_row()} FROM summary",
