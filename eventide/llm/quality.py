@@ -1,7 +1,7 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Three statistics that every prose text has, transformed to be roughly symmetric, make a vector: how
-long its different words are, how much that varies, and how many other characters its words carry.
+long its different words are, how much that varies, and how many other characters they carry.
 For each language and source the minimum covariance determinant estimates where most of its documents
 lie: from the medians, with spreads by quartiles or by variances, the center and covariance of the
 ``SHARE`` of documents closest by Mahalanobis distance are worked out again and again, and of both
@@ -30,6 +30,9 @@ from eventide.llm.store import let, settle, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+# Characters that are no letters, in ASCII and the punctuation common in prose.
+NO_LETTERS = ("0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+              "\u00a0¡§«°±²³·¹»¿×÷‐–—―‘’‚“”„†•…‰′″‹›€、。「」！（），：；？")
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
 STATISTICS = ("word_length", "marks", "variety")
@@ -82,20 +85,19 @@ def _repeated_words(words: Column) -> Column:
         let(F.array_sort(windows(w)), lambda s: covered(repeated(s)))))
 
 
-def _prose(text: Column) -> Column:
-    """Of the words with a letter: how many, other characters in them, how many different ones, and
-    the sums of these ones' letters and of their squares."""
-    # Words without a letter are blotted out.
-    lettered = F.regexp_replace(text, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]+(?![^\x20\x09-\x0D])", "")
-    kinds = F.array_distinct(_words(lettered))
-    letters = F.transform(kinds, lambda w: F.char_length(F.regexp_replace(w, r"\P{L}+", "")))
-    sums = F.aggregate(letters, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("squares")),
-                       lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["squares"] + x * x).alias("squares")))
-    spelled = F.regexp_replace(lettered, r"[\x20\x09-\x0D]+", "")
-    return F.struct(
-        F.char_length(F.translate(F.regexp_replace(lettered, r"[^\x20\x09-\x0D]+", "x"), BLANKS, "")).alias("_n"),
-        F.char_length(F.regexp_replace(spelled, r"\p{L}+", "")).alias("_marks"),
-        F.size(kinds).alias("_kinds"), sums.alias("_letters"))
+def _prose(words: Column) -> Column:
+    """Of the different words with a letter: how many there are, the sums of their letters and of the
+    squares of these, and the other characters in them."""
+    start = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("_kinds", "_letters", "_squares", "_marks")])
+
+    def add(s: Column, w: Column) -> Column:
+        n = F.char_length(F.translate(w, NO_LETTERS, ""))
+        some = (n > 0).cast("int")
+        return F.struct((s["_kinds"] + some).alias("_kinds"), (s["_letters"] + n).alias("_letters"),
+                        (s["_squares"] + n * n).alias("_squares"),
+                        (s["_marks"] + some * (F.char_length(w) - n)).alias("_marks"))
+
+    return F.aggregate(F.array_distinct(words), start, add)
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
@@ -107,13 +109,12 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         "*",
         let(_words(text), lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            _repeated_words(w).cast("long").alias("n_repeat_words"))).alias("_counts"),
+            _repeated_words(w).cast("long").alias("n_repeat_words"), _prose(w).alias("_prose"))).alias("_counts"),
         F.char_length(solid).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long")
         .alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _prose(text).alias("_prose"),
-    ).select("*", "_counts.*", "_prose.*").drop("_counts", "_prose")
+    ).select("*", "_counts.*", "_counts._prose.*").drop("_counts", "_prose")
 
 
 def _vector(p: str = "z") -> list[Column]:
@@ -126,10 +127,10 @@ def _statistics() -> list[Column]:
     Everything is counted as if there were one more, so that a text without letters has a vector too.
     """
     kinds, marks = F.col("_kinds") + 1.0, F.col("_marks") + 1.0
-    mean = (F.col("_letters.sum") + 1.0) / kinds
+    mean = (F.col("_letters") + 1.0) / kinds
     # Lengths are whole numbers, which adds the variance of rounding.
-    spread = F.greatest((F.col("_letters.squares") + 1.0) / kinds - mean * mean, F.lit(0.0)) + F.lit(1 / 12)
-    values = (F.ln(mean), F.ln(marks / (F.col("_n") + 1.0)), F.ln(spread) / 2)
+    spread = F.greatest((F.col("_squares") + 1.0) / kinds - mean * mean, F.lit(0.0)) + F.lit(1 / 12)
+    values = (F.ln(mean), F.ln(marks / kinds), F.ln(spread) / 2)
     noise = (spread / (kinds * mean * mean), 1 / marks, 1 / (2 * kinds))
     return [x.alias(f"{p}{i}") for p, xs in (("z", values), ("s", noise)) for i, x in enumerate(xs)]
 
