@@ -91,20 +91,22 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
         cdf = F.broadcast(cdf)
     body = F.md5(text_or_empty())
     named = F.concat_ws(":", F.lit(seed + 1), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), body)
-    # One struct, so that no name of the input meets one of the join.
-    own = docs.select("source", uniform(F.lit(seed), F.col("doc_id"), body).alias("at"),
+    # Numbered, so that no name of the input meets one of the join.
+    numbered = [f"_{i}" for i in range(len(others))]
+    own = docs.select(F.col("source").alias("_source"), uniform(F.lit(seed), F.col("doc_id"), body).alias("at"),
                       named.alias("name"), F.monotonically_increasing_id().alias("salt"),
-                      F.struct(*others).alias("row"))
+                      *[F.col(c).alias(n) for c, n in zip(others, numbered, strict=True)])
     count = let(F.col("at"), lambda at: F.col("first") + F.size(F.filter("cdf", lambda x: x <= at)))
-    counted = own.join(cdf, own["source"].eqNullSafe(cdf["source"])).select("row", "name", "salt", count.alias("count"))
+    row = [*numbered, "name", "salt"]
+    counted = own.join(cdf, F.col("_source").eqNullSafe(F.col("source"))).select(*row, count.alias("count"))
     one = F.lit(1).cast("long")
     few = counted.filter(F.col("count").between(1, _AT_ONCE)).select(
-        "row", "name", "salt", F.explode(F.sequence(one, "count")).alias("copy"))
+        *row, F.explode(F.sequence(one, "count")).alias("copy"))
     # Very many copies of a row are dealt out in parts first.
     parts = counted.filter(F.col("count") > _AT_ONCE).select("*", F.explode(F.sequence(
         one, "count", F.lit(_AT_ONCE).cast("long"))).alias("from"))
-    many = parts.repartition("salt", "from").select("row", "name", "salt", F.explode(F.sequence(
+    many = parts.repartition("salt", "from").select(*row, F.explode(F.sequence(
         "from", F.least(F.col("from") + (_AT_ONCE - 1), F.col("count")))).alias("copy"))
     # The salt parts rows that are equal in all the rest.
     mixed = few.unionByName(many).withColumn("shuffle_key", F.md5(F.concat_ws(":", "name", "copy"))).orderBy("shuffle_key", "copy", "salt")
-    return mixed.select("row.*", "copy", "shuffle_key")
+    return mixed.select(*[F.col(n).alias(c) for c, n in zip(others, numbered, strict=True)], "copy", "shuffle_key")
