@@ -91,13 +91,15 @@ def _prose(words: Column) -> Column:
     start = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("_kinds", "_letters", "_squares", "_marks")])
 
     def add(s: Column, w: Column) -> Column:
-        n = F.char_length(F.translate(w, NO_LETTERS, ""))
-        some = (n > 0).cast("int")
-        return F.struct((s["_kinds"] + some).alias("_kinds"), (s["_letters"] + n).alias("_letters"),
-                        (s["_squares"] + n * n).alias("_squares"),
-                        (s["_marks"] + some * (F.char_length(w) - n)).alias("_marks"))
-
-    return F.aggregate(F.array_distinct(words), start, add)
+        some = (w["n"] > 0).cast("int")
+        return F.struct((s["_kinds"] + some).alias("_kinds"), (s["_letters"] + w["n"]).alias("_letters"),
+                        (s["_squares"] + w["n"] * w["n"]).alias("_squares"),
+                        (s["_marks"] + some * (w["chars"] - w["n"])).alias("_marks"))
+
+    # Sizes first, so that each word is spelled out once.
+    sizes = F.transform(F.array_distinct(words), lambda w: F.struct(
+        F.char_length(F.translate(w, NO_LETTERS, "")).alias("n"), F.char_length(w).alias("chars")))
+    return F.aggregate(sizes, start, add)
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
