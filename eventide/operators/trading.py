@@ -16,6 +16,8 @@ from eventide.operators.clean import latest_per_key
 from eventide.operators.metrics import sides
 
 _EVENT = ["ticker", "event_ts"]
+# Copies of a row that are spelled out in one place.
+_COPIES_AT_ONCE = 1024
 
 
 def price_points(bars: DataFrame, start: date, as_of: datetime) -> DataFrame:
@@ -142,9 +144,22 @@ def trading_summary(windows: DataFrame, config: StudyConfig = StudyConfig()) ->
 
 
 def repeat_copies(df: DataFrame) -> DataFrame:
-    """Give an event that occurred several times its rows that often, as the input had it."""
-    repeated = df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return repeated.drop("_copy", "copies")
+    """Give an event that occurred several times its rows that often, as the input had it.
+
+    A row first becomes one row per thousand copies, and these are dealt out over all tasks before
+    they are spelled out: one event with most of the copies keeps every task equally busy. The
+    number of tasks is named, because by the few bytes dealt out AQE would join them to one.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [c for c in (*_EVENT, "trade_date") if c in df.columns]
+    first = F.lit(0).cast("long")
+    in_part = F.least(F.col("copies") - F.col("_part") * _COPIES_AT_ONCE, F.lit(_COPIES_AT_ONCE).cast("long"))
+    return (
+        df.withColumn("_part", F.explode(F.sequence(first, F.expr(f"(copies - 1) div {_COPIES_AT_ONCE}"))))
+        .repartition(tasks, *keys, "_part")
+        .withColumn("_copy", F.explode(F.sequence(first, in_part - 1)))
+        .drop("_part", "_copy", "copies")
+    )
 
 
 def on_demand_study(

@@ -14,8 +14,10 @@ from eventide.operators.trading import (
     nearest_trading_day,
     on_demand_study,
     price_points,
+    repeat_copies,
     timed_events,
 )
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 AS_OF = ts("2024-12-31 12:00:00")
@@ -87,6 +89,26 @@ def test_many_copies_are_studied_once(spark):
     assert summary.count() == 25_000 and windows.count() == 125_000
 
 
+def test_ten_million_copies_keep_all_tasks_busy(spark):
+    b = bars(spark, *[("A", f"2024-06-1{i}", 10 + i, 5) for i in range(5)])
+    copies = spark.range(10_000_000).select(F.lit("A").alias("ticker"), F.lit(ts("2024-06-12")).alias("event_ts"))
+    both = copies.unionByName(timed(spark, ("A", "2024-06-13")).select("ticker", "event_ts"))
+    summary, _ = on_demand_study(both, b, AS_OF)
+    sizes = sorted(r["count"] for r in summary.groupBy(F.spark_partition_id()).count().collect())
+    assert sum(sizes) == 10_000_001
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("n", [1, 1023, 1024, 1025, 2048, 2049])
+def test_copies_around_a_part(spark, n):
+    df = spark.createDataFrame([("A", ts("2024-06-12"), n, 7), ("B", ts("2024-06-12"), 1, 8)],
+                               "ticker string, event_ts timestamp, copies long, x int")
+    repeated = repeat_copies(df)
+    assert repeated.columns == ["ticker", "event_ts", "x"]
+    assert {r["x"]: r["count"] for r in repeated.groupBy("x").count().collect()} == {7: n, 8: 1}
+
+
 def test_copies_of_a_bar_are_one_day(spark):
     b = bars(spark, *[("A", f"2024-06-1{i}", 10 + i, 5) for i in range(5)])
     many = b.crossJoin(spark.range(1000)).drop("id")
