@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.config import StudyConfig
@@ -28,6 +28,12 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], latest_by: Sequence[str]
     ])
 
 
+def rejected_bar() -> Column:
+    """Whether `usable_bars` leaves a raw row out."""
+    sold = F.coalesce(F.col("volume").try_cast("long") > 0, F.lit(False))
+    return F.col("close").try_cast(PRICE).isNull() | ~sold
+
+
 def usable_bars(raw: DataFrame, latest_by: Sequence[str] = ()) -> DataFrame:
     """Typed bars with a close and a positive volume; a value that does not fit its type is null."""
     typed = raw.select(
@@ -67,6 +73,11 @@ def clean_bars(
     return labelled_bars(usable_bars(raw, latest_by), config, latest_by, dates_are_local).drop(*latest_by)
 
 
+def rejected_announcement() -> Column:
+    """Whether `usable_announcements` leaves a raw row out."""
+    return F.col("event_date").try_cast("date").isNull() | F.col("ticker").isNull()
+
+
 def usable_announcements(raw: DataFrame, latest_by: Sequence[str] = ()) -> DataFrame:
     """Typed announcements with a date and a ticker."""
     typed = raw.select(

@@ -595,6 +595,14 @@ def landed_json_announcements(spark, sf):
 
 # Quality and run figures.
 
+@_query
+def stored_quality(spark, sf):
+    """Figures that were taken while bronze and silver were written."""
+    run = _stored(spark, sf)
+    run.build_silver()
+    return run.quality().filter("column_name <> 'landed_at'").drop("failed", "last_value")
+
+
 @_query
 def null_counts(spark, sf):
     return null_report(t.vendor_bars(spark, sf), "vendor_bars").unionByName(

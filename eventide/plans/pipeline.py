@@ -6,10 +6,10 @@ earlier stages.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,12 +17,14 @@ from eventide.config import StudyConfig
 from eventide.operators.clean import (
     labelled_announcements,
     labelled_bars,
+    rejected_announcement,
+    rejected_bar,
     usable_announcements,
     usable_bars,
 )
 from eventide.operators.cohorts import cohort_state
 from eventide.operators.metrics import cohort_metrics, event_summary
-from eventide.operators.quality import null_report
+from eventide.operators.quality import Gates, column_figures, null_report, with_last
 from eventide.operators.sessions import bar_sessions
 from eventide.operators.windows import event_day_metrics, event_days
 from eventide.schemas import (
@@ -39,6 +41,7 @@ from eventide.schemas import (
     TRADE_SESSIONS,
     conform,
 )
+from eventide.sources.audit import Audit, read_figures
 from eventide.sources.landed import in_range, only_tickers
 from eventide.sources.layers import read_layer, write_observed
 from eventide.sources.manifest import append_manifest, manifest_row
@@ -49,17 +52,38 @@ class Pipeline:
     """The five stages over one root folder.
 
     ``replace="touched"`` makes a run over some tickers leave the other tickers' partitions alone;
-    the default replaces whole tables.
+    the default replaces whole tables. ``gates`` by table, such as ``silver/prices``, name what a
+    write to bronze or silver has to hold to be published; without them its figures are only stored.
     """
 
     def __init__(self, spark: SparkSession, root: str, config: StudyConfig = StudyConfig(),
-                 replace: str = "all") -> None:
+                 replace: str = "all", gates: Mapping[str, Gates] | None = None) -> None:
         self.spark, self.config, self.replace = spark, config, replace
+        self.root, self.gates = root, dict(gates or {})
         self.bronze, self.silver, self.gold = (f"{root}/{x}" for x in ("bronze", "silver", "gold"))
 
     def _write(self, df: DataFrame, path: str, sort_by: Sequence[str], **how) -> int:
         return write_observed(df, path, "ticker", sort_by, **{"replace": self.replace, **how})["rows"]
 
+    def _audited(self, df: DataFrame, table: str, sort_by: Sequence[str],
+                 observe: Mapping[str, Column], **how) -> int:
+        """`_write` to a table of bronze or silver, its figures taken in the same write."""
+        how = {"replace": self.replace, **how}
+        audit = Audit(self.spark, self._figures, table, how["replace"], self.gates.get(table, Gates()))
+        return self._write(df, f"{self.root}/{table}", sort_by, observe=observe, audit=audit, **how)
+
+    @property
+    def _figures(self) -> str:
+        return f"{self.root}/quality"
+
+    def _land_bars(self, bars: DataFrame, **how) -> int:
+        return self._audited(conform(bars, LANDED_BARS), "bronze/prices", ["trade_date"],
+                             {"rejected:*": F.count_if(rejected_bar())}, skip_empty=True, **how)
+
+    def _land_announcements(self, announcements: DataFrame, **how) -> int:
+        return self._audited(conform(announcements, LANDED_ANNOUNCEMENTS), "bronze/announcements", ["event_date"],
+                             {"rejected:*": F.count_if(rejected_announcement())}, skip_empty=True, **how)
+
     def load_bronze(self, bars: DataFrame, announcements: DataFrame, run_ts: datetime,
                     tickers: Sequence[str] | DataFrame | None = None) -> dict[str, int]:
         """Store raw rows of the study range, and one manifest line.
@@ -74,11 +98,8 @@ class Pipeline:
             bars, announcements = (only_tickers(x, tickers) for x in (bars, announcements))
         bars, announcements = (self._arrived(x, run_ts) for x in (bars, announcements))
         counts = {
-            "prices": self._write(conform(bars, LANDED_BARS), f"{self.bronze}/prices",
-                                  ["trade_date"], skip_empty=True),
-            "announcements": self._write(conform(announcements, LANDED_ANNOUNCEMENTS),
-                                         f"{self.bronze}/announcements", ["event_date"],
-                                         skip_empty=True),
+            "prices": self._land_bars(bars),
+            "announcements": self._land_announcements(announcements),
         }
         append_manifest(manifest_row(self.spark, run_ts, tickers, c, counts), f"{self.bronze}/_manifest")
         return counts
@@ -96,10 +117,11 @@ class Pipeline:
         bars = labelled_bars(usable_bars(raw_bars, latest), self.config, latest)
         events = labelled_announcements(usable_announcements(raw_events, latest), self.config, latest)
         return {
-            "prices": self._write(conform(bars, STORED_BARS), f"{self.silver}/prices", ["trade_date"],
-                                  note=self._seen("prices")),
-            "announcements": self._write(conform(events, STORED_ANNOUNCEMENTS), f"{self.silver}/announcements",
-                                         ["event_date"], note=self._seen("announcements")),
+            "prices": self._audited(conform(bars, STORED_BARS), "silver/prices", ["trade_date"],
+                                    column_figures(STORED_BARS), note=self._seen("prices")),
+            "announcements": self._audited(
+                conform(events, STORED_ANNOUNCEMENTS), "silver/announcements", ["event_date"],
+                column_figures(STORED_ANNOUNCEMENTS), note=self._seen("announcements")),
         }
 
     def _seen(self, *names: str) -> dict:
@@ -123,6 +145,13 @@ class Pipeline:
         return null_report(self.silver_bars(), "silver/prices").unionByName(
             null_report(self.silver_announcements(), "silver/announcements"))
 
+    def quality(self) -> DataFrame:
+        """Figures of every write to bronze and silver, beside those of the last one of its kind.
+
+        They were taken while writing: no table is read.
+        """
+        return with_last(read_figures(self.spark, self._figures))
+
     def build_event_days(self) -> dict[str, int]:
         days = event_day_metrics(self.silver_announcements(), self.silver_bars(), self.config)
         note = self._taken_in(f"{self.silver}/prices", f"{self.silver}/announcements")
@@ -164,11 +193,8 @@ class Pipeline:
         bars = self._arrived(in_range(bars, "trade_date", c.start, c.end, include_end=False), run_ts)
         announcements = self._arrived(in_range(announcements, "event_date", c.start, c.end), run_ts)
         counts = {
-            "prices": self._write(conform(bars, LANDED_BARS), f"{self.bronze}/prices", ["trade_date"],
-                                  replace="none", skip_empty=True),
-            "announcements": self._write(conform(announcements, LANDED_ANNOUNCEMENTS),
-                                         f"{self.bronze}/announcements", ["event_date"],
-                                         replace="none", skip_empty=True),
+            "prices": self._land_bars(bars, replace="none"),
+            "announcements": self._land_announcements(announcements, replace="none"),
         }
         append_manifest(manifest_row(self.spark, run_ts, None, c, counts), f"{self.bronze}/_manifest")
         return counts
@@ -273,8 +299,9 @@ class Merge:
             if parts[name]:
                 old = self._some(f"silver/{name}", stored, parts[name]).select(*fresh.columns)
                 merged = conform(label(old.unionByName(fresh), self.config, self._ARRIVAL), stored)
-                counts["silver"][name] = self._replace(
-                    merged, f"silver/{name}", [sort_by], parts[name], self.of._seen(name))
+                counts["silver"][name] = self.of._audited(
+                    merged, f"silver/{name}", [sort_by], column_figures(stored), replace="touched",
+                    touched=parts[name], note=self.of._seen(name))
 
         note, key = self.of._seen(*self._MADE_OF), ["ticker", "event_id"]
         now = self._some("silver/announcements", ANNOUNCEMENTS, both)

@@ -56,6 +56,8 @@ COHORT_STATE = _table(
     ticker=_S, relative_day=_I, cap_bucket=_S, days=_L, returns=_L, return_sum=T.DecimalType(38, 17), rising=_L,
     ratios=_L, ratio_sum=_F, sketch=T.BinaryType(),
 )
+# Figures of a write: of a column, or of all rows for the column ``*``. What ``failed`` says kept it unpublished.
+QUALITY = _table(table_name=_S, version=_L, written=_S, column_name=_S, measure=_S, value=_F, failed=_S)
 EVENT_SUMMARY = _table(
     ticker=_S, event_id=_S, event_date=_D, fiscal_quarter=_S, cap_bucket=_S, pre_return=RETURN,
     avg_pre_volume_ratio=RATIO, day0_return=RETURN, event_close=PRICE, post_return=RETURN,

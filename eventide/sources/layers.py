@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -72,6 +72,7 @@ def write_observed(
     keep: int = 2,
     touched: Iterable[str] = (),
     note: Mapping | None = None,
+    audit: Callable[[Mapping, int], None] | None = None,
 ) -> dict[str, int]:
     """Write a new version of a layer and return its row count as ``rows``, taken while writing.
 
@@ -82,7 +83,8 @@ def write_observed(
     leaves the layer as it is when ``df`` has no rows. ``observe`` adds aggregates, taken in the same
     write. ``keep`` versions stay readable, and the layer is the old one until all is written.
     ``touched`` names partition folders that are replaced though ``df`` may have no row of them.
-    ``note`` is stored with the version.
+    ``note`` is stored with the version. ``audit`` is shown what was observed and the number of the
+    new version before readers see it; if it raises, the version is dropped and the old one stays.
     """
     if replace not in ("all", "touched", "none"):
         raise ValueError("replace must be 'all', 'touched' or 'none'")
@@ -106,6 +108,12 @@ def write_observed(
     if not found["rows"] and (skip_empty or (before and not gone and (some or replace == "none"))):
         drop_folder(spark, path, folder)
         return found
+    if audit:
+        try:
+            audit(found, before.id + 1 if before else 1)
+        except Exception:
+            drop_folder(spark, path, folder)
+            raise
     stays = remaining(spark, path, before, folder, gone) if some else (
         before.folders if before and replace == "none" else {})
     commit(spark, path, before, {**stays, folder: None}, keep, note)

@@ -100,6 +100,11 @@ class _Files:
         self._fs.delete(self._path(name), True)
 
 
+def put_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """A small file, there in full or not at all."""
+    _Files(spark, folder).replace(name, text)
+
+
 def current(spark: SparkSession, table: str) -> Snapshot | None:
     """The version readers see; None for a table without versions."""
     text = _Files(spark, table).read(POINTER)

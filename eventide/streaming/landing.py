@@ -14,9 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 from eventide.sources.landed import usable_announcements, usable_bars
 
 
-# Tasks that share the rows of one ticker in a batch.
-_WRITERS = 4
-
 
 def stream_bars(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
     return usable_bars(spark.readStream, path, fmt, **options)
@@ -39,14 +36,15 @@ def checkpoint_folder(spark: SparkSession, name: str, root: str | None = None) -
 
 
 def land(rows: DataFrame, path: str, name: str, checkpoint_root: str | None = None,
-         every: str | None = None) -> StreamingQuery:
+         every: str | None = None, writers: int = 4) -> StreamingQuery:
     """Append a stream to a bronze table by ticker, each row once even if a run is repeated.
 
     Rows of a ticker are brought together before they are written, a large ticker over several
     tasks, so that a batch leaves a few files per ticker and not one per task.
+    ``writers`` tasks share the rows of one ticker in a batch: as many as its hottest ticker needs.
     Without ``every`` the query ends when the files present are done.
     """
-    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "ticker"]), F.lit(_WRITERS))
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "ticker"]), F.lit(writers))
     rows = rows.repartition("ticker", spread)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return (

@@ -364,6 +364,42 @@ def _price_columns() -> str:
     return ", ".join(f"{_num(c)} AS {c}" for c in ("open", "high", "low", "close"))
 
 
+def _written_figures(table: str, columns: dict[str, str | None], name: str) -> list[str]:
+    """Rows, nulls, least and greatest of a table; numbers are expressions, None has no order."""
+    def line(column: str, measure: str, value: str) -> str:
+        return (f"SELECT '{name}' AS table_name, CAST(1 AS BIGINT) AS version, 'all' AS written, "
+                f"'{column}' AS column_name, '{measure}' AS measure, CAST({value} AS DOUBLE) AS value FROM {table}")
+
+    lines = [line("*", "rows", "count(*)")]
+    for column, number in columns.items():
+        lines.append(line(column, "nulls", f"count(*) FILTER (WHERE {column} IS NULL)"))
+        if number:
+            lines += [line(column, "least", f"min({number})"), line(column, "greatest", f"max({number})")]
+    return lines
+
+
+def _stored_quality() -> str:
+    def days(column: str) -> str:
+        return f"{column} - DATE '1970-01-01'"
+
+    def rejected(table: str, where: str) -> str:
+        return (f"SELECT 'bronze/{table[7:].replace('bars', 'prices')}', CAST(1 AS BIGINT), 'all', '*', 'rejected', "
+                f"CAST(count(*) FILTER (WHERE {where}) AS DOUBLE) FROM {table}")
+
+    numbers = {c: c for c in ("open", "high", "low", "close", "volume")}
+    lines = [
+        *_written_figures("silver_bars", {"ticker": None, "trade_date": days("trade_date"), **numbers, "cap_bucket": None,
+                                          "local_date": days("local_date")}, "silver/prices"),
+        *_written_figures("silver_announcements", {"ticker": None, "event_date": days("event_date"), "event_id": None,
+                                                   "cap_bucket": None, "fiscal_quarter": None}, "silver/announcements"),
+        *_written_figures("vendor_bars", {}, "bronze/prices"),
+        *_written_figures("vendor_announcements", {}, "bronze/announcements"),
+        rejected("vendor_bars", "close IS NULL OR coalesce(volume, 0) <= 0"),
+        rejected("vendor_announcements", "event_date IS NULL OR ticker IS NULL"),
+    ]
+    return f"WITH {_SILVER_BARS}, {_SILVER_ANNOUNCEMENTS} " + " UNION ALL ".join(lines)
+
+
 def oracle_sql() -> dict[str, str]:
     found = _oracle_sql()
     # What is written and read back is what it was.
@@ -377,6 +413,7 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {_VENDOR_BARS}, {_FIRST_ORDERS} "
             "SELECT 'prices' AS table_name, count(*) AS row_count FROM vendor_bars UNION ALL "
             "SELECT 'announcements', count(*) FROM vendor_announcements",
+        "stored_quality": _stored_quality(),
         "upserted_prices": found["clean_prices"],
         **dict.fromkeys(("upserted_event_summary", "served_after_reload", "served_event_summary"),
                         found["study_of_cleaned_rows"]),
