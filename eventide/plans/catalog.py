@@ -495,8 +495,9 @@ def _grown(spark: SparkSession, sf: str, between=lambda study: None) -> Pipeline
     """
     root = shared_folder(spark)
     landing, study = Pipeline(spark, root, EVERY_DAY), Pipeline(spark, root, STUDY)
-    bars = t.vendor_bars(spark, sf)
-    events = in_range(t.vendor_announcements(spark, sf), "event_date", STUDY.start, STUDY.end)
+    # Made once: each landing would join and aggregate the tables again, and filter every line item.
+    bars, events = (stored(x) for x in (t.vendor_bars(spark, sf), t.vendor_announcements(spark, sf)))
+    events = in_range(events, "event_date", STUDY.start, STUDY.end)
     # Later are half of the days of each month, for tickers whose number is odd.
     odd = F.regexp_extract("ticker", r"(\d+)$", 1).cast("int") % 2 == 1
     for n, late in enumerate((False, True), 1):

@@ -1,12 +1,15 @@
 """Newly landed rows merged into all tables against a run over everything that ever landed."""
 
-from datetime import date, datetime
+from collections import Counter
+from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from frames import raw_bars
 from pyspark.sql import functions as F
 
 from eventide.config import StudyConfig
+from eventide.plans import catalog
 from eventide.plans import pipeline as plans
 from eventide.plans.pipeline import Pipeline
 from eventide.schemas import (
@@ -120,3 +123,47 @@ def test_first_upsert_builds_everything(spark, tmp_path):
     Pipeline(spark, grown, CONFIG).upsert(*load(spark, FIRST), datetime(2024, 1, 1))
     Pipeline(spark, whole, CONFIG).run(*load(spark, FIRST), datetime(2024, 1, 1))
     same_tables(spark, grown, whole)
+
+
+def star_tables(spark, folder):
+    """Line items of two nations on 40 days, one of which is odd; orders on the 10th and the 20th."""
+    days = [datetime(1998, 4, 1) + timedelta(n) for n in range(40)]
+    lines = [(n, n, nation, 1, 5.0 + n, 100.0 + n * (nation + 1), 0.05, "N", "F", day)
+             for nation in (3, 4) for n, day in enumerate(days)]
+    orders = [(n, nation, datetime(1998, 4, day), f"{n}-P") for nation in (3, 4) for n, day in enumerate((10, 20))]
+    for name, rows, schema in (
+            ("nation", [(3, "NATION_3"), (4, "NATION_4")], "n_nationkey int, n_name string"),
+            ("supplier", [(3, 3), (4, 4)], "s_suppkey long, s_nationkey int"),
+            ("customer", [(3, 3), (4, 4)], "c_custkey long, c_nationkey int"),
+            ("orders", orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
+            ("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+             "l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, "
+             "l_shipdate timestamp")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_two_landings_read_the_tables_once(spark, tmp_path, monkeypatch):
+    folder = star_tables(spark, tmp_path / "star")
+    read, landings = Counter(), []
+
+    def watch(module, function):
+        own = getattr(module, function)
+
+        def watched(df, *args, **how):
+            read.update({Path(f).parent.name for f in df.inputFiles() if folder in f})
+            found = own(df, *args, **how)
+            if args and "bronze/prices" in args[0]:
+                landings.append(found["rows"])
+            return found
+
+        monkeypatch.setattr(module, function, watched)
+
+    watch(plans, "write_observed")
+    watch(catalog, "stored")
+    got = catalog.queries()["upserted_event_summary"](spark, folder)
+    assert read["lineitem.parquet"] == 1 and read["orders.parquet"] == 1
+    # April 16th to 30th of the odd nation lands later, and no row lands twice.
+    assert landings == [65, 15]
+    expected = catalog.queries()["study_of_cleaned_rows"](spark, folder)
+    assert got.count() == 4 and got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
